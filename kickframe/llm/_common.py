@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,13 +13,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session that has none gets a
-    temporary one; a cluster without the setting is an error, since executors do not share local disks.
+    Only a local session that has none gets a temporary one; a cluster without the setting is an error,
+    since its executors do not share local disks.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir")
         if where is None:
@@ -26,6 +27,12 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="kickframe-checkpoint-")
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that later jobs do not depend on its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -52,3 +59,13 @@ def text_of(name: str = "text") -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for ``name`` in the shared folder, deleted when the application ends."""
+    folder = shared_folder(spark)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import decontaminate, quality_rules, secret_scan, token_counts
-from kickframe.llm._common import read_table
+from kickframe.llm import decontaminate, packing, quality_rules, secret_scan, token_counts, token_files, warc
+from kickframe.llm._common import read_table, shared_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,30 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path).where(F.col("gap").isNull())
+    stored = F.col("record_type") == "response"
+    return found.select(
+        F.expr("nullif(regexp_extract(record_id, '<urn:page:(-?[0-9]+)>', 1), '')").cast("bigint").alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(stored, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type",
+        F.expr("nullif(regexp_extract(refers_to, '<urn:page:(-?[0-9]+)>', 1), '')").cast("bigint").alias("refers_to"),
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,5 +59,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_token_counts, op7_quality_rules, op8_decontaminate)}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-files")
+    token_files.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
