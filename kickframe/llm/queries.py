@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import decontaminate, minhash_dedup, packing, quality_rules, secret_scan, token_counts, token_files, warc
+from kickframe.llm import decontaminate, minhash_dedup, packing, quality_rules, secret_scan, substring_exact, token_counts, token_files, warc
 from kickframe.llm._common import read_table, shared_path
 
 
@@ -63,11 +63,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_exact.repeated(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
