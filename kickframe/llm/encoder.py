@@ -12,12 +12,11 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 #: Words that a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Characters on which the standard library and the tokenizer agree in class, case and normal form.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ‐-‧、。ぁ-ゖァ-ヺ一-龥]")
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -52,7 +51,7 @@ class Encoder:
         self.library = Tokenizer.from_str(text)
         self.pattern, self.lower = _known({k: spec.get(k) for k in ("pre_tokenizer", "normalizer")})
         self.special = [t["content"].lower() for t in spec.get("added_tokens") or ()]
-        self.memory: dict[str, list[int]] = {}
+        self.memory: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -67,15 +66,21 @@ class Encoder:
         words = self.pattern.findall(low if self.lower else text)
         memory = self.memory
         try:
-            parts = [memory[w] for w in words]
+            return np.frombuffer(b"".join([memory[w] for w in words]), "<u4")
         except KeyError:
-            if len(memory) >= REMEMBERED:
+            self._learn([w for w in dict.fromkeys(words) if w not in memory])
+            ids = np.frombuffer(b"".join([memory[w] for w in words]), "<u4")
+            if len(memory) > REMEMBERED:
                 memory.clear()
-            new = [w for w in dict.fromkeys(words) if w not in memory]
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                memory[w] = e.ids
-            parts = [memory[w] for w in words]
-        return np.fromiter(chain.from_iterable(parts), np.uint32)
+            return ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words; the library gets them as one text that is split already."""
+        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        edges = np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))
+        for k, w in enumerate(words):
+            self.memory[w] = ids[edges[k] : edges[k + 1]].tobytes()
 
 
 @lru_cache(maxsize=2)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import decontaminate, minhash_dedup, packing, quality_rules, secret_scan, substring_exact, token_counts, token_files, warc
+from kickframe.llm import decontaminate, minhash_dedup, packing, passage_dedup, quality_rules, secret_scan, substring_exact, token_counts, token_files, warc
 from kickframe.llm._common import read_table, shared_path
 
 
@@ -26,6 +26,13 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passage_dedup.near_passages(read_table(spark, sf_dir, "documents"))
+    covered = F.aggregate("passages", F.lit(0).cast("bigint"), lambda acc, p: acc + p["end"] - p["start"])
+    text = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", F.size("passages").cast("bigint").alias("n_passages"), covered.alias("n_near_words"), text.alias("passages"), "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -75,5 +82,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op4_passage_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
