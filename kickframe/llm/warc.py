@@ -1,7 +1,8 @@
 """WARC archives: a writer on Spark's text sink and a reader that salvages damaged archives.
 
-Records end with two line ends, which is the sink's line separator, so archives are written by Spark's own
-commit protocol to any file system. The reader takes each archive apart by the lengths that its records
+Archives are written by Spark's own commit protocol to any file system: plain records end with two line
+ends, which is then the sink's line separator; compressed records are a gzip member each, and the separator
+is an empty member, which every gzip reader skips. The reader takes each archive apart by the lengths that its records
 state and checks what it can (gzip's own checks, the record's end, its digest). After a failed check it
 looks for the next gzip member or version line, goes on from there, and reports the bytes between as a
 quarantined gap.
@@ -9,6 +10,7 @@ quarantined gap.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -19,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm._common import arrow_schema, text_of
+from kickframe.llm._common import arrow_schema, map_batches, text_of
 
 #: Equal payloads of fewer bytes are stored again rather than referred to.
 LEAST_REVISIT = 100
 #: Records to an archive at most, so that one fits in a task.
 ARCHIVE_RECORDS = 2000
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _DATE = "2024-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -50,7 +53,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return joined.select("id", "url", "body", "digest", "n", refers.alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = LEAST_REVISIT, archive_records: int = ARCHIVE_RECORDS) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = LEAST_REVISIT, archive_records: int = ARCHIVE_RECORDS, gzipped: bool = True) -> None:
     """Write one record per row of ``pages`` to archives below ``path``; other columns are ignored, a null body is empty."""
     r = plan_records(pages, id_col, url_col, body_col, least)
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
@@ -71,8 +74,17 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         ],
         block,
     )
-    writer = r.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive_records)
-    writer.text(path)
+    records = r.select(record.alias("value"))
+    if gzipped:
+        # the sink writes a string's bytes as they are; Latin-1 keeps the separator's
+        records = map_batches(records.select(F.col("value").cast("binary")), _gzip, "value binary").select(F.col("value").cast("string"))
+    writer = records.write.option("maxRecordsPerFile", archive_records).option("encoding", "ISO-8859-1")
+    writer.option("lineSep", _EMPTY_MEMBER.decode("latin-1") if gzipped else "\r\n\r\n").text(path)
+
+
+def _gzip(batch: pa.RecordBatch) -> pa.RecordBatch:
+    members = [gzip.compress(r.as_py() + b"\r\n\r\n", mtime=0) for r in batch.column(0)]
+    return pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
 
 
 @dataclass
