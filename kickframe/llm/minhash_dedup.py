@@ -62,7 +62,7 @@ def similar(a: set, b: set, percent: int) -> bool:
 
 class _Memory(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

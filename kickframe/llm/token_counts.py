@@ -23,7 +23,7 @@ from kickframe.llm._common import map_batches, text_of
 
 MARK = "▁"
 #: Chunks that a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
