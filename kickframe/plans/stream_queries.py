@@ -1 +1,75 @@
-"""stream"""
+"""Streams over the events, run until what is there is read; the sink is a table in the shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kickframe.plans.registry import query, table
+from kickframe.streaming import live
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if shared is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='kickframe-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(out: DataFrame, mode: str) -> DataFrame:
+    """What the stream has put out after reading all there is."""
+    spark, folder = out.sparkSession, _folder(out.sparkSession)
+    path = f"{folder}/rows"
+    if mode == "append":
+        sink = out.writeStream.format("parquet").option("path", path)
+    else:
+        sink = out.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    run = sink.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_window_counts(spark, sf_dir):
+    counts = live.window_counts(_stream(spark, sf_dir), "ts", "1 hour", "6 hours", "event_type", "value")
+    flat = counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    return _drained(flat, "complete")
+
+
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, s""")
+def stream_sessions(spark, sf_dir):
+    found = live.sessions(_stream(spark, sf_dir), "ts", "1 hour", "2 hours", "user_id")
+    return _drained(found.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"), "complete")
+
+
+@query("SELECT DISTINCT event_id, user_id FROM events")
+def stream_dedupe(spark, sf_dir):
+    twice = _stream(spark, sf_dir)
+    twice = twice.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _drained(live.dedupe(twice, "ts", "400 days", ["event_id"]).select("event_id", "user_id"), "append")
+
+
+@query("""WITH RECURSIVE r AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, event_id, value AS s FROM r WHERE rn = 1 UNION ALL SELECT r.user_id, r.rn, r.event_id, s + 0.12 * (r.value - s) FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1) SELECT user_id, event_id, round(s, 6) AS smooth FROM f""")
+def stream_ema(spark, sf_dir):
+    rows = _stream(spark, sf_dir).select("user_id", "event_id", "value")
+    return _drained(live.smooth(rows, "user_id", "event_id", "value"), "append").select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 5 <> 0")
+def stream_changes(spark, sf_dir):
+    """A table kept by inserts and deletes: every row is inserted, every fifth deleted again."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    feed = e.withColumn("kind", F.lit("INSERT")).withColumn("version", F.lit(1)).unionByName(e.where("event_id % 5 = 0").withColumn("kind", F.lit("DELETE")).withColumn("version", F.lit(2)))
+    return live.changes(e.where("event_id % 2 = 0"), feed, "event_id", "kind", "version")
