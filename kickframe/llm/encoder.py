@@ -11,12 +11,13 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+#: Words that a worker remembers; bounds memory, not results.
+WORDS = 300_000
 #: Characters on which the standard library and the tokenizer agree in class, case and normal form.
 _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ſ‐-‧、。ぁ-ゖァ-ヺ一-龥]")
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -25,6 +26,11 @@ _BYTE_LEVEL = re.compile(rf"{_SUFFIX}| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\
 _WORD_END = re.compile(rf"{_SUFFIX}|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+#: Byte-level alphabet: visible bytes stand for themselves, the others for characters from 256 on, in order.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
 def _known(spec: dict) -> tuple[re.Pattern | None, bool]:
     """(pattern of words, whether in lower case) of a tokenizer's file; None if it is not known."""
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -38,6 +44,13 @@ def _known(spec: dict) -> tuple[re.Pattern | None, bool]:
     return None, False
 
 
+def _forget(memory: dict, most: int) -> None:
+    """Drop the later half of a full memory: what came early is what comes often."""
+    if len(memory) > most:
+        for key in list(memory)[most // 2 :]:
+            del memory[key]
+
+
 class Encoder:
     def __init__(self, tokenizer_file: str) -> None:
         import os
@@ -49,9 +62,11 @@ class Encoder:
             text = f.read()
         spec = json.loads(text)
         self.library = Tokenizer.from_str(text)
+        self.model = self.library.model
         self.pattern, self.lower = _known({k: spec.get(k) for k in ("pre_tokenizer", "normalizer")})
         self.special = [t["content"].lower() for t in spec.get("added_tokens") or ()]
-        self.memory: dict[str, bytes] = {}
+        #: Ids of words, as little-endian 32-bit integers.
+        self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -63,24 +78,35 @@ class Encoder:
         low = text.lower()
         if any(s in low for s in self.special):
             return self._whole(text)
-        words = self.pattern.findall(low if self.lower else text)
-        memory = self.memory
-        try:
-            return np.frombuffer(b"".join([memory[w] for w in words]), "<u4")
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in memory])
-            ids = np.frombuffer(b"".join([memory[w] for w in words]), "<u4")
-            if len(memory) > REMEMBERED:
-                memory.clear()
-            return ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words; the library gets them as one text that is split already."""
-        found = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        edges = np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))
-        for k, w in enumerate(words):
-            self.memory[w] = ids[edges[k] : edges[k + 1]].tobytes()
+        if not self.lower:
+            return np.frombuffer(self._of_words(self.pattern.findall(text)), "<u4")
+        # white space always parts words here, and a stretch of letters is one word
+        stretches = low.split()
+        parts = list(map(self.words.get, stretches))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    x = stretches[i]
+                    parts[i] = self._word(x) if x.isalpha() else self._of_words(self.pattern.findall(x))
+        return np.frombuffer(b"".join(parts), "<u4")
+
+    def _of_words(self, words: list[str]) -> bytes:
+        parts = list(map(self.words.get, words))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self._word(words[i])
+        return b"".join(parts)
+
+    def _word(self, word: str) -> bytes:
+        """The ids that the library's model gives for a word in its byte-level alphabet."""
+        memory = self.words
+        if word not in memory:
+            if len(memory) > WORDS:
+                _forget(memory, WORDS)
+            plain = f"Ġ{word[1:]}" if word[0] == " " and word[1:].isalnum() and word.isascii() else word.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+            memory[word] = array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+        return memory[word]
 
 
 @lru_cache(maxsize=2)
