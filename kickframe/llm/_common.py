@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,9 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that later jobs do not depend on its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back, so that later jobs do not depend on its lineage.
+
+    Shuffle files of earlier steps that nothing refers to any more are given up first; else they stay
+    until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    path = shared_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:

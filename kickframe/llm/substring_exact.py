@@ -10,8 +10,8 @@ samples together:
 1. A sample that occurs once cannot be in a repeated window: its segment is done.
 2. Segments that are equal as a whole repeat in all their windows; they are named by a hash, not compared.
 3. Where a sample has different segments, one of each kind is fetched with its bytes, and the windows at
-   equal distance from the sample are compared. A sample with very many segments is resolved by hashes of
-   its windows instead, spread over all tasks.
+   equal distance from the sample are compared by a hash that, with the sample's, has 128 bits: in one task
+   for samples with few segments, as rows spread over all tasks for those with very many.
 
 Only segments of the third kind carry bytes. Results are those of the full suffix array: every byte
 covered by a window that also starts elsewhere.
@@ -19,7 +19,6 @@ covered by a window that also starts elsewhere.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from kickframe.llm._common import arrow_schema, map_batches, materialize, text_of
 
 LENGTH, GRAM = 200, 32
-#: Segments of one sample that a task compares byte by byte; more are compared by hash, in all tasks.
-TOGETHER = 512
+#: Segments of one sample that one task compares; those of a sample with more are spread over all tasks.
+TOGETHER = 20_000
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
@@ -121,17 +120,24 @@ def _runs(windows: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(windows[np.append(0, cut + 1)].tolist(), windows[np.append(cut, len(windows) - 1)].tolist(), strict=True))
 
 
+def _marks(content: bytes, ahead: int, length: int) -> list[int]:
+    """A hash of each window, with its distance from the sample."""
+    view = memoryview(content)
+    return [xxhash.xxh3_64_intdigest(view[j : j + length], seed=ahead - j) for j in range(len(content) - length + 1)]
+
+
 def _compared(group: list[tuple], length: int) -> Iterator[tuple]:
     """Spans of the windows of a sample's segments that another of them has too."""
-    seen: Counter = Counter()
-    for _, _, _, ahead, times, content in group:
-        for j in range(len(content) - length + 1):
-            seen[ahead - j, content[j : j + length]] += times
-    for i, c, first, ahead, times, content in group:
+    marks = [_marks(content, ahead, length) for _, _, _, ahead, _, content in group]
+    sizes = [len(m) for m in marks]
+    _, which = np.unique(np.array([x for m in marks for x in m], np.uint64), return_inverse=True)
+    often = np.bincount(which, np.repeat([g[4] for g in group], sizes)) > 1
+    starts = np.cumsum([0, *sizes])
+    for (i, c, first, _, times, _), a, b in zip(group, starts[:-1], starts[1:], strict=True):
         if times == 1:
-            hit = [j for j in range(len(content) - length + 1) if seen[ahead - j, content[j : j + length]] > 1]
-            for a, b in _runs(np.array(hit)) if hit else ():
-                yield i, c, first + a, first + b + length
+            hit = np.flatnonzero(often[which[a:b]])
+            for x, y in _runs(hit) if len(hit) else ():
+                yield i, c, first + x, first + y + length
 
 
 def _compare_together(contents: DataFrame, length: int) -> DataFrame:
@@ -145,13 +151,13 @@ def _compare_together(contents: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6, 7)), strict=True):
                 if row[0] != sample:
-                    out += _compared(group, length)
+                    out += _compared(group, length) if group else ()
                     sample, group = row[0], []
                     if len(out) > 10_000:
                         yield as_batch(out)
                         out = []
                 group.append(row[1:])
-        out += _compared(group, length)
+        out += _compared(group, length) if group else ()
         if out:
             yield as_batch(out)
 
@@ -165,10 +171,7 @@ def _compare_spread(contents: DataFrame, length: int) -> DataFrame:
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for sample, _, i, c, first, ahead, times, content in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-            view = memoryview(content)
-            for j in range(len(content) - length + 1):
-                mark = xxhash.xxh3_64_intdigest(view[j : j + length], seed=ahead - j)
-                out.append((sample, mark - (1 << 63), i, c, first + j, times))
+            out += [(sample, mark - (1 << 63), i, c, first + j, times) for j, mark in enumerate(_marks(content, ahead, length))]
         columns = zip(*out, strict=True) if out else [[]] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -29,55 +29,64 @@ MAGIC = b"RPG1"
 #: Ids after which a shard is closed, at the end of a document.
 SHARD_IDS = 1 << 18
 #: Rounds of replacement at most, pairs replaced in a round, and times that a pair must occur.
-ROUNDS, PAIRS, LEAST = 10, 512, 8
+ROUNDS, PAIRS, LEAST = 4, 1024, 8
 _BITS = 18
+_ODD = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
 
 
-def _frequent(key: np.ndarray, pairs: int, least: int) -> np.ndarray:
-    """The most frequent pairs, most frequent first; a count by hash leaves few pairs to sort."""
-    bins = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
-    counts = np.bincount(bins.astype(np.int64), minlength=1 << _BITS)
+def _frequent(stream: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, ranks): the most frequent pairs, and where they stand with their rank there.
+
+    A count by hash leaves the few places whose pairs are worth counting one by one.
+    """
+    bins = ((stream[:-1] * _ODD[0]) ^ (stream[1:] * _ODD[1])) >> np.uint32(32 - _BITS)
+    counts = np.bincount(bins, minlength=1 << _BITS)
     limit = max(least, int(np.partition(counts, -pairs)[-pairs]))
-    values, times = np.unique(key[(counts >= limit)[bins.astype(np.int64)]], return_counts=True)
+    places = np.flatnonzero((counts >= limit)[bins])
+    key = (stream[places].astype(np.uint64) << np.uint64(32)) | stream[places + 1]
+    values, which, times = np.unique(key, return_inverse=True, return_counts=True)
     order = np.lexsort((values, -times))[:pairs]
-    return values[order[times[order] >= least]]
-
-
-def _places(rank: np.ndarray) -> np.ndarray:
-    """Where to replace: ranks better than both neighbours', and every second place of a run of equal ranks."""
-    none = np.iinfo(np.int32).max
-    before, after = np.append(none, rank[:-1]), np.append(rank[1:], none)
-    fresh = rank != before
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0))
-    end_after = np.append(rank[1:] != rank[:-1], True)
-    index = np.arange(len(rank))
-    run_before = before[start]
-    stop = np.flip(np.minimum.accumulate(np.flip(np.where(end_after, index, len(rank)))))
-    good = (rank < none) & (run_before > rank) & (after[stop] > rank)
-    return np.flatnonzero(good & ((index - start) % 2 == 0))
+    order = order[times[order] >= least]
+    ranks = np.full(len(values), -1)
+    ranks[order] = np.arange(len(order))
+    ranks = ranks[which]
+    good = ranks >= 0
+    return values[order], places[good], ranks[good]
+
+
+def _chosen(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which places to replace: those better than the overlapping ones, and every second of a run of one rank."""
+    none, n = len(places), len(places)
+    joined = np.diff(places) == 1
+    fresh = np.append(True, ~joined | (ranks[1:] != ranks[:-1]))
+    start = np.flatnonzero(fresh)
+    end = np.append(start[1:], n) - 1
+    before = np.where(np.append(False, joined)[start], ranks[start - 1], none)
+    after = np.where(np.append(joined, False)[end], ranks[np.minimum(end + 1, n - 1)], none)
+    wins = (before > ranks[start]) & (after > ranks[start])
+    run = np.cumsum(fresh) - 1
+    return wins[run] & ((np.arange(n) - start[run]) % 2 == 0)
 
 
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, stream); symbol ``first`` + k stands for the pair rules[k]."""
     stream, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    none = np.iinfo(np.int32).max
     for _ in range(rounds):
         if len(stream) < 2 * least:
             break
-        key = (stream[:-1].astype(np.uint64) << np.uint64(32)) | stream[1:]
-        best = _frequent(key, pairs, least)
+        best, places, ranks = _frequent(stream, pairs, least)
         if not len(best):
             break
-        by_value = np.argsort(best)
-        at = np.minimum(np.searchsorted(best[by_value], key), len(best) - 1)
-        rank = np.where(best[by_value][at] == key, by_value[at], none).astype(np.int32)
-        places = _places(rank)
-        used, named = np.unique(rank[places], return_inverse=True)
+        chosen = _chosen(places, ranks)
+        places = places[chosen]
+        used, named = np.unique(ranks[chosen], return_inverse=True)
         new = np.stack([best[used] >> np.uint64(32), best[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        size = lambda s, known=lengths: np.where(s >= first, np.append(known, 0)[np.maximum(s.astype(np.int64) - first, -1)], 1)
+        sizes = np.append(np.ones(1, np.uint32), lengths)[np.maximum(new.astype(np.int64) - first + 1, 0)]
         stream[places] = first + len(rules) + named
-        stream = np.delete(stream, places + 1)
-        lengths = np.append(lengths, size(new[:, 0]) + size(new[:, 1])).astype(np.uint32)
+        stay = np.ones(len(stream), bool)
+        stay[places + 1] = False
+        stream = stream[stay]
+        lengths = np.append(lengths, sizes.sum(axis=1)).astype(np.uint32)
         rules = np.concatenate([rules, new])
     return rules, lengths, stream
 
@@ -168,10 +177,10 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids) of each document written to ``path``: ``start`` counts the ids of all documents before it."""
     shards = spark.read.parquet(path)
     id_type = shards.schema["ids"].dataType.elementType.simpleString()
-    # one row for each partition that wrote, so a window over all of them is small
+    # one row for each task that wrote, so one task can number them all and a broadcast is small
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    placed = shards.join(bases, "part").select((F.col("base") + F.col("place")).alias("start"), "ids", "shard")
+    placed = shards.join(F.broadcast(bases), "part").select((F.col("base") + F.col("place")).alias("start"), "ids", "shard")
     ddl = f"`{id_col}` {id_type}, start bigint, n_tokens bigint, ids binary"
 
     schema = arrow_schema(ddl)

@@ -83,7 +83,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def _gzip(batch: pa.RecordBatch) -> pa.RecordBatch:
-    members = [gzip.compress(r.as_py() + b"\r\n\r\n", mtime=0) for r in batch.column(0)]
+    members = [gzip.compress(r.as_py() + b"\r\n\r\n", 4, mtime=0) for r in batch.column(0)]
     return pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
 
 
