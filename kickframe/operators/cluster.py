@@ -37,8 +37,8 @@ def dbscan_line(df: DataFrame, key: list[str], x: str, order: list[str], eps: fl
 
 def scores(df: DataFrame, key: list[str], x: str, size: str, order: str) -> DataFrame:
     """Per key and cluster: n, centre, mean size, first input row, and the scores by spread, by height and by count."""
-    by = df.where("cluster >= 0").groupBy(*key, "cluster").agg(F.count("*").alias("n"), F.avg(x).alias("centre"), F.stddev_pop(x).alias("std"), F.avg(size).alias("mean_size"), F.min(order).alias("first"))
-    return by.withColumns({"by_spread": F.col("n") / (F.col("std") + 1), "by_height": F.col("n") * F.col("mean_size"), "by_count": F.col("n").cast("double")})
+    by = df.where("cluster >= 0").groupBy(*key, "cluster").agg(F.count("*").alias("n"), F.avg(x).alias("centre"), F.stddev_pop(x).alias("std"), F.avg(size).alias("mean_size"), F.sum(size).alias("total"), F.min(order).alias("first"))
+    return by.withColumns({"by_spread": F.col("n") / (F.col("std") + 1), "by_height": F.col("total"), "by_count": F.col("n").cast("double")})
 
 
 def best(df: DataFrame, key: list[str], x: str, size: str, order: str, score: str, least: int) -> DataFrame:

@@ -98,9 +98,9 @@ def _cust(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 50 + 1).cast("double").alias("h"))
 
 
-def _islands(eps: str, keys: str = "k", source: str = _C) -> str:
-    return f"""(SELECT *, CASE WHEN count(*) OVER (PARTITION BY {keys}, i) = 1 THEN -1 ELSE i END AS cluster FROM (SELECT *, sum(g) OVER (PARTITION BY {keys} ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS i FROM (
-SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY {keys} ORDER BY x, id) > {eps} THEN 1 ELSE 0 END AS g FROM {source} s) a) b)"""
+def _islands(eps: str, keys: str = "k", source: str = _C, order: str = "x, id") -> str:
+    return f"""(SELECT *, CASE WHEN count(*) OVER (PARTITION BY {keys}, i) = 1 THEN -1 ELSE i END AS cluster FROM (SELECT *, sum(g) OVER (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS i FROM (
+SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY {keys} ORDER BY {order}) > {eps} THEN 1 ELSE 0 END AS g FROM {source} s) a) b)"""
 
 
 @query(f"SELECT id, CAST(cluster AS BIGINT) AS cluster FROM {_islands('60')} c")
@@ -117,10 +117,10 @@ def dbscan1d_general(spark, sf_dir):
     return cluster.dbscan_line(_cust(spark, sf_dir), ["k"], "x", ["id"], 150.0, 4).select("id", "cluster")
 
 
-def _best_sql(eps: str, score: str, least: int, keys: str = "k", source: str = _C) -> str:
+def _best_sql(eps: str, score: str, least: int, keys: str = "k", source: str = _C, order: str = "x, id") -> str:
     return f"""(SELECT e.*, coalesce(centre, mx) AS centre_, coalesce(n, 1) AS size_, coalesce(mean_size, mh) AS mean_ FROM (
-SELECT {keys}, avg(x) AS mx, avg(h) AS mh, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS n_clusters FROM {_islands(eps, keys, source)} z GROUP BY {keys}) e LEFT JOIN (
-SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {score} DESC, first) AS r FROM (SELECT {keys}, cluster, count(*) AS n, avg(x) AS centre, stddev_pop(x) AS std, avg(h) AS mean_size, min(id) AS first FROM {_islands(eps, keys, source)} y WHERE cluster >= 0 GROUP BY {keys}, cluster HAVING count(*) >= {least}) q) t USING ({keys}) WHERE r = 1 OR r IS NULL)"""
+SELECT {keys}, avg(x) AS mx, avg(h) AS mh, count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS n_clusters FROM {_islands(eps, keys, source, order)} z GROUP BY {keys}) e LEFT JOIN (
+SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {score} DESC, first) AS r FROM (SELECT {keys}, cluster, count(*) AS n, avg(x) AS centre, stddev_pop(x) AS std, avg(h) AS mean_size, sum(h) AS total, min(id) AS first FROM {_islands(eps, keys, source, order)} y WHERE cluster >= 0 GROUP BY {keys}, cluster HAVING count(*) >= {least}) q) t USING ({keys}) WHERE r = 1 OR r IS NULL)"""
 
 
 @query(f"SELECT k, round(centre_, 4) AS centre, CAST(size_ AS BIGINT) AS size, n_clusters FROM {_best_sql('60', 'n / (std + 1)', 3)} b")
@@ -129,22 +129,22 @@ def action_cluster(spark, sf_dir):
     return cluster.best(placed, ["k"], "x", "h", "id", "by_spread", 3).select("k", F.round("centre", 4).alias("centre"), "size", "n_clusters")
 
 
-@query(f"SELECT k, round(centre_, 4) AS centre, CAST(size_ AS BIGINT) AS size, round(mean_, 4) AS mean_size, n_clusters FROM {_best_sql('60', 'n * mean_size', 2)} b")
+@query(f"SELECT k, round(centre_, 4) AS centre, CAST(size_ AS BIGINT) AS size, round(mean_, 4) AS mean_size, n_clusters FROM {_best_sql('60', 'total', 2)} b")
 def best_cluster(spark, sf_dir):
     placed = cluster.dbscan_pairs(_cust(spark, sf_dir), ["k"], "x", ["id"], 60.0)
     return cluster.best(placed, ["k"], "x", "h", "id", "by_height", 2).select("k", F.round("centre", 4).alias("centre"), "size", F.round("mean_size", 4).alias("mean_size"), "n_clusters")
 
 
-@query("SELECT k, " + ", ".join(f"round(max(CASE WHEN eps = {e} THEN centre_ END), 4) AS centre_eps{e}, CAST(max(CASE WHEN eps = {e} THEN size_ END) AS BIGINT) AS size_eps{e}" for e in (20, 60, 120)) + f" FROM {_best_sql('eps', 'n * mean_size', 2, 'k, eps', f'(SELECT c.*, unnest([20, 60, 120]) AS eps FROM {_C} c)')} b GROUP BY k")
+@query("SELECT k, " + ", ".join(f"round(max(CASE WHEN eps = {e} THEN centre_ END), 4) AS centre_eps{e}, CAST(max(CASE WHEN eps = {e} THEN size_ END) AS BIGINT) AS size_eps{e}" for e in (20, 60, 120)) + f" FROM {_best_sql('eps', 'total', 2, 'k, eps', f'(SELECT c.*, unnest([20, 60, 120]) AS eps FROM {_C} c)')} b GROUP BY k")
 def eps_sweep_pivot(spark, sf_dir):
     out = cluster.sweep(_cust(spark, sf_dir), ["k"], "x", "h", "id", [20, 60, 120], "by_height", 2)
     return out.select(*[F.round(c, 4).alias(c) if c.startswith("centre") else F.col(c) for c in out.columns])
 
 
-@query(f"""SELECT k, round(centre_, 4) AS centre, CAST(size_ AS BIGINT) AS size FROM {_best_sql('30', 'n * mean_size', 2, 'k', f'(SELECT k, id, x, h, unnest(generate_series(1, CAST(floor(h / m * 3) AS BIGINT) + 1)) AS copy FROM (SELECT *, max(h) OVER (PARTITION BY k) AS m FROM {_C} c) d)')} b""")
+@query(f"""SELECT k, round(centre_, 4) AS centre, CAST(size_ AS BIGINT) AS size FROM {_best_sql('30', 'total', 2, 'k', f'(SELECT k, id, x, h, unnest(generate_series(1, CAST(floor(h / m * 3) AS BIGINT) + 1)) AS copy FROM (SELECT *, max(h) OVER (PARTITION BY k) AS m FROM {_C} c) d)', 'x, id, copy')} b""")
 def weighted_replicate_cluster(spark, sf_dir):
     copies = cluster.replicate(_cust(spark, sf_dir), ["k"], "h")
-    placed = cluster.dbscan_pairs(copies, ["k"], "x", ["id"], 30.0)
+    placed = cluster.dbscan_pairs(copies, ["k"], "x", ["id", "copy"], 30.0)
     return cluster.best(placed, ["k"], "x", "h", "id", "by_height", 2).select("k", F.round("centre", 4).alias("centre"), "size")
 
 

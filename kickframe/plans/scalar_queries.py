@@ -106,7 +106,7 @@ def clamps_and_scales(spark, sf_dir):
     return _pixels(spark, sf_dir).select("l_orderkey", "l_partkey", _r(g.edge_distance(F.col("px"), 960.0), "edge"), _r(g.scale_between(F.col("px"), 100, 800, 100, 150), "scaled"), _r(g.soft_step(F.col("yaw"), F.lit(10.0), 3.0), "stepped"))
 
 
-@query("""SELECT c_nationkey, round((90 - far + 90 - near) / 2 * 1.2, 4) + 0.0 AS tilt, round(least(greatest(abs(near - far) * 1.85, 100.0), 130.0), 4) AS fov FROM (
+@query("""SELECT c_nationkey, round((90 - far + 90 - near) / 2 * 1.2, 8) + 0.0 AS tilt, round(least(greatest(abs(near - far) * 1.85, 100.0), 130.0), 8) AS fov FROM (
 SELECT c_nationkey, list_sum(list_transform(ys[1:7], lambda v: v / 1440 * 180)) / len(ys[1:7]) AS far, list_sum(list_transform(ys[8:], lambda v: v / 1440 * 180)) / len(ys[8:]) AS near FROM (
 SELECT c_nationkey, list(y ORDER BY c_custkey) AS ys FROM (SELECT c_nationkey, c_custkey, CAST(c_custkey * 37 % 1440 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) a WHERE n <= 16 GROUP BY c_nationkey HAVING count(*) > 8) b) c""")
 def polygon_view(spark, sf_dir):
@@ -116,7 +116,7 @@ def polygon_view(spark, sf_dir):
     first = c.withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("n <= 16")
     ys = first.groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "y"))), lambda s: s["y"]).alias("ys")).where(F.size("ys") > 8)
     tilt, fov = g.polygon_view(F.col("ys"), 1440.0)
-    return ys.select("c_nationkey", _r(tilt, "tilt", 4), _r(fov, "fov", 4))
+    return ys.select("c_nationkey", _r(tilt, "tilt", 8), _r(fov, "fov", 8))
 
 
 _NAME = "'VID_' || CAST(o_custkey % 7 AS VARCHAR) || '_010_t' || CAST(o_orderkey % 400 AS VARCHAR) || '_yaw' || CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END || CAST(o_orderkey % 45 AS VARCHAR) || '_det' || CASE WHEN o_orderkey % 3 = 0 THEN '_jpg.rf.0af3' WHEN o_orderkey % 3 = 1 THEN '.jpg' ELSE '' END"
