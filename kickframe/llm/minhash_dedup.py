@@ -6,13 +6,16 @@ place on. Nodes that agree in the first ``DEPTH`` minima of an order form a regi
 takes the ``NEXT`` nodes that follow it in the order, those with the longest common prefixes, so a small
 region yields all its pairs and a large one goes as deep as it is dense; besides, each node meets the
 smallest id seen so far in its region and in its deeper part of it, which ties large groups to one node.
-The number of candidates is linear in the nodes whatever the size of a region.
+The number of candidates is linear in the nodes whatever the size of a region, and the orders are dealt
+out by range, so a large region is spread over many tasks.
 
 Candidates whose signatures agree too rarely for the threshold (by ``SIGMAS`` standard deviations) are
 dropped; links are confirmed on the word shingles of the whole texts. First each node's most promising
 link is tried, then the best between every two components found so far, then every candidate that still
-joins two components. Components of confirmed links are the result, so the untried candidates could not
-have changed it.
+joins two components. Regions whose pairs were not all candidates are *crowded*; where such a region still
+holds several components, all nodes outside its largest component are compared exactly with all its nodes,
+which are dealt out in chunks. Components of confirmed links are the result, so no untried pair of a region
+could have changed it.
 
 A pair at similarity 0.8 shares a region in a tree with probability 0.51; it is missed by all trees with
 probability 0.00005, and by the signature test with about the same.
@@ -35,6 +38,8 @@ TREES, DEPTH, STEP, HASHES = 14, 3, 4, 64
 #: Followers in an order, and bytes of the order that make the deeper part of a region.
 NEXT, DEEPER = 4, 4
 SIGMAS = 4.2
+#: Nodes of a crowded region that one task holds at once.
+CHUNK = 1024
 _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _OFFSETS = _rng.integers(0, 1 << 63, HASHES, np.uint64)
@@ -162,6 +167,11 @@ class _Forest:
         self.last = tuple(x[-NEXT:] for x in rows)
         return [np.concatenate(c) for c in zip(*out, strict=True)]
 
+    def _marks(self, rows: tuple[np.ndarray, ...], s: int, e: int) -> list[np.ndarray]:
+        """Rows s to e as members of a crowded region: (id, check, region, 0, -1)."""
+        region, ids, checks, _ = (x[s:e] for x in rows)
+        return [ids, checks, region, np.zeros(e - s, np.int64), np.full(e - s, -1)]
+
     def _hub_pairs(self, rows: tuple[np.ndarray, ...], old: int, level: int) -> list[list[np.ndarray]]:
         region, ids, checks, orders = (x[old:] for x in rows)
         if not len(region):
@@ -174,6 +184,9 @@ class _Forest:
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             key = (int(region[s]), prefix[s].tobytes())
             follows = s == 0 and held is not None and held[0] == key
+            if level == 0 and (e - s > NEXT + 1 or s == 0 or e == len(region)):
+                # large, or cut by a batch or a partition: not all pairs are made here
+                out.append(self._marks((region, ids, checks, orders), s, e))
             if e - s > NEXT + 1 or follows:
                 run = tuple(x[s:e] for x in (region, ids, checks, orders))
                 if follows:
@@ -192,12 +205,13 @@ class _Forest:
 
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, ca, b, cb, same): candidate pairs, a < b, with the number of equal signature bytes."""
+    """(a, ca, b, cb, same): candidate pairs, a < b, with the number of equal signature bytes; and the members of crowded
+    regions as (id, check, region, 0, -1)."""
     share = percent / 100
     least = int(np.ceil(HASHES * (share - SIGMAS * np.sqrt(share * (1 - share) / HASHES))))
     turned = F.concat(F.expr(f"substring(low, tree * {STEP} + {DEPTH} + 1)"), F.expr(f"substring(low, 1, tree * {STEP} + {DEPTH})"))
     rows = nodes.select("id", "check", "low", F.posexplode("regions").alias("tree", "region"))
-    rows = rows.select("region", "id", "check", turned.alias("order")).repartition("region").sortWithinPartitions("region", "order", "id")
+    rows = rows.select("region", "id", "check", turned.alias("order")).repartitionByRange("region", "order", "id").sortWithinPartitions("region", "order", "id")
     ddl = "a bigint, ca bigint, b bigint, cb bigint, same int"
     schema = arrow_schema(ddl)
 
@@ -249,6 +263,85 @@ def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.select("a", "ca", "b", "cb", "same", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x != y")
 
 
+def _crowded_links(crowd: DataFrame, found: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, ca, b, cb): pairs that join two components within the regions of ``crowd``, at most one for each two in a chunk.
+
+    A region's nodes are dealt into chunks; those outside its largest component go to every chunk and are
+    compared there, one after another, with all the nodes of the chunk by their hashed shingles.
+    """
+    named = found.select("id", F.col("component").alias("c"))
+    rows = crowd.join(named, "id", "left").select("region", "id", "check", F.coalesce("c", "id").alias("c"))
+    counts = rows.groupBy("region", "c").agg(F.count("*").alias("n"))
+    open_regions = counts.groupBy("region").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    chunks = F.ceil(F.col("total") / CHUNK).cast("int")
+    placed = rows.join(open_regions.select("region", "main", chunks.alias("chunks")), "region")
+    member = placed.select("region", "id", "check", "c", F.pmod(F.xxhash64("id", "check"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("probe"))
+    probes = placed.where("c != main").select("region", "id", "check", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("probe"))
+    full = member.union(probes).join(texts, ["id", "check"]).repartition("region", "chunk").sortWithinPartitions("region", "chunk", "probe")
+    ddl = "a bigint, ca bigint, b bigint, cb bigint"
+    schema = arrow_schema(ddl)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = None
+        for batch in batches:
+            out = []
+            for region, number, probe, i, check, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if chunk is None or chunk.key != (region, number):
+                    chunk = _Chunk((region, number), percent)
+                hashes = shingle_hashes(words_of(text), k)
+                if probe:
+                    out += chunk.links(i, check, c, hashes)
+                else:
+                    chunk.add(i, check, c, hashes)
+            columns = zip(*out, strict=True) if out else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return full.select("region", "chunk", "probe", "id", "check", "c", "text").mapInArrow(compare, ddl).distinct()
+
+
+class _Chunk:
+    """Nodes of a region with their hashed shingles, to compare others with."""
+
+    def __init__(self, key: tuple[int, int], percent: int) -> None:
+        self.key, self.percent = key, percent
+        self.nodes: list[tuple[int, int]] = []
+        self.components: list[int] = []
+        self.hashes: list[np.ndarray] = []
+        self.merged: dict[int, int] = {}
+
+    def add(self, i: int, check: int, component: int, hashes: np.ndarray) -> None:
+        self.nodes.append((i, check))
+        self.components.append(component)
+        self.hashes.append(hashes)
+
+    def _root(self, component: int) -> int:
+        while component in self.merged:
+            component = self.merged[component]
+        return component
+
+    def links(self, i: int, check: int, component: int, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """For each other component that the node is similar to a link, smaller id first; they count as one from then on."""
+        if not self.nodes:
+            return
+        if self.hashes:
+            self.sizes = np.array([len(h) for h in self.hashes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.values, self.which = np.unique(np.concatenate(self.hashes), return_inverse=True)
+            self.labels = np.array(self.components)
+            self.hashes = []
+        own = self._root(component)
+        at = np.minimum(np.searchsorted(self.values, hashes), len(self.values) - 1)
+        has = np.zeros(len(self.values), np.int64)
+        has[at[self.values[at] == hashes]] = 1
+        both = np.add.reduceat(has[self.which], self.starts)
+        for m in np.flatnonzero(100 * both >= self.percent * (self.sizes + len(hashes) - both)).tolist():
+            other = self._root(int(self.labels[m]))
+            if other != own:
+                self.merged[other] = own
+                j, other_check = self.nodes[m]
+                yield (i, check, j, other_check) if i < j else (j, other_check, i, check)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept), one row per row of ``docs``; other columns are ignored.
 
@@ -261,21 +354,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     some = signed.where("n > 0 and id is not null")
     first = F.min(F.struct("id", "check"))
     nodes = some.groupBy("key").agg(first.alias("node"), F.first("regions").alias("regions"), F.first("low").alias("low"))
-    pairs = materialize(_candidates(nodes.select("node.*", "regions", "low"), percent))
+    made = materialize(_candidates(nodes.select("node.*", "regions", "low"), percent))
+    pairs = made.where("same >= 0")
+    crowd = made.where("same < 0").select(F.col("a").alias("id"), F.col("ca").alias("check"), F.col("b").alias("region"))
 
-    ends = pairs.select("a", "ca").union(pairs.select("b", "cb")).distinct().toDF("id", "check")
+    ends = made.select("a", "ca").union(pairs.select("b", "cb")).distinct().toDF("id", "check")
     text = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).withColumn("check", F.xxhash64("text"))
     texts = materialize(text.join(ends, ["id", "check"], "left_semi").dropDuplicates(["id", "check"]))
 
     links = materialize(_confirm(_first_picks(pairs), texts, shingle, percent))
     found = components(links)
     best = lambda p: p.groupBy("x", "y").agg(F.max_by(F.struct("a", "ca", "b", "cb"), F.struct("same", "a", "b")).alias("p")).select("p.*")
-    for pick in (best, lambda p: p.select("a", "ca", "b", "cb")):
-        open_pairs = pick(_across(pairs, found))
-        more = materialize(_confirm(open_pairs, texts, shingle, percent))
+    candidates = (
+        lambda: best(_across(pairs, found)),
+        lambda: _across(pairs, found).select("a", "ca", "b", "cb"),
+        # a part of the crowded regions joins most of what they can join, so the rest moves few texts
+        lambda: _crowded_links(crowd.where("pmod(region, 4) = 0"), found, texts, shingle, percent),
+        lambda: _crowded_links(crowd.where("pmod(region, 4) != 0"), found, texts, shingle, percent),
+    )
+    for pick in candidates:
+        more = materialize(_confirm(pick(), texts, shingle, percent))
         if more.isEmpty():
             continue
-        links = links.union(more)
         found = components(found.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     sets = some.groupBy("key").agg(F.min("id").alias("rep"))
     return _label(signed, sets, found, id_col)
