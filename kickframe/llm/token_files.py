@@ -29,7 +29,7 @@ MAGIC = b"RPG1"
 #: Ids after which a shard is closed, at the end of a document.
 SHARD_IDS = 1 << 18
 #: Rounds of replacement at most, pairs replaced in a round, and times that a pair must occur.
-ROUNDS, PAIRS, LEAST = 4, 1024, 8
+ROUNDS, PAIRS, LEAST = 32, 1024, 8
 _BITS = 18
 _ODD = np.array([0x9E3779B1, 0x85EBCA77], np.uint32)
 
@@ -54,9 +54,9 @@ def _frequent(stream: np.ndarray, pairs: int, least: int) -> tuple[np.ndarray, n
     return values[order], places[good], ranks[good]
 
 
-def _chosen(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Which places to replace: those better than the overlapping ones, and every second of a run of one rank."""
-    none, n = len(places), len(places)
+def _winners(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which places are better than the overlapping ones; of a run of one rank every second."""
+    none, n = ranks.max() + 1, len(places)
     joined = np.diff(places) == 1
     fresh = np.append(True, ~joined | (ranks[1:] != ranks[:-1]))
     start = np.flatnonzero(fresh)
@@ -68,6 +68,19 @@ def _chosen(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return wins[run] & ((np.arange(n) - start[run]) % 2 == 0)
 
 
+def _chosen(places: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which places to replace: the better pairs first, then all others that do not overlap what is chosen."""
+    chosen, left = np.zeros(len(places), bool), np.arange(len(places))
+    while len(left):
+        wins = _winners(places[left], ranks[left])
+        chosen[left[wins]] = True
+        taken = places[left[wins]]
+        at = np.searchsorted(taken, places[left])
+        near = np.minimum(np.abs(places[left] - taken[np.minimum(at, len(taken) - 1)]), np.abs(places[left] - taken[np.maximum(at - 1, 0)]))
+        left = left[near > 1]
+    return chosen
+
+
 def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, lengths, stream); symbol ``first`` + k stands for the pair rules[k]."""
     stream, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
