@@ -183,8 +183,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
     Texts without secrets, null ones too, stay as they are. ``length_col`` is counted anew where a text changed.
     """
     names = docs.columns
-    found = scan(docs.withColumn("__raw", F.col(text_col)), rules, id_col, text_col, keep=(*[c for c in names if c not in (id_col, text_col)], "__raw"))
-    text = F.col("__raw")
+    rest = F.struct(*[F.col(c) for c in names if c != text_col], F.col(text_col).isNull().alias("__null"), text_of(text_col).alias("__text"))
+    hidden = docs.select(F.col(id_col).alias("__key"), rest.alias("__rest"))
+    found = scan(hidden.withColumn("__body", F.col("__rest.__text")), rules, "__key", "__body", keep=("__rest",))
+    text = F.col("__rest.__text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -192,10 +194,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
     whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text))
+    changed = F.size("spans") > 0
+    new = {text_col: F.when(changed, whole).when(~F.col("__rest.__null"), text)}
     if length_col in names:
-        out = out.withColumn(length_col, F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*names)
+        # the text is made anew where its length is asked for, but only in the few rows that changed
+        new[length_col] = F.when(changed, F.length(whole).cast(docs.schema[length_col].dataType)).otherwise(F.col("__rest")[length_col])
+    return found.select(*[new.get(c, F.col("__rest")[c]).alias(c) for c in names])
 
 
 def digest(spans: Column) -> Column:
