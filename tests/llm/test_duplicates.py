@@ -174,3 +174,16 @@ def test_decontaminate_blocks_and_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {5, 6, 7, 8}.isdisjoint(r.doc_id for r in kept.select("doc_id").collect()) and kept.count() == 5
     assert decontaminate.search(none, items).count() == 0
     assert {r.n_words for r in decontaminate.search(odd, items.limit(0)).select("n_words").collect()} >= {0, 3}
+
+
+def test_passages_without_a_common_neighbour(spark):
+    """Two texts share a passage; all others have parts of it that are too short for one and sort between them or before."""
+    rng = random.Random(3)
+    shared = words(rng, 60, 10**6)
+    text = lambda part: " ".join([*words(rng, 40, 10**6), *part, *words(rng, 40, 10**6)])
+    docs = [(i, text(shared[o : o + 36])) for i in range(1, 150) for o in [rng.randrange(25)]]
+    docs += [(1000, text(shared)), *((1000 + i, text(shared[o : o + 36])) for i in range(1, 150) for o in [rng.randrange(25)]), (2000, text(shared))]
+    nodes = spark.createDataFrame([(i, i, t) for i, t in docs], "id bigint, node bigint, text string")
+    pairs, found = passage_dedup.passage_pairs(nodes)
+    assert any((r.a, r.b) == (1000, 2000) and r.a_start <= 41 and r.a_end >= 99 for r in pairs.collect())
+    assert {r.id: r.component for r in found.collect()}[2000] == 1000
