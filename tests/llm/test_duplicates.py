@@ -187,3 +187,10 @@ def test_passages_without_a_common_neighbour(spark):
     pairs, found = passage_dedup.passage_pairs(nodes)
     assert any((r.a, r.b) == (1000, 2000) and r.a_start <= 41 and r.a_end >= 99 for r in pairs.collect())
     assert {r.id: r.component for r in found.collect()}[2000] == 1000
+
+
+@pytest.mark.parametrize("times", [1, 8, 9, 40])
+def test_areas_of_a_passage_once_against_many_times(times):
+    meetings = [(f, 20 + f, 200 * k + 20 + f, 20 + f, 30 - f) for f in range(2) for k in range(times)]
+    want = [(0, 50, 200 * k, 200 * k + 50) for k in range(times)]
+    assert sorted(passage_dedup._areas(meetings, 2), key=lambda a: a[2]) == want
