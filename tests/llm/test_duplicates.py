@@ -194,3 +194,51 @@ def test_areas_of_a_passage_once_against_many_times(times):
     meetings = [(f, 20 + f, 200 * k + 20 + f, 20 + f, 30 - f) for f in range(2) for k in range(times)]
     want = [(0, 50, 200 * k, 200 * k + 50) for k in range(times)]
     assert sorted(passage_dedup._areas(meetings, 2), key=lambda a: a[2]) == want
+
+
+def changed(w, *places):
+    return [f"y{i}" if i in places else x for i, x in enumerate(w)]
+
+
+def verified(one, two):
+    import numpy as np
+
+    a, b = (passage_dedup.shingle_sequence([x.encode() for x in w], 5) for w in (one, two))
+    return [(np.array(p) + (0, 5, 0, 5)).tolist() for p in passage_dedup._passages(a, b, 46, 80)]
+
+
+@pytest.mark.parametrize(("n", "place"), [(52, 2), (54, 4), (52, 49), (54, 49)])
+def test_passages_with_a_change_near_an_end(n, place):
+    w = words(random.Random(n), n, 10**6)
+    ((a, b, c, d),) = verified(w, changed(w, place))
+    assert b - a >= 50 and d - c >= 50
+
+
+def test_passages_before_a_stretch_of_changes():
+    w = words(random.Random(4), 200, 10**6)
+    found = verified(w, changed(w, 44, *range(89, 200, 10)))
+    assert any(a <= 0 and b >= 89 for a, b, _, _ in found)
+
+
+def test_passages_are_those_of_every_run():
+    """Wherever some pair of stretches on one diagonal passes, what is found covers its shared shingles."""
+    import numpy as np
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        w = words(rng, 110, 10**6 if seed % 3 else 60)
+        v = changed(w, *rng.sample(range(110), rng.randrange(3, 14)))
+        a, b = (passage_dedup.shingle_sequence([x.encode() for x in t], 5) for t in (w, v))
+        found = list(passage_dedup._passages(a, b, 46, 80))
+        for i, j, low, high in found:
+            assert j - i >= 45 and high - low >= 45 and plain_similar(a[i : j + 1], b[low : high + 1])
+        covered = {x for i, j, _, _ in found for x in range(i, j + 1)}
+        for i in range(len(a)):
+            for j in range(i + 45, len(a)):
+                if plain_similar(a[i : j + 1], b[i : j + 1]):
+                    assert set((np.flatnonzero(a[i : j + 1] == b[i : j + 1]) + i).tolist()) <= covered
+
+
+def plain_similar(a, b):
+    one, two = set(a.tolist()), set(b.tolist())
+    return 100 * len(one & two) >= 80 * len(one | two)
