@@ -182,7 +182,7 @@ def permutation_mapping_accuracy(spark, sf_dir):
 @query()
 def kmeans_lloyd(spark, sf_dir):
     """Lloyd's rounds from fixed centres; the first numbers of each centre."""
-    centres = cluster.lloyd(_embedded(spark, sf_dir), "feature", _CENTRES, rounds=5)
+    centres = cluster.lloyd(_embedded(spark, sf_dir), "feature", _CENTRES)
     return spark.createDataFrame([(k, *[round(v, 5) for v in c[:4]]) for k, c in enumerate(centres)], "label int, c0 double, c1 double, c2 double, c3 double")
 
 
