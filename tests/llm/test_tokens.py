@@ -94,6 +94,10 @@ def test_token_files_of_odd_rows(spark, odd, none, tmp_path):
     assert [s for _, s, _, _ in got] == list(np.cumsum([0, *(n for _, _, n, _ in got)])[:-1])
     ids = [i for i, *_ in got]
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
+    flat = np.concatenate([np.frombuffer(b, "<u4") for *_, b in got])
+    for a, b in ((0, len(flat)), (0, 1), (len(flat) - 1, len(flat)), (400, 90_000)):
+        parts = sorted((r.start, bytes(r.ids)) for r in token_files.read_range(spark, str(tmp_path / "f"), a, b).collect())
+        assert np.frombuffer(b"".join(x for _, x in parts), "<u4").tolist() == flat[a:b].tolist() and parts[0][0] == a
     token_files.write(none, str(tmp_path / "g"), public_tokenizers.path(WORDS), 2)
     assert token_files.read(spark, str(tmp_path / "g")).count() == 0
 
@@ -107,6 +111,31 @@ def test_grammar_round_trip(docs, data):
     a = data.draw(st.integers(0, len(flat)))
     b = data.draw(st.integers(a, len(flat)))
     assert shard.ids(a, b).tolist() == flat[a:b]
+    assert [shard.document(k).tolist() for k in range(len(docs))] == docs
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=600), st.integers(1, 5), st.integers(2, 9))
+def test_grammar_ends_when_no_pair_is_frequent(ids, pairs, least):
+    rules, lengths, stream = token_files.compress(np.array(ids, np.uint32), 5, pairs, least)
+    assert token_files.expand(stream, rules, 5).tolist() == ids
+    assert [len(token_files.expand(np.array([5 + k], np.uint32), rules, 5)) for k in range(len(rules))] == lengths.tolist()
+    pairs_left = list(zip(stream[:-1].tolist(), stream[1:].tolist(), strict=True))
+    assert all(pairs_left.count(p) < least for p in set(pairs_left))
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
+
+
+def test_grammar_of_a_period_and_of_more_rounds_than_a_few():
+    period = np.tile(np.arange(70, dtype=np.uint32), 4000)
+    rules, _, stream = token_files.compress(period, 70, pairs=1)
+    assert len(stream) < 200 and token_files.expand(stream, rules, 70).tolist() == period.tolist()
+
+
+def test_a_shard_is_read_by_itself():
+    docs = [np.arange(k, dtype=np.uint32) % 5 for k in (3, 1, 5000)]
+    shard = token_files.Shard(token_files.to_bytes(docs, 9, [None, -4, 7], 3, 1 << 40))
+    assert (shard.names, shard.part, shard.place) == ([None, -4, 7], 3, 1 << 40)
+    assert shard.ids(2000, 2003).tolist() == np.concatenate(docs)[2000:2003].tolist()
 
 
 def test_grammar_makes_repetition_small_and_finds_damage():
