@@ -16,13 +16,15 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kickframe.llm._common import text_of
+from kickframe.llm._common import materialize, text_of
 from kickframe.llm.exprs import let, words_of
 
 #: Words to a window of the repeated-words count.
 WINDOW = 8
-#: Rows at most from which selectivities are estimated; the estimates only order the rules.
-SAMPLE_ROWS = 1000
+#: Rows at most from which costs and selectivities are estimated, and the longest text of them in bytes; the estimates only order the rules.
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 100_000
+#: How often a rule is timed, and how often each row is judged in that time.
+TIMES, REPEATS = 3, 8
 #: Share of rows in that sample before the bound.
 SAMPLE_SHARE = 0.02
 
@@ -105,26 +107,35 @@ def _counts(parts: Column) -> dict[str, Column]:
     return {k: v.cast("bigint") for k, v in counts.items()}
 
 
+#: The counts that ``judge`` returns.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def _rejects(rule: Rule, parts: Column) -> Column:
     return rule.rejects(_counts(parts))
 
 
 def plan_order(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", share: float = SAMPLE_SHARE, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """The rules by rejections per second on a sample of at most ``rows`` rows, best first.
+    """The rules by rejections per second on a sample of at most ``rows`` rows of at most SAMPLE_BYTES, best first.
 
-    Each rule runs alone over the sample: its rejections give the selectivity, its time the cost. The
-    sample only orders the rules; with none (an empty table, say) they stay as given.
+    The sample is written to the shared folder, so no text reaches the driver. Each rule runs alone over it:
+    its rejections give the selectivity; its cost is the least time of several runs, in turn with the other
+    rules, less that of a run without a rule. The sample only orders the rules; with none (an empty table,
+    say) they stay as given.
     """
-    taken = docs.select(text_of(text_col).alias("text")).sample(fraction=share, seed=seed).take(rows)
-    if not taken:
+    texts = docs.select(text_of(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    sample = materialize(texts.sample(fraction=share, seed=seed).limit(rows)).coalesce(1)
+    again = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("n"))
+    jobs = [F.lit(False), *[let(_parts(F.concat("text", F.repeat(F.lit(" "), F.col("n")))), partial(_rejects, r)) for r in rules]]
+    took, rejected = [float("inf")] * len(jobs), [None] * len(jobs)
+    for _ in range(TIMES):
+        for k, job in enumerate(jobs):
+            began = time.perf_counter()
+            rejected[k] = again.agg(F.avg(job.cast("double"))).first()[0]
+            took[k] = min(took[k], time.perf_counter() - began)
+    if rejected[0] is None:
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(taken, "text string").coalesce(1)
-    worth = {}
-    for r in rules:
-        rejected = let(_parts(F.col("text")), partial(_rejects, r))
-        began = time.perf_counter()
-        share_out = sample.agg(F.avg(rejected.cast("double"))).first()[0]
-        worth[r.name] = (share_out or 0.0) / (time.perf_counter() - began)
+    worth = {r.name: rejected[k] / max(took[k] - took[0], 1e-4) for k, r in enumerate(rules, 1)}
     return sorted(rules, key=lambda r: -worth[r.name])
 
 
@@ -134,28 +145,32 @@ def _verdict(ordered: list[Rule], counts: Mapping[str, Column]) -> Column:
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = MORE, base: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text", share: float = SAMPLE_SHARE) -> DataFrame:
-    """(id, all counts, ``base_failed``, ``rejected_by``, ``kept``): one row per row of ``docs``, other columns ignored.
-
-    ``rejected_by`` is the first rule of the cascade to reject, or null; which of several rejecting rules
-    that is depends on the order chosen, ``kept`` does not. Empty and null texts have no words and are
-    rejected; repeated rows are judged alike; an empty table gives no rows.
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ``base_failed``, ``rejected_by``, ``kept``):
+    one row per row of ``docs``, other columns ignored.
+
+    The five counts are made for every row; what else the rules read is made within the cascade, where a rule
+    before has not rejected. ``rejected_by`` is the first rule of the cascade to reject, or null; which of
+    several rejecting rules that is depends on the order chosen, ``kept`` does not. Empty and null texts have
+    no words and are rejected; very long texts are counted whole; rows without id and repeated rows are
+    judged like others; an empty table gives no rows.
     """
     ordered = plan_order(docs, base + rules, text_col, share)
-    parts = docs.select(F.col(id_col), _parts(text_of(text_col)).alias("parts"))
-    counts = _counts(F.col("parts"))
-    measured = parts.select(id_col, *[v.alias(k) for k, v in counts.items()])
-    named = {k: F.col(k) for k in counts}
+    parts = docs.select(F.col(id_col), _parts(text_of(text_col)).alias("__parts"))
+    lazy = _counts(F.col("__parts"))
+    measured = parts.select(id_col, "__parts", *[lazy[k].alias(k) for k in COUNTS])
+    named = {**lazy, **{k: F.col(k) for k in COUNTS}}
     failed = F.lit(False)
     for r in base:
         failed = failed | r.rejects(named)
     judged = measured.withColumn("base_failed", failed).withColumn("rejected_by", _verdict(ordered, named))
-    return judged.withColumn("kept", F.col("rejected_by").isNull())
+    return judged.withColumn("kept", F.col("rejected_by").isNull()).drop("__parts")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = MORE, base: tuple[Rule, ...] = BASE, text_col: str = "text", share: float = SAMPLE_SHARE) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs``.
 
-    Counts are made inside the cascade, so a row pays for the rules up to the one that rejects it.
+    Counts are made inside the cascade, so a row pays for the rules up to the one that rejects it. Null and
+    empty texts go, an empty table stays empty; ids are not read, so null and repeated ones do not matter.
     """
     ordered = plan_order(docs, base + rules, text_col, share)
     return docs.where(let(_parts(text_of(text_col)), lambda p: _verdict(ordered, _counts(p))).isNull())

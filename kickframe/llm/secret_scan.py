@@ -103,21 +103,21 @@ def build_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_
     )
 
 
-def candidates(index: DataFrame, queries: dict[str, list[list[str]]], id_col: str = "doc_id") -> DataFrame:
-    """(id, rules): for each document that satisfies a trigram query, the kinds of such rules."""
+def candidates(index: DataFrame, queries: dict[int, list[list[str]]], id_col: str = "doc_id") -> DataFrame:
+    """(id, rules): for each document that satisfies a trigram query, the numbers of such rules."""
     none = F.array().cast("array<bigint>")
     lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "ids"))).alias("lists"))
     found = []
-    for kind, alternatives in queries.items():
+    for number, alternatives in queries.items():
         ids = none
         for grams in alternatives:
             both = F.coalesce(F.col("lists")[grams[0]], none)
             for g in grams[1:]:
                 both = F.array_intersect(both, F.coalesce(F.col("lists")[g], none))
             ids = F.array_union(ids, both)
-        found.append(F.arrays_zip(ids.alias("id"), F.array_repeat(F.lit(kind), F.size(ids)).alias("kind")))
-    hits = lists.select(F.explode(F.concat(*found)).alias("x")).select("x.id", "x.kind")
-    return hits.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("kind").alias("rules"))
+        found.append(F.arrays_zip(ids.alias("id"), F.array_repeat(F.lit(number), F.size(ids)).alias("rule")))
+    hits = lists.select(F.explode(F.concat(*found)).alias("x")).select("x.id", "x.rule")
+    return hits.groupBy(F.col("id").alias(id_col)).agg(F.collect_set("rule").alias("rules"))
 
 
 def _found(text: Column, rule: Rule, order: int) -> Column:
@@ -157,11 +157,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     Returns (id, spans) and the columns in ``keep``: one row per input row, ``spans`` an array of
     (start, order, end, kind, ok) by start and then by the rules' order, in code points, end exclusive.
-    A null text has no spans. A row without id is not in the index and is verified against all rules;
+    Several rules may have one kind. Ids are integers. A null or empty text has no spans; very long texts are
+    scanned whole. A row without id is not in the index and is verified against all rules;
     repeated ids are verified together if any row of them is a candidate, so each row has its own spans.
     Other columns of ``docs`` are ignored, whatever their names. An empty table gives no rows.
     """
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+    queries = {n: q for n, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for alternative in q for g in alternative})
     rows = docs.select(F.col(id_col), *[c for c in keep if c not in (id_col, text_col)], text_of(text_col).alias(text_col))
     none = F.array().cast(_SPANS)
@@ -169,10 +170,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         marked = candidates(build_index(docs, grams, id_col, text_col), queries, id_col).withColumnRenamed(id_col, "__id")
         rows = rows.join(marked.hint("shuffle_hash"), rows[id_col] == marked["__id"], "left").drop("__id")
     else:
-        rows = rows.withColumn("rules", F.array().cast("array<string>"))
+        rows = rows.withColumn("rules", F.array().cast("array<int>"))
     found = []
     for n, r in enumerate(rules):
-        asked = F.lit(True) if r.kind not in queries else F.col(id_col).isNull() | F.coalesce(F.array_contains("rules", r.kind), F.lit(False))
+        asked = F.lit(True) if n not in queries else F.col(id_col).isNull() | F.coalesce(F.array_contains("rules", n), F.lit(False))
         found.append(F.coalesce(F.when(asked, _found(F.col(text_col), r, n)), none))
     return rows.select(F.col(id_col), *[c for c in (*keep,) if c != id_col], F.sort_array(F.concat(*found)).alias("spans"))
 
@@ -180,7 +181,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with each secret span replaced by ``mask``, overlapping spans by one; same columns and rows.
 
-    Texts without secrets, null ones too, stay as they are. ``length_col`` is counted anew where a text changed.
+    Texts without secrets, null ones too, stay as they are; rows without id and repeated rows are masked like
+    others, and an empty table stays empty. ``length_col`` is counted anew where a text changed.
     """
     names = docs.columns
     rest = F.struct(*[F.col(c) for c in names if c != text_col], F.col(text_col).isNull().alias("__null"), text_of(text_col).alias("__text"))

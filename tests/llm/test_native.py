@@ -32,7 +32,7 @@ def test_redact(odd, same):
 def test_trigram_queries():
     q = secret_scan.trigram_query
     assert q("AKIA[A-Z0-9]{16,}") == [["aki", "kia"]]
-    assert q("(password|token)=") == [["=" if 0 else "asS".lower(), "d=" if 0 else "ass", *[]]][:0] or q("(password|token)=")
+    assert len(q("(password|token)=")) == 2
     assert {"pas", "ass", "rd="} <= set(q("(password|token)=")[0]) and "en=" in q("(password|token)=")[1]
     assert q("[0-9a-f]{24,}") == [] and q("a?b?c?") == [] and q("ab") == []
     assert q("x[ab]cde") and all("cde" in grams for grams in q("x[ab]cde"))
@@ -82,3 +82,16 @@ def test_no_python_in_native_plans(spark):
     for df in (secret_scan.scan(docs), secret_scan.redact(docs), quality_rules.judge(docs), quality_rules.keep_good(docs)):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_rules_of_one_kind_are_all_searched(spark):
+    rules = (secret_scan.Rule("key", "abc[0-9]+"), secret_scan.Rule("key", "xyz[0-9]+"))
+    rows = spark.createDataFrame([(1, "abc12"), (2, "xyz34"), (3, "xyz5 abc6"), (4, "none")], "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.scan(rows, rules).collect()}
+    assert got == {1: [(0, 5)], 2: [(0, 5)], 3: [(0, 4), (5, 9)], 4: []}
+
+
+def test_the_cascade_makes_dear_counts_late(spark):
+    """What only the cascade reads is not made in a projection before the verdict."""
+    judged = quality_rules.judge(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert "n_letter_words" not in judged.columns and "n_letter_words" not in judged._jdf.queryExecution().optimizedPlan().toString()
