@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kickframe.llm import decontaminate, minhash_dedup, packing, passage_dedup, quality_rules, secret_scan, substring_exact, token_counts, token_files, warc
 from kickframe.llm._common import read_table, shared_path
+from kickframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +86,3 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op4_passage_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
