@@ -54,15 +54,17 @@ def velocity_ema(df: DataFrame, key: Names, order: Names, value: str, keep: floa
 
 
 def controller(df: DataFrame, key: Names, order: Names, target: str, deadband: float, gain: float, smooth: float, most: float, low: float, high: float, start: float = 0.0) -> DataFrame:
-    """position: follows the target with a dead band, a smoothed velocity, a greatest step and a range."""
+    """position and velocity: follows the target with a dead band, a smoothed velocity, a greatest step and a range.
+
+    Only the step is limited; the velocity that is carried on is not. ``smooth`` of 1 steps by the wanted velocity itself.
+    """
 
     def step(s: dict, row: dict) -> tuple:
         p, v = s.get("p", start), s.get("v", 0.0)
         err = row[target] - p
         want = 0.0 if abs(err) < deadband else gain * err
         v += smooth * (want - v)
-        v = max(-most, min(most, v))
-        s["v"], s["p"] = v, max(low, min(high, p + v))
+        s["v"], s["p"] = v, max(low, min(high, p + max(-most, min(most, v))))
         return s["p"], v
 
     return ordered_fold(df, key, order, dict, step, "position double, velocity double")
@@ -98,11 +100,17 @@ def accept_moves(df: DataFrame, key: Names, order: Names, x: str, y: str, width:
 
 
 class Kalman:
-    """Constant velocity on each axis, both with one covariance since noise is the same on both."""
+    """Constant velocity on each axis, both with one covariance since noise is the same on both.
+
+    ``missed`` counts the rows since the last measurement and is 999 before the first.
+    """
+
+    def __init__(self, q: float = 50.0, r: float = 225.0, far: float = 200.0, lost: float = 400.0, decay: float = 0.92) -> None:
+        self.q, self.r, self.far, self.lost, self.decay = q, r, far, lost, decay
+        self.forget()
 
-    def __init__(self, q: float = 50.0, r: float = 225.0, far: float = 200.0, lost: float = 400.0, fresh: int = 10, decay: float = 0.92) -> None:
-        self.q, self.r, self.far, self.lost, self.fresh, self.decay = q, r, far, lost, fresh, decay
-        self.x: list[float] = []
+    def forget(self) -> None:
+        self.x, self.v, self.p, self.missed = [], [], (500.0, 0.0, 500.0), 999
 
     def _start(self, at: list[float]) -> None:
         self.x, self.v, self.p, self.missed = list(at), [0.0] * len(at), (500.0, 0.0, 500.0), 0
@@ -112,14 +120,18 @@ class Kalman:
         self.x = [x + v for x, v in zip(self.x, self.v, strict=True)]
         self.p = (a + 2 * b + c + self.q / 4, b + c + self.q / 2, c + self.q)
 
+    def away(self, at: list[float]) -> float:
+        return math.sqrt(sum((a - x) ** 2 for a, x in zip(at, self.x, strict=True)))
+
     def see(self, at: list[float]) -> None:
+        """A measurement. A far one right after another is taken for a mistake; a very far one later starts anew."""
         if not self.x:
             return self._start(at)
-        away = math.sqrt(sum((a - x) ** 2 for a, x in zip(at, self.x, strict=True)))
+        away = self.away(at)
+        if away > self.far and self.missed == 0:
+            return None
         if away > self.lost:
             return self._start(at)
-        if away > self.far and self.missed < self.fresh:
-            return None
         self._predict()
         a, b, c = self.p
         k0, k1 = a / (a + self.r), b / (a + self.r)
@@ -130,17 +142,19 @@ class Kalman:
         return None
 
     def miss(self) -> None:
+        """No measurement: the track moves on, and then its velocity decays, the faster the longer nothing is seen."""
+        self.missed += 1
         if self.x:
-            self.missed += 1
-            self.v = [v * self.decay ** min(self.missed, 30) for v in self.v]
             self._predict()
+            self.v = [v * self.decay ** min(self.missed, 30) for v in self.v]
 
 
 def kalman(df: DataFrame, key: Names, order: Names, values: Names, seen: str | None = None, **constants: float) -> DataFrame:
     """est_0, vel_0, … per value and ``missed``: a filtered track; rows whose ``seen`` is false only predict.
 
-    A measurement far from the track is ignored while the track is fresh and starts it anew when it is
-    lost; velocity decays while nothing is seen. Null until the first measurement.
+    A measurement more than ``far`` from the track is ignored if the row before was measured; else one more
+    than ``lost`` away starts the track anew. While nothing is seen the track moves on and its velocity
+    decays. Null until the first measurement.
     """
 
     def step(s: Kalman, row: dict) -> tuple:
@@ -201,34 +215,63 @@ def choose_blend(df: DataFrame, key: Names, order: Names, ball: str, crowd: str,
     return ordered_fold(df, key, order, dict, step, "target double, mode string")
 
 
-def choose_kalman(df: DataFrame, key: Names, order: Names, ball: str, conf: str, crowd: str, centre: float, high: float = 0.5, old: int = 30, **constants: float) -> DataFrame:
-    """target and mode: a sure ball, a seen ball, a blend of the track and the crowd that fades with the track's age, then crowd, hold and centre."""
+def choose_kalman(
+    df: DataFrame, key: Names, order: Names, ball: tuple[str, str], conf: str, players: str, cluster: tuple[str, str], crowd: tuple[str, str],
+    width: float = 1280.0, height: float = 720.0, high: float = 0.5, gate: float = 200.0, fresh: int = 10, old: int = 45, edge: float = 0.8, **constants: float,
+) -> DataFrame:
+    """target_x, target_y and mode, by the first rule that applies to a row:
 
-    def step(s: dict, row: dict) -> tuple:
-        k = s.setdefault("k", Kalman(**constants))
-        seen = row[ball] is not None
-        k.see([row[ball]]) if seen else k.miss()
-        if seen and row[conf] >= high:
-            at, mode = k.x[0], "ball_highconf"
-        elif seen:
-            at, mode = k.x[0], "ball"
-        elif k.x and k.missed < old:
-            age = k.missed / old
-            if row[crowd] is None:
-                at, mode = k.x[0], "kalman"
-            else:
-                w = max(0.85, 0.9 * (1 - age))
-                at, mode = w * k.x[0] + (1 - w) * row[crowd], "kalman_blend"
-        elif row[crowd] is not None:
-            at, mode = row[crowd], "players"
-        elif "at" in s:
-            at, mode = s["at"], "hold"
-        else:
-            at, mode = centre, "centre"
-        s["at"] = at
-        return at, mode
+    - ``ball_highconf``: a ball of confidence ``high`` or more, within ``gate`` of the track, as it was seen;
+    - ``ball``: the track, if a ball was seen fewer than ``fresh`` rows ago;
+    - ``kalman_blend``, ``kalman``: the track, if fewer than ``old`` rows ago, mostly, and for the rest the players' cluster
+      or, of four players or more, their weighted centre ``crowd``; a track that leaves the picture is forgotten;
+    - ``players``: a cluster beyond ``edge`` of half the width, else ``hold`` in the middle;
+    - ``few_players``: two or more without a cluster, a fifth of the way to their centre if that is beyond the edge, else ``hold``;
+    - ``single_player``: a twentieth of the way; ``centre``: nobody there.
 
-    return ordered_fold(df, key, order, dict, step, "target double, mode string")
+    The track is a Kalman filter over the ball. Cluster and crowd are features of a row, made before by the
+    cluster and centroid operators; null where there is none.
+    """
+    middle = width / 2, height / 2
+
+    def mixed(weight: float, a: tuple, b: tuple) -> tuple[float, float]:
+        return weight * a[0] + (1 - weight) * b[0], weight * a[1] + (1 - weight) * b[1]
+
+    def off(x: float) -> float:
+        return abs(x - middle[0]) / middle[0]
+
+    def choose(k: Kalman, row: dict) -> tuple[tuple[float, float], str]:
+        n = row[players] or 0
+        group = (row[cluster[0]], row[cluster[1]]) if n >= 2 and row[cluster[0]] is not None else None
+        centre = (row[crowd[0]], row[crowd[1]])
+        if row[ball[0]] is not None:
+            at = [row[ball[0]], row[ball[1]]]
+            k.see(at)
+            if row[conf] >= high and (k.missed >= old or k.away(at) <= gate):
+                return tuple(at), "ball_highconf"
+        else:
+            k.miss()
+        if k.x and k.missed < fresh:
+            return tuple(k.x), "ball"
+        if k.x and k.missed < old:
+            here = tuple(k.x)
+            if 0 <= here[0] <= width and 0 <= here[1] <= height:
+                weight = max(0.85, 0.9 * (1 - k.missed / old))
+                if group:
+                    return mixed(weight, here, group), "kalman_blend"
+                return (mixed(weight, here, centre), "kalman_blend") if n >= 4 else (here, "kalman")
+            k.forget()
+        if group:
+            return (group, "players") if off(group[0]) >= edge else (middle, "hold")
+        if n >= 2:
+            return (mixed(0.2, centre, middle), "few_players") if off(centre[0]) >= edge else (middle, "hold")
+        return (mixed(0.05, centre, middle), "single_player") if n == 1 else (middle, "centre")
+
+    def step(k: Kalman, row: dict) -> tuple:
+        (x, y), mode = choose(k, row)
+        return x, y, mode
+
+    return ordered_fold(df, key, order, lambda: Kalman(**constants), step, "target_x double, target_y double, mode string")
 
 
 def reanchor(df: DataFrame, key: Names, order: Names, time: str, far: str, target: str, backstop: float = 60.0, cooldown: float = 10.0, windows: int = 2, gain: float = 0.15, most: float = 3.0) -> DataFrame:
@@ -253,17 +296,24 @@ def reanchor(df: DataFrame, key: Names, order: Names, time: str, far: str, targe
     return ordered_fold(df, key, order, dict, step, "pan double, trigger string")
 
 
-def online_centres(df: DataFrame, key: Names, order: Names, feature: str, centres: list[list[float]], beta: float = 0.02, most: float = 2.5) -> DataFrame:
-    """assigned and distance to the nearest unit centre, which then moves a little towards the feature and is normalised."""
+def online_centres(df: DataFrame, key: Names, order: Names, feature: str, centres: list[list[float]], beta: float = 0.02, most: float = 2.5, farthest: float = 6.0, least_margin: float = 0.05) -> DataFrame:
+    """assigned, margin and distance to the nearest unit centre, which then moves a little towards the feature and is normalised.
+
+    A feature farther than ``farthest``, or nearer to the second centre by less than ``least_margin``, is not
+    assigned and moves nothing; one of ``most`` or farther is assigned and moves nothing.
+    """
 
     def step(s: list, row: dict) -> tuple:
         f = row[feature]
         d = [math.sqrt(sum((a - b) ** 2 for a, b in zip(c, f, strict=True))) for c in s]
         best = min(range(len(s)), key=d.__getitem__)
+        margin = sorted(d)[1] - d[best]
+        if d[best] > farthest or margin < least_margin:
+            return None, margin, d[best]
         if d[best] < most:
             moved = [(1 - beta) * a + beta * b for a, b in zip(s[best], f, strict=True)]
-            norm = math.sqrt(sum(a * a for a in moved)) or 1.0
+            norm = math.sqrt(sum(a * a for a in moved)) + 1e-8
             s[best] = [a / norm for a in moved]
-        return best, d[best]
+        return best, margin, d[best]
 
-    return ordered_fold(df, key, order, lambda: [list(c) for c in centres], step, "assigned int, distance double")
+    return ordered_fold(df, key, order, lambda: [list(c) for c in centres], step, "assigned int, margin double, distance double")

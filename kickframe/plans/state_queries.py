@@ -42,13 +42,17 @@ def velocity_ema(spark, sf_dir):
 
 
 def _step_v(p: str, v: str, x: str) -> str:
-    return f"greatest(-20.0, least(20.0, {v} + 0.4 * (CASE WHEN abs({x} - {p}) < 5 THEN 0.0 ELSE 0.3 * ({x} - {p}) END - {v})))"
+    return f"({v} + 0.4 * (CASE WHEN abs({x} - {p}) < 5 THEN 0.0 ELSE 0.3 * ({x} - {p}) END - {v}))"
+
+
+def _moved(p: str, v: str) -> str:
+    return f"greatest(0.0, least(300.0, {p} + greatest(-20.0, least(20.0, {v}))))"
 
 
 @query(
     _walk(
-        f"greatest(0.0, least(300.0, 0.0 + {_step_v('0.0', '0.0', 'value')}))::DOUBLE AS p, {_step_v('0.0', '0.0', 'value')}::DOUBLE AS v",
-        f"greatest(0.0, least(300.0, p + {_step_v('p', 'v', 'r.value')})), {_step_v('p', 'v', 'r.value')}",
+        f"{_moved('0.0', _step_v('0.0', '0.0', 'value'))}::DOUBLE AS p, {_step_v('0.0', '0.0', 'value')}::DOUBLE AS v",
+        f"{_moved('p', _step_v('p', 'v', 'r.value'))}, {_step_v('p', 'v', 'r.value')}",
         "round(p, 6) AS position, round(v, 6) AS velocity",
     )
 )
@@ -93,7 +97,7 @@ def _kalman_sql(n: int, seen: str = "true") -> str:
     zs = ["r.value", "CAST(r.event_id % 97 AS DOUBLE)"][:n]
     x, v = [f"x{i}" for i in range(n)], [f"v{i}" for i in range(n)]
     away = "sqrt(" + " + ".join(f"({z} - {a}) * ({z} - {a})" for z, a in zip(zs, x)) + ")"
-    state = f"CASE WHEN NOT {seen} THEN 'miss' WHEN {away} > 400 THEN 'start' WHEN {away} > 200 AND missed < 10 THEN 'ignore' ELSE 'see' END"
+    state = f"CASE WHEN NOT {seen} THEN 'miss' WHEN {away} > 200 AND missed = 0 THEN 'ignore' WHEN {away} > 400 THEN 'start' ELSE 'see' END"
     pa, pb, pc = "(a + 2 * b + c + 12.5)", "(b + c + 25)", "(c + 50)"
     k0, k1 = f"({pa} / ({pa} + 225))", f"({pb} / ({pa} + 225))"
     decay = "pow(0.92, least(missed + 1, 30))"
@@ -101,7 +105,7 @@ def _kalman_sql(n: int, seen: str = "true") -> str:
     cols = []
     for i in range(n):
         z = f"z{i}"
-        cols.append(f"{case(z, f'x{i} + v{i} * {decay}', f'x{i} + v{i} + {k0} * ({z} - x{i} - v{i})', f'x{i}')} AS x{i}")
+        cols.append(f"{case(z, f'x{i} + v{i}', f'x{i} + v{i} + {k0} * ({z} - x{i} - v{i})', f'x{i}')} AS x{i}")
         cols.append(f"{case('0.0', f'v{i} * {decay}', f'v{i} + {k1} * ({z} - x{i} - v{i})', f'v{i}')} AS v{i}")
     cols += [f"{case('500.0', pa, f'(1 - {k0}) * {pa}', 'a')} AS a", f"{case('0.0', pb, f'(1 - {k0}) * {pb}', 'b')} AS b", f"{case('500.0', pc, f'{pc} - {k1} * {pb}', 'c')} AS c", f"{case('0', 'missed + 1', '0', 'missed')} AS missed"]
     first = ", ".join([f"{z.replace('r.', '')} AS x{i}, 0.0::DOUBLE AS v{i}" for i, z in enumerate(zs)] + ["500.0::DOUBLE AS a, 0.0::DOUBLE AS b, 500.0::DOUBLE AS c, 0 AS missed"])
@@ -158,10 +162,50 @@ def target_choice_blend(spark, sf_dir):
     return out.select("event_id", F.round("target", 6).alias("target"), "mode")
 
 
-@query()
+#: What a frame shows: a ball on clicks, up to four players, and a cluster of them now and then.
+_SCENE = {
+    "ball_x": "CASE WHEN event_type = 'click' THEN value * 4 END",
+    "ball_y": "CASE WHEN event_type = 'click' THEN CAST(event_id % 97 * 8 AS DOUBLE) END",
+    "conf": "event_id % 10 / 10.0",
+    "n": "CASE WHEN event_id % 4 = 3 THEN 0 ELSE event_id % 5 END",
+    "cx": "CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 31 % 1280 AS DOUBLE) END",
+    "cy": "CASE WHEN event_id % 3 = 0 THEN CAST(event_id * 17 % 720 AS DOUBLE) END",
+    "gx": "CAST(event_id * 13 % 1280 AS DOUBLE)",
+    "gy": "CAST(event_id * 7 % 720 AS DOUBLE)",
+}
+
+
+def _cascade_sql(fresh: int = 2, old: int = 5) -> str:
+    """The track as a recursive query, one stage for what happens to it and one for whether it leaves the picture; then the rules."""
+    pa, pb, pc = "(a + 2 * b + c + 12.5)", "(b + c + 25)", "(c + 50)"
+    k0, k1 = f"({pa} / ({pa} + 225))", f"({pb} / ({pa} + 225))"
+    by_case = lambda start, miss, see, same: f"CASE st WHEN 'start' THEN {start} WHEN 'miss' THEN {miss} WHEN 'see' THEN {see} ELSE {same} END"
+    away = "sqrt((s.ball_x - x) * (s.ball_x - x) + (s.ball_y - y) * (s.ball_y - y))"
+    what = f"CASE WHEN NOT live THEN CASE WHEN s.ball_x IS NULL THEN 'none' ELSE 'start' END WHEN s.ball_x IS NULL THEN 'miss' WHEN {away} > 200 AND missed = 0 THEN 'ignore' WHEN {away} > 400 THEN 'start' ELSE 'see' END"
+    axis = lambda p, v, z: f"{by_case(z, f'{p} + {v}', f'{p} + {v} + {k0} * ({z} - {p} - {v})', p)} AS {p}, {by_case('0.0', f'{v} * pow(0.92, least(missed + 1, 30))', f'{v} + {k1} * ({z} - {p} - {v})', v)} AS {v}"
+    moved = f"""SELECT user_id, rn, st <> 'none' AS known, {axis('x', 'vx', 'zx')}, {axis('y', 'vy', 'zy')}, {by_case('500.0', pa, f'(1 - {k0}) * {pa}', 'a')} AS a,
+{by_case('0.0', pb, f'(1 - {k0}) * {pb}', 'b')} AS b, {by_case('500.0', pc, f'{pc} - {k1} * {pb}', 'c')} AS c, CASE WHEN st IN ('start', 'see') THEN 0 WHEN st = 'ignore' THEN missed ELSE missed + 1 END AS missed
+FROM (SELECT s.user_id, s.rn, s.ball_x AS zx, s.ball_y AS zy, {what} AS st, live, x, vx, y, vy, a, b, c, missed FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) u"""
+    lost = f"(known AND missed >= {fresh} AND missed < {old} AND (x < 0 OR x > 1280 OR y < 0 OR y > 720))"
+    walk = f"""f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, false AS known, false AS live, 0.0::DOUBLE AS x, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS y, 0.0::DOUBLE AS vy, 500.0::DOUBLE AS a, 0.0::DOUBLE AS b, 500.0::DOUBLE AS c, 999 AS missed FROM s
+UNION ALL SELECT user_id, rn, known, known AND NOT {lost}, x, vx, y, vy, a, b, c, CASE WHEN {lost} THEN 999 ELSE missed END FROM ({moved}) m)"""
+    rules = f"""CASE WHEN ball_x IS NOT NULL AND conf >= 0.5 AND sqrt((ball_x - x) * (ball_x - x) + (ball_y - y) * (ball_y - y)) <= 200 THEN 'ball_highconf' WHEN known AND missed < {fresh} THEN 'ball'
+WHEN live AND missed < {old} THEN CASE WHEN n >= 2 AND cx IS NOT NULL OR n >= 4 THEN 'kalman_blend' ELSE 'kalman' END
+WHEN n >= 2 AND cx IS NOT NULL THEN CASE WHEN abs(cx - 640) / 640 >= 0.8 THEN 'players' ELSE 'hold' END
+WHEN n >= 2 THEN CASE WHEN abs(gx - 640) / 640 >= 0.8 THEN 'few_players' ELSE 'hold' END WHEN n = 1 THEN 'single_player' ELSE 'centre' END"""
+    w = f"greatest(0.85, 0.9 * (1 - missed / {old}))"
+    at = lambda ball, p, c, g, half: f"CASE mode WHEN 'ball_highconf' THEN {ball} WHEN 'ball' THEN {p} WHEN 'kalman' THEN {p} WHEN 'kalman_blend' THEN {w} * {p} + (1 - {w}) * coalesce({c}, {g}) WHEN 'players' THEN {c} WHEN 'few_players' THEN 0.2 * {g} + 0.8 * {half} WHEN 'single_player' THEN 0.05 * {g} + 0.95 * {half} ELSE {half} END"
+    scene = ", ".join(f"{v} AS {k}" for k, v in _SCENE.items())
+    return f"""WITH RECURSIVE s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {scene} FROM events), {walk}
+SELECT event_id, round({at('ball_x', 'x', 'cx', 'gx', '640.0')}, 6) AS target_x, round({at('ball_y', 'y', 'cy', 'gy', '360.0')}, 6) AS target_y, mode
+FROM (SELECT s.*, f.known, f.live, f.x, f.y, f.missed, {rules} AS mode FROM s JOIN f USING (user_id, rn)) q"""
+
+
+@query(_cascade_sql())
 def target_choice_kalman(spark, sf_dir):
-    e = _targets(spark, sf_dir).withColumn("conf", (F.col("event_id") % 10) / 10.0)
-    return control.choose_kalman(e, KEY, ORDER, "ball", "conf", "crowd", 100.0).select("event_id", F.round("target", 6).alias("target"), "mode")
+    e = _e(spark, sf_dir).selectExpr("*", *[f"{v} AS {k}" for k, v in _SCENE.items()])
+    out = control.choose_kalman(e, KEY, ORDER, ("ball_x", "ball_y"), "conf", "n", ("cx", "cy"), ("gx", "gy"), fresh=2, old=5)
+    return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
 
 
 @query(
@@ -176,10 +220,25 @@ def reanchor_triggers(spark, sf_dir):
     return out.select("event_id", F.round(F.col("pan") + 3e-9, 6).alias("pan"), "trigger")  # moves exact halves off the last place
 
 
-@query()
+def _centres_sql() -> str:
+    d = ", ".join(f"sqrt(list_sum(list_transform(list_zip(c{k}, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d{k}" for k in range(3))
+    unit = lambda k: f"[{', '.join('1.0' if i == k else '0.0' for i in range(64))}]::DOUBLE[]"
+    near = "CASE WHEN d0 <= d1 AND d0 <= d2 THEN 0 WHEN d1 <= d2 THEN 1 ELSE 2 END"
+    fits = "best <= 6 AND margin >= 0.05"
+    new = lambda k: f"CASE WHEN i = {k} AND {fits} AND best < 2.5 THEN list_transform(m{k}, lambda q: q / (sqrt(list_sum(list_transform(m{k}, lambda z: z * z))) + 1e-8)) ELSE c{k} END"
+    moved = ", ".join(f"list_transform(list_zip(c{k}, v), lambda z: 0.98 * z[1] + 0.02 * z[2]) AS m{k}" for k in range(3))
+    return f"""WITH RECURSIVE s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+f AS (SELECT DISTINCT label, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS vec_id, {', '.join(f'{unit(k)} AS c{k}' for k in range(3))}, CAST(NULL AS INTEGER) AS assigned, 0.0::DOUBLE AS margin, 0.0::DOUBLE AS best FROM s
+UNION ALL SELECT label, rn, vec_id, {', '.join(new(k) for k in range(3))}, CASE WHEN {fits} THEN i END, margin, best FROM (
+SELECT *, {near} AS i, least(d0, d1, d2) AS best, list_sort([d0, d1, d2])[2] - least(d0, d1, d2) AS margin, {moved} FROM (
+SELECT s.label, s.rn, s.vec_id, s.v, c0, c1, c2, {d} FROM f JOIN s ON s.label = f.label AND s.rn = f.rn + 1) a) b)
+SELECT vec_id, assigned, round(margin, 6) AS margin, round(best, 6) AS distance FROM f WHERE rn > 0"""
+
+
+@query(_centres_sql())
 def online_centre_ema(spark, sf_dir):
     """Features of the embeddings in order of id, one series per label."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("feature"))
     centres = [[1.0 if i == k else 0.0 for i in range(64)] for k in range(3)]
     out = control.online_centres(e, ["label"], ["vec_id"], "feature", centres)
-    return out.select("vec_id", "assigned", F.round("distance", 6).alias("distance"))
+    return out.select("vec_id", "assigned", F.round("margin", 6).alias("margin"), F.round("distance", 6).alias("distance"))
