@@ -12,24 +12,31 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def parse_frame_name(name: Column) -> Column:
-    """struct(clip, t, yaw) of ``<clip>_t<seconds>_yaw<+-degrees>``, with or without a hash suffix; nulls otherwise."""
-    stem = F.regexp_replace(F.regexp_replace(name, r"\.rf\.[0-9a-f]+", ""), r"_(jpg|png)$|\.(jpg|png)$", "")
-    pattern = r"^(.+?)_t(\d+)_yaw([+-]?\d+)"
-    return F.struct(found(stem, pattern, 1).alias("clip"), found(stem, pattern, 2).cast("int").alias("t"), found(stem, pattern, 3).cast("int").alias("yaw"))
+    """struct(clip, t, yaw) of ``VID_n_n_n_n_t<seconds>_yaw<+-degrees>_det`` or ``_neg``, with or without an export's hash; nulls otherwise."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^./]*$", ""), r"_jpg\.rf\.[a-f0-9]+$", "")
+    pattern = r"^(VID_\d+_\d+_\d+_\d+)_t(\d+)_yaw([+-]?\d+)_(?:det|neg)"
+    return F.struct(found(stem, pattern, 1).alias("clip"), found(stem, pattern, 2).cast("double").alias("t"), found(stem, pattern, 3).cast("double").alias("yaw"))
 
 
 def sequence_key(name: Column, modified: Column) -> Column:
-    """The three-digit number that ends a file name, else the minute of its last change."""
-    return F.coalesce(found(name, r"_(\d{3})(?:\.\w+)?$"), F.date_format(modified, "yyyyMMddHHmm"))
+    """The three-digit number that ends a file name, else the whole minutes from the epoch to its last change."""
+    return F.coalesce(found(name, r"_(\d{3})(?:\.\w+)?$"), F.floor(F.unix_timestamp(modified) / 60).cast("string"))
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9_\-]", "_")
+    """A name for a folder: all but letters and digits of any script, _ and - become _."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}_\-]", "_")
+
+
+def place_slug(text: Column) -> Column:
+    """A key for a place: lower case, each run of white space one _."""
+    return F.regexp_replace(F.lower(text), r"\s+", "_")
 
 
 def video_id(url: Column) -> Column:
-    """The eleven characters that name a video in a watch, short or embed address."""
-    return F.coalesce(*[found(url, p) for p in (r"[?&]v=([A-Za-z0-9_-]{11})", r"youtu\.be/([A-Za-z0-9_-]{11})", r"/embed/([A-Za-z0-9_-]{11})")])
+    """The eleven characters that name a video in a watch, short or embed address of the one site."""
+    patterns = (r"youtube\.com/watch\?v=([a-zA-Z0-9_-]{11})", r"youtu\.be/([a-zA-Z0-9_-]{11})", r"youtube\.com/embed/([a-zA-Z0-9_-]{11})")
+    return F.coalesce(*[found(url, p) for p in patterns])
 
 
 def clock(seconds: Column) -> Column:

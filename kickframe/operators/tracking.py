@@ -27,19 +27,25 @@ def track(df: DataFrame, clip: list[str], frame: str, order: list[str], box: tup
 
     A track is forgotten after more than ``forget`` frames without a box. With ``reuse_new`` a track begun in
     a frame may be taken by a later box of that frame. The label is the commonest of the track's last
-    ``history`` votes if it has enough of them, the first of equals; null otherwise.
+    ``history`` votes if it has enough of them, the first of equals; null otherwise. ``least_iou`` is above 0.
     """
 
+    names = list(box)
+
     def step(s: _Tracks, row: dict) -> tuple:
         if row[frame] != s.frame:
             s.frame = row[frame]
             s.tracks = {k: t for k, t in s.tracks.items() if s.frame - t["seen"] <= forget + 1}
             for t in s.tracks.values():
                 t["used"] = False
-        b = tuple(row[c] for c in box)
+        b = x1, y1, x2, y2 = tuple(map(row.__getitem__, names))
         best, score = None, least_iou
         for k, t in s.tracks.items():
-            if not t["used"] and (over := _iou(t["box"], b)) >= score and (best is None or over > score):
+            # most boxes are apart, which two comparisons show
+            o = t["box"]
+            if o[0] >= x2 or o[2] <= x1 or o[1] >= y2 or o[3] <= y1 or t["used"]:
+                continue
+            if (over := _iou(o, b)) >= score and (best is None or over > score):
                 best, score = k, over
         if best is None:
             best, s.next = s.next, s.next + 1

@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from kickframe.operators import aggregates, boxes, cluster, tracking
 from kickframe.plans.registry import query, table
 
-#: One box per line item: the first of each order and line number, so that ids are unique in a frame.
-_B = """(SELECT l_orderkey AS frame, CAST(l_linenumber AS BIGINT) AS id, x1, y1, x1 + w AS x2, y1 + h AS y2, conf FROM (
-SELECT *, CAST(l_partkey % 300 AS DOUBLE) AS x1, CAST(l_suppkey * 7 % 200 AS DOUBLE) AS y1, l_quantity * 4 AS w, l_quantity * 6 AS h, 1 - l_discount AS conf,
-row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_extendedprice, l_tax, l_discount) AS n FROM lineitem) a WHERE n = 1)"""
+#: One box per line item, numbered within its order.
+_B = """(SELECT frame, id, x1, y1, x1 + w AS x2, y1 + h AS y2, conf FROM (
+SELECT l_orderkey AS frame, CAST(l_partkey % 300 AS DOUBLE) AS x1, CAST(l_suppkey * 7 % 200 AS DOUBLE) AS y1, l_quantity * 4 AS w, l_quantity * 6 AS h, 1 - l_discount AS conf,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS id FROM lineitem) a)"""
 
 
 def _boxes(spark, sf_dir):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_extendedprice", "l_tax", "l_discount")
-    li = table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
+    li = table(spark, sf_dir, "lineitem").withColumn("id", F.row_number().over(w).cast("bigint"))
     x1, y1 = (F.col("l_partkey") % 300).cast("double"), (F.col("l_suppkey") * 7 % 200).cast("double")
-    return li.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("bigint").alias("id"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity") * 4).alias("x2"), (y1 + F.col("l_quantity") * 6).alias("y2"), (1 - F.col("l_discount")).alias("conf"))
+    return li.select(F.col("l_orderkey").alias("frame"), "id", x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity") * 4).alias("x2"), (y1 + F.col("l_quantity") * 6).alias("y2"), (1 - F.col("l_discount")).alias("conf"))
 
 
 def _structs(spark, sf_dir):
@@ -187,8 +187,8 @@ def kmeans_lloyd(spark, sf_dir):
 
 
 def _tracked(spark, sf_dir, **kwargs):
-    """Line numbers as frames of a clip of one thousand orders each."""
-    b = _boxes(spark, sf_dir).select((F.col("frame") % 100).alias("clip"), F.col("id").alias("t"), F.col("frame").alias("det"), "x1", "y1", "x2", "y2").withColumn("vote", F.when(F.col("det") % 4 != 0, F.concat(F.lit("team"), (F.col("det") % 2).cast("string"))))
+    """A box's number in its order as the frame of a clip of fifty orders, so clips grow in number with the data, not in length."""
+    b = _boxes(spark, sf_dir).select(F.expr("frame div 50").alias("clip"), F.col("id").alias("t"), F.col("frame").alias("det"), "x1", "y1", "x2", "y2").withColumn("vote", F.when(F.col("det") % 4 != 0, F.concat(F.lit("team"), (F.col("det") % 2).cast("string"))))
     return tracking.track(b, ["clip"], "t", ["det"], vote="vote", **kwargs).select("clip", "t", "det", "track_id", "label")
 
 

@@ -106,38 +106,58 @@ def clamps_and_scales(spark, sf_dir):
     return _pixels(spark, sf_dir).select("l_orderkey", "l_partkey", _r(g.edge_distance(F.col("px"), 960.0), "edge"), _r(g.scale_between(F.col("px"), 100, 800, 100, 150), "scaled"), _r(g.soft_step(F.col("yaw"), F.lit(10.0), 3.0), "stepped"))
 
 
-@query("""SELECT c_nationkey, round((90 - far + 90 - near) / 2 * 1.2, 8) + 0.0 AS tilt, round(least(greatest(abs(near - far) * 1.85, 100.0), 130.0), 8) AS fov FROM (
-SELECT c_nationkey, list_sum(list_transform(ys[1:7], lambda v: v / 1440 * 180)) / len(ys[1:7]) AS far, list_sum(list_transform(ys[8:], lambda v: v / 1440 * 180)) / len(ys[8:]) AS near FROM (
-SELECT c_nationkey, list(y ORDER BY c_custkey) AS ys FROM (SELECT c_nationkey, c_custkey, CAST(c_custkey * 37 % 1440 AS DOUBLE) AS y, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) a WHERE n <= 16 GROUP BY c_nationkey HAVING count(*) > 8) b) c""")
+@query("""SELECT polygon, round((90 - far + 90 - near) / 2 * 1.2, 8) + 0.0 AS tilt, round(least(greatest(abs(near - far) * 1.85, 100.0), 130.0), 8) AS fov FROM (
+SELECT polygon, list_sum(list_transform(ys[1:7], lambda v: v / 1440 * 180)) / len(ys[1:7]) AS far, list_sum(list_transform(ys[8:], lambda v: v / 1440 * 180)) / len(ys[8:]) AS near FROM (
+SELECT c_custkey // 16 AS polygon, list(CAST(c_custkey * 37 % 1440 AS DOUBLE) ORDER BY c_custkey) AS ys FROM customer GROUP BY c_custkey // 16 HAVING count(*) > 8) b) c""")
 def polygon_view(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", (F.col("c_custkey") * 37 % 1440).cast("double").alias("y"))
-    first = c.withColumn("n", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("n <= 16")
-    ys = first.groupBy("c_nationkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "y"))), lambda s: s["y"]).alias("ys")).where(F.size("ys") > 8)
+    """Every customer is a corner of one polygon; one of eight corners or fewer has no near side."""
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 16").alias("polygon"), F.struct("c_custkey", (F.col("c_custkey") * 37 % 1440).cast("double").alias("y")).alias("corner"))
+    ys = c.groupBy("polygon").agg(F.transform(F.sort_array(F.collect_list("corner")), lambda s: s["y"]).alias("ys")).where(F.size("ys") > 8)
     tilt, fov = g.polygon_view(F.col("ys"), 1440.0)
-    return ys.select("c_nationkey", _r(tilt, "tilt", 8), _r(fov, "fov", 8))
+    return ys.select("polygon", _r(tilt, "tilt", 8), _r(fov, "fov", 8))
 
 
-_NAME = "'VID_' || CAST(o_custkey % 7 AS VARCHAR) || '_010_t' || CAST(o_orderkey % 400 AS VARCHAR) || '_yaw' || CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END || CAST(o_orderkey % 45 AS VARCHAR) || '_det' || CASE WHEN o_orderkey % 3 = 0 THEN '_jpg.rf.0af3' WHEN o_orderkey % 3 = 1 THEN '.jpg' ELSE '' END"
+#: Frame names of every kind: whole, exported with a hash, of another camera, without a mark.
+_NAME = """CASE WHEN o_orderkey % 7 = 0 THEN 'CAM' ELSE 'VID' END || '_20241028_143616_' || CAST(o_custkey % 7 AS VARCHAR) || '_010_t' || CAST(o_orderkey % 400 AS VARCHAR) || '_yaw' ||
+CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END || CAST(o_orderkey % 45 AS VARCHAR) || CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN '_neg' ELSE '_det' END ||
+CASE WHEN o_orderkey % 3 = 0 THEN '_jpg.rf.0af3.jpg' WHEN o_orderkey % 3 = 1 THEN '.jpg' ELSE '' END"""
+_FRAME = "'^(VID_[0-9]+_[0-9]+_[0-9]+_[0-9]+)_t([0-9]+)_yaw([+-]?[0-9]+)_(det|neg)'"
 
 
-@query(f"""SELECT o_orderkey, nullif(regexp_extract(s, '^(.+?)_t([0-9]+)_yaw([+-]?[0-9]+)', 1), '') AS clip, CAST(nullif(regexp_extract(s, '^(.+?)_t([0-9]+)_yaw([+-]?[0-9]+)', 2), '') AS INTEGER) AS t, CAST(nullif(regexp_extract(s, '^(.+?)_t([0-9]+)_yaw([+-]?[0-9]+)', 3), '') AS INTEGER) AS yaw FROM (SELECT o_orderkey, {_NAME} AS s FROM orders) a""")
+@query(f"""SELECT o_orderkey, nullif(regexp_extract(s, {_FRAME}, 1), '') AS clip, CAST(nullif(regexp_extract(s, {_FRAME}, 2), '') AS DOUBLE) AS t, CAST(nullif(regexp_extract(s, {_FRAME}, 3), '') AS DOUBLE) AS yaw
+FROM (SELECT o_orderkey, regexp_replace(regexp_replace({_NAME}, '[.][^./]*$', ''), '_jpg[.]rf[.][a-f0-9]+$', '') AS s FROM orders) a""")
 def regex_parse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_NAME.replace('AS VARCHAR', 'AS STRING')} AS name")
+    return o.select("o_orderkey", x.parse_frame_name(F.col("name")).alias("p")).select("o_orderkey", "p.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') ELSE CAST(CAST(floor(epoch(CAST(o_orderdate AS TIMESTAMP)) / 60) AS BIGINT) AS VARCHAR) END AS sequence FROM orders""")
+def sequence_of_file(spark, sf_dir):
+    """Files named by number, and some that are known only by the time of their last change."""
     k = F.col("o_orderkey")
-    name = F.concat(F.lit("VID_"), (F.col("o_custkey") % 7).cast("string"), F.lit("_010_t"), (k % 400).cast("string"), F.lit("_yaw"), F.when(k % 2 == 0, "+").otherwise("-"), (k % 45).cast("string"), F.lit("_det"), F.when(k % 3 == 0, "_jpg.rf.0af3").when(k % 3 == 1, ".jpg").otherwise(""))
-    return o.select("o_orderkey", x.parse_frame_name(name).alias("p")).select("o_orderkey", "p.*")
+    name = F.when(k % 4 < 3, F.concat(F.lit("VID_00_"), F.lpad((k % 1000).cast("string"), 3, "0"), F.when(k % 2 == 0, ".insv").otherwise(""))).otherwise(F.concat(F.lit("clip"), k.cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", x.sequence_key(name, F.col("o_orderdate").cast("timestamp")).alias("sequence"))
+
 
+_URL = """CASE page_id % 5 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, 'aZ_-') || '&t=3' WHEN 1 THEN 'https://youtu.be/' || lpad(CAST(page_id AS VARCHAR), 11, 'b')
+WHEN 2 THEN 'http://youtube.com/embed/' || lpad(CAST(page_id AS VARCHAR), 11, '-9') WHEN 3 THEN 'https://example.org/watch?v=' || lpad(CAST(page_id AS VARCHAR), 11, 'c') ELSE url END"""
 
-@query("SELECT page_id, coalesce(nullif(regexp_extract(url, '[?&]v=([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, 'youtu\\.be/([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '/embed/([A-Za-z0-9_-]{11})', 1), '')) AS video_id FROM pages")
+
+@query(f"""SELECT page_id, coalesce(nullif(regexp_extract(u, 'youtube[.]com/watch[?]v=([a-zA-Z0-9_-]{{11}})', 1), ''), nullif(regexp_extract(u, 'youtu[.]be/([a-zA-Z0-9_-]{{11}})', 1), ''), nullif(regexp_extract(u, 'youtube[.]com/embed/([a-zA-Z0-9_-]{{11}})', 1), '')) AS video_id
+FROM (SELECT page_id, {_URL} AS u FROM pages) a""")
 def url_video_id(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", x.video_id(F.col("url")).alias("video_id"))
+    pages = table(spark, sf_dir, "pages").selectExpr("page_id", f"{_URL.replace('AS VARCHAR', 'AS STRING')} AS u")
+    return pages.select("page_id", x.video_id(F.col("u")).alias("video_id"))
 
 
-@query("SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9_\\-]', '_', 'g') AS slug FROM part")
+@query("SELECT p_partkey, regexp_replace(p_name || ' É.' || p_brand, '[^\\p{L}\\p{N}_\\-]', '_', 'g') AS slug FROM part")
 def slug(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", x.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
+    return table(spark, sf_dir, "part").select("p_partkey", x.slug(F.concat("p_name", F.lit(" É."), "p_brand")).alias("slug"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name || '  ' || p_brand), '\\s+', '_', 'g') AS slug FROM part")
+def place_slug(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", x.place_slug(F.concat("p_name", F.lit("  "), "p_brand")).alias("slug"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(floor(floor(o_totalprice / 100) / 60) AS BIGINT) AS VARCHAR) || ':' || lpad(CAST(CAST(floor(o_totalprice / 100) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM orders")
