@@ -11,11 +11,34 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+class _Lists(dict):
+    """The columns of a batch as lists, each made when a step first reads it."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch = batch
+
+    def __missing__(self, name: str) -> list:
+        self[name] = made = self.batch.column(self.batch.schema.get_field_index(name)).to_pylist()
+        return made
+
+
+class _Row:
+    """One row of a batch, by column name."""
+
+    __slots__ = ("at", "lists")
+
+    def __init__(self, lists: _Lists) -> None:
+        self.lists = lists
+
+    def __getitem__(self, name: str) -> Any:
+        return self.lists[name][self.at]
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[..., tuple], out_ddl: str) -> DataFrame:
     """``df`` with the columns of ``out_ddl``, made row by row in ``order`` within ``keys``.
 
-    ``step(state, row)`` gets the mutable state that ``init`` made for the key and the row as a dict, and
-    returns the new columns' values. Rows are hashed by key, sorted in their partition by Spark (spilling
+    ``step(state, row)`` gets the mutable state that ``init`` made for the key and the row, whose columns it
+    reads by name, and returns the new columns' values; a row is valid for that step only. Rows are hashed by key, sorted in their partition by Spark (spilling
     as needed) and streamed: only one state is held, however many rows a key has.
     """
     new = StructType.fromDDL(out_ddl)
@@ -28,11 +51,9 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callabl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_pylist() for c in batch.columns]
-            made = []
-            for values in zip(*columns, strict=True):
-                row = dict(zip(names, values, strict=True))
-                own = tuple(row[k] for k in keys)
+            lists = _Lists(batch)
+            row, made = _Row(lists), []
+            for row.at, own in enumerate(zip(*(lists[k] for k in keys), strict=True)):
                 if not started or own != key:
                     key, state, started = own, init(), True
                 made.append(step(state, row))
