@@ -30,7 +30,7 @@ BLOCK_BYTES = 8_000_000
 PIECE = 50_000
 #: Parts into which the rows of one text are dealt where findings come back to them.
 SALTS = 32
-_BITS = 20
+_BITS, _MASK = 20, (1 << 64) - 1
 _rng = np.random.default_rng(20240503)
 _PLACES = _rng.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Words: runs of ASCII digits and letters, in lower case, and of all other characters beyond ASCII.
@@ -67,6 +67,7 @@ class WuManber:
         self.m = m
         self.width = min(2, m)
         self.places = _PLACES if m <= len(_PLACES) else np.resize(_PLACES, m)
+        self.numbers = self.places[:m].tolist()
         self.shift = np.full(1 << _BITS, m - self.width + 1, np.uint32)
         for end in range(self.width, m + 1):
             np.minimum.at(self.shift, self._slots(hashes, starts + end), np.uint32(m - end))
@@ -87,28 +88,25 @@ class WuManber:
             key += hashes[ends - self.m + k] * self.places[k]
         return key ^ (key >> np.uint64(31))
 
-    def find(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(start, test string's start, item) of each test string that may stand there, by hash."""
-        m, n = self.m, len(hashes)
-        if n < m:
-            return
-        shifts = self.shift[self._slots(hashes, np.arange(m, n + 1))].tolist()
-        ends, at, most = [], 0, n - m
-        while at <= most:
-            by = shifts[at]
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(start, test string's start, item) of each test string that may stand there, by hash; only words that the search looks at are hashed."""
+        m, n, two, shift, hashed = self.m, len(words), self.width == 2, self.shift.data, _memory.__getitem__
+        one, other, last = (int(x) for x in _PLACES[:3])
+        end = m
+        while end <= n:
+            key = hashed(words[end - 1]) * one
+            if two:
+                key += hashed(words[end - 2]) * other
+            key &= _MASK
+            by = shift[((key ^ key >> 29) * last & _MASK) >> 64 - _BITS]
             if by:
-                at += by
-            else:
-                ends.append(at + m)
-                at += 1
-        if not ends:
-            return
-        ends = np.array(ends)
-        keys = self._keys(hashes, ends)
-        first, last = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
-        for k in np.flatnonzero(last > first).tolist():
-            for x in range(int(first[k]), int(last[k])):
-                yield int(ends[k]) - m, int(self.starts[x]), int(self.items[x])
+                end += by
+                continue
+            key = sum(hashed(w) * p for w, p in zip(words[end - m : end], self.numbers, strict=True)) & _MASK
+            key = np.uint64(key ^ key >> 31)
+            for x in range(int(np.searchsorted(self.keys, key)), int(np.searchsorted(self.keys, key, "right"))):
+                yield end - m, int(self.starts[x]), int(self.items[x])
+            end += 1
 
 
 class Searcher:
@@ -141,10 +139,9 @@ class Searcher:
         """(spans, items): the maximal runs of words within occurrences, and the sorted names of the items that have one."""
         found: set[str] = set()
         mask = None
-        hashes = _hashes(words)
         for table in self.tables:
             m, last, same = table.m, None, False
-            for start, string, item in table.find(hashes):
+            for start, string, item in table.find(words):
                 low, high = int(self.offsets[string]), int(self.offsets[string + m])
                 if start != last:
                     here, last = b"".join(w + b" " for w in words[start : start + m]), start

@@ -24,7 +24,7 @@ WINDOW = 8
 #: Rows at most from which costs and selectivities are estimated, and the longest text of them in bytes; the estimates only order the rules.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 100_000
 #: How often a rule is timed, and how often each row is judged in that time.
-TIMES, REPEATS = 3, 8
+TIMES, REPEATS = 3, 2
 #: Share of rows in that sample before the bound.
 SAMPLE_SHARE = 0.02
 
