@@ -149,16 +149,16 @@ class Kalman:
             self.v = [v * self.decay ** min(self.missed, 30) for v in self.v]
 
 
-def kalman(df: DataFrame, key: Names, order: Names, values: Names, seen: str | None = None, **constants: float) -> DataFrame:
+def kalman(df: DataFrame, key: Names, order: Names, values: Names, seen: str | None = None, first_seen: bool = False, **constants: float) -> DataFrame:
     """est_0, vel_0, … per value and ``missed``: a filtered track; rows whose ``seen`` is false only predict.
 
     A measurement more than ``far`` from the track is ignored if the row before was measured; else one more
     than ``lost`` away starts the track anew. While nothing is seen the track moves on and its velocity
-    decays. Null until the first measurement.
+    decays. Null until the first measurement, which with ``first_seen`` is a key's first row.
     """
 
     def step(s: Kalman, row: dict) -> tuple:
-        if seen is None or row[seen]:
+        if seen is None or row[seen] or (first_seen and not s.x):
             s.see([row[v] for v in values])
         else:
             s.miss()
@@ -274,26 +274,40 @@ def choose_kalman(
     return ordered_fold(df, key, order, lambda: Kalman(**constants), step, "target_x double, target_y double, mode string")
 
 
-def reanchor(df: DataFrame, key: Names, order: Names, time: str, far: str, target: str, backstop: float = 60.0, cooldown: float = 10.0, windows: int = 2, gain: float = 0.15, most: float = 3.0) -> DataFrame:
-    """pan and trigger: the aim is set anew at the start, after ``backstop``, or once ``far`` holds ``windows`` times, not within ``cooldown``."""
+def reanchor(
+    df: DataFrame, key: Names, order: Names, time: str, players: str, far: str, target: str, detected: str | None = None, backstop: float = 60.0, cooldown: float = 10.0,
+    single: int = 60, nobody: int = 30, confirms: int = 2, every: int = 1, gain: float = 0.15, most: float = 3.0, limit: float = 180.0,
+) -> DataFrame:
+    """pan, trigger and mode: the pan goes towards an aim that is taken from ``target`` anew when a trigger fires.
+
+    The first row is ``startup``. Later, at least ``cooldown`` after the last trigger, the first that holds:
+    ``backstop`` after that time, ``single_player`` and ``centre`` after so many frames with one player or
+    fewer and with none, ``ball_far`` after ``confirms`` rows in a row with ``far``. The counts are of the rows
+    before, of those with ``detected`` only, each for ``every`` frames, and start anew with a trigger. A step is
+    ``gain`` of the way and ``most`` at most; mode is ``hold`` within one degree of the aim, else ``players``.
+    """
 
     def step(s: dict, row: dict) -> tuple:
         t = row[time]
-        s["far"] = s.get("far", 0) + 1 if row[far] else 0
         trigger = None
         if "at" not in s:
             trigger = "startup"
-        elif t - s["at"] >= backstop:
-            trigger = "backstop"
-        elif s["far"] >= windows and t - s["at"] >= cooldown:
-            trigger = "far"
+        elif t - s["at"] >= cooldown:
+            holds = {"backstop": t - s["at"] >= backstop, "single_player": s["single"] >= single, "centre": s["nobody"] >= nobody, "ball_far": s["far"] >= confirms}
+            trigger = next((name for name, fired in holds.items() if fired), None)
         if trigger:
-            s["at"], s["aim"], s["far"] = t, row[target], 0
+            s.update(at=t, aim=row[target], single=0, nobody=0, far=0)
         pan = s.get("pan", 0.0)
-        s["pan"] = pan + max(-most, min(most, gain * (s["aim"] - pan)))
-        return s["pan"], trigger
-
-    return ordered_fold(df, key, order, dict, step, "pan double, trigger string")
+        away = s["aim"] - pan
+        s["pan"] = max(-limit, min(limit, pan + max(-most, min(most, gain * away))))
+        if detected is None or row[detected]:
+            n = row[players] or 0
+            s["single"] = s["single"] + every if n <= 1 else 0
+            s["nobody"] = s["nobody"] + every if n == 0 else 0
+            s["far"] = s["far"] + 1 if row[far] else 0
+        return s["pan"], trigger, "hold" if abs(away) < 1.0 else "players"
+
+    return ordered_fold(df, key, order, dict, step, "pan double, trigger string, mode string")
 
 
 def online_centres(df: DataFrame, key: Names, order: Names, feature: str, centres: list[list[float]], beta: float = 0.02, most: float = 2.5, farthest: float = 6.0, least_margin: float = 0.05) -> DataFrame:

@@ -39,8 +39,13 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callabl
 
     ``step(state, row)`` gets the mutable state that ``init`` made for the key and the row, whose columns it
     reads by name, and returns the new columns' values; a row is valid for that step only. Rows are hashed by key, sorted in their partition by Spark (spilling
-    as needed) and streamed: only one state is held, however many rows a key has.
+    as needed) and streamed: only one state is held, however many rows a key has. Of a stream the states are
+    kept from batch to batch.
     """
+    if df.isStreaming:
+        from kickframe.streaming.live import fold
+
+        return fold(df, keys, order, init, step, out_ddl)
     new = StructType.fromDDL(out_ddl)
     schema = StructType(df.schema.fields + new.fields)
     arrow = to_arrow_schema(schema)

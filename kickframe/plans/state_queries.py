@@ -208,16 +208,25 @@ def target_choice_kalman(spark, sf_dir):
     return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
 
 
-@query(
-    f"""WITH RECURSIVE {_R}, f AS (SELECT user_id, rn, event_id, CAST(event_id AS DOUBLE) AS t0, value AS aim, CAST(0 AS BIGINT) AS far, greatest(-3.0, least(3.0, 0.15 * value))::DOUBLE AS pan, 'startup' AS trigger FROM r WHERE rn = 1
-UNION ALL SELECT user_id, rn, event_id, CASE WHEN tr IS NULL THEN t0 ELSE t END, CASE WHEN tr IS NULL THEN aim ELSE value END, CASE WHEN tr IS NULL THEN nfar ELSE 0 END, pan + greatest(-3.0, least(3.0, 0.15 * (CASE WHEN tr IS NULL THEN aim ELSE value END - pan))), tr
-FROM (SELECT *, CASE WHEN t - t0 >= 600 THEN 'backstop' WHEN nfar >= 2 AND t - t0 >= 100 THEN 'far' END AS tr FROM (SELECT r.user_id, r.rn, r.event_id, r.value, CAST(r.event_id AS DOUBLE) AS t, f.t0, f.aim, f.pan, CASE WHEN r.event_type = 'click' OR r.event_type = 'view' THEN f.far + 1 ELSE 0 END AS nfar FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1) a) b)
-SELECT event_id, round(pan + 3e-9, 6) AS pan, trigger FROM f"""
-)
+_PLAYERS, _FAR_BALL = "CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'click' THEN 1 ELSE 5 END", "event_id % 3 > 0"
+
+
+def _reanchor_sql() -> str:
+    """Counts of a row hold for the next; a trigger sets them back before the row itself is counted."""
+    counts = f"CASE WHEN n <= 1 THEN s0 + 2 ELSE 0 END AS single, CASE WHEN n = 0 THEN n0 + 2 ELSE 0 END AS nobody, CASE WHEN b THEN f0 + 1 ELSE 0 END AS far"
+    fired = "CASE WHEN t0 IS NULL THEN 'startup' WHEN t - t0 >= 100 THEN CASE WHEN t - t0 >= 600 THEN 'backstop' WHEN single >= 6 THEN 'single_player' WHEN nobody >= 4 THEN 'centre' WHEN far >= 3 THEN 'ball_far' END END"
+    joined = f"SELECT r.user_id, r.rn, r.event_id, r.value, CAST(r.event_id AS DOUBLE) AS t, {_PLAYERS.replace('event_type', 'r.event_type')} AS n, r.{_FAR_BALL} AS b, f.t0, f.aim, f.pan, f.single, f.nobody, f.far FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1"
+    set_anew = "SELECT *, CASE WHEN tr IS NULL THEN t0 ELSE t END AS at2, CASE WHEN tr IS NULL THEN aim ELSE value END AS aim2, CASE WHEN tr IS NULL THEN single ELSE 0 END AS s0, CASE WHEN tr IS NULL THEN nobody ELSE 0 END AS n0, CASE WHEN tr IS NULL THEN far ELSE 0 END AS f0"
+    return f"""WITH RECURSIVE {_R}, f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS event_id, CAST(NULL AS DOUBLE) AS t0, CAST(NULL AS DOUBLE) AS aim, 0.0::DOUBLE AS pan, 0 AS single, 0 AS nobody, 0 AS far, CAST(NULL AS VARCHAR) AS trigger, '' AS mode FROM r
+UNION ALL SELECT user_id, rn, event_id, at2, aim2, greatest(-180.0, least(180.0, pan + greatest(-3.0, least(3.0, 0.15 * (aim2 - pan))))), {counts}, tr, CASE WHEN abs(aim2 - pan) < 1 THEN 'hold' ELSE 'players' END FROM ({set_anew} FROM (SELECT *, {fired} AS tr FROM ({joined}) a) b) c)
+SELECT event_id, round(pan + 3e-9, 6) AS pan, trigger, mode FROM f WHERE rn > 0"""
+
+
+@query(_reanchor_sql())
 def reanchor_triggers(spark, sf_dir):
-    e = _e(spark, sf_dir).withColumn("t", F.col("event_id").cast("double")).withColumn("far", F.col("event_type").isin("click", "view"))
-    out = control.reanchor(e, KEY, ORDER, "t", "far", "value", backstop=600.0, cooldown=100.0)
-    return out.select("event_id", F.round(F.col("pan") + 3e-9, 6).alias("pan"), "trigger")  # moves exact halves off the last place
+    e = _e(spark, sf_dir).selectExpr("*", "cast(event_id as double) AS t", f"{_PLAYERS} AS n", f"{_FAR_BALL} AS far")
+    out = control.reanchor(e, KEY, ORDER, "t", "n", "far", "value", backstop=600.0, cooldown=100.0, single=6, nobody=4, confirms=3, every=2)
+    return out.select("event_id", F.round(F.col("pan") + 3e-9, 6).alias("pan"), "trigger", "mode")  # moves exact halves off the last place
 
 
 def _centres_sql() -> str:

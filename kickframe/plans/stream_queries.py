@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.plans.registry import query, table
+from kickframe.operators import control
+from kickframe.plans import state_queries  # noqa: F401 (registers the SQL of kalman_2d)
+from kickframe.plans.registry import ORACLE_SQL, query, table
+from kickframe.session import ROCKSDB
 from kickframe.streaming import live
 
 
@@ -29,6 +32,7 @@ def _folder(spark: SparkSession) -> str:
 def _drained(out: DataFrame, mode: str) -> DataFrame:
     """What the stream has put out after reading all there is."""
     spark, folder = out.sparkSession, _folder(out.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     path = f"{folder}/rows"
     if mode == "append":
         sink = out.writeStream.format("parquet").option("path", path)
@@ -67,9 +71,22 @@ def stream_ema(spark, sf_dir):
     return _drained(live.smooth(rows, "user_id", "event_id", "value"), "append").select("user_id", "event_id", F.round("smooth", 6).alias("smooth"))
 
 
+@query(ORACLE_SQL["kalman_2d"])
+def stream_kalman(spark, sf_dir):
+    """The filter of kalman_2d over a stream; what a key's first row shows is always measured."""
+    seen = F.col("event_type") != "error"
+    e = _stream(spark, sf_dir).select("event_id", "user_id", "value", (F.col("event_id") % 97).cast("double").alias("y"), seen.alias("seen"))
+    found = control.kalman(e, ["user_id"], ["event_id"], ["value", "y"], seen="seen", first_seen=True)
+    return _drained(found, "append").select("event_id", *[F.round(n, 6).alias(n) for n in ("est_0", "vel_0", "est_1", "vel_1")], "missed")
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id % 5 <> 0")
 def stream_changes(spark, sf_dir):
-    """A table kept by inserts and deletes: every row is inserted, every fifth deleted again."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id")
-    feed = e.withColumn("kind", F.lit("INSERT")).withColumn("version", F.lit(1)).unionByName(e.where("event_id % 5 = 0").withColumn("kind", F.lit("DELETE")).withColumn("version", F.lit(2)))
-    return live.changes(e.where("event_id % 2 = 0"), feed, "event_id", "kind", "version")
+    """A table kept by a stream of inserts and deletes: every row is inserted, every fifth deleted again."""
+    kinds = F.array(F.struct(F.lit("INSERT").alias("kind"), F.lit(1).alias("version")), F.struct(F.lit("DELETE").alias("kind"), F.lit(2).alias("version")))
+    feed = _stream(spark, sf_dir).select("event_id", "user_id", F.explode(kinds).alias("c")).where("c.version = 1 or event_id % 5 = 0").select("event_id", "user_id", "c.kind", "c.version")
+    folder = _folder(spark)
+    run = live.keep_table(feed, f"{folder}/table", "event_id", "kind", "version", f"{folder}/state")
+    run.awaitTermination()
+    last = run.lastProgress["batchId"]
+    return spark.read.parquet(f"{folder}/table/{last}")

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: The state store that streaming folds need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows that go to a Python worker at once where the session keeps Spark's default: whole texts are large rows.
 BATCH_ROWS = 2000
@@ -21,6 +23,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         **conf,

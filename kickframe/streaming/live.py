@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from kickframe.operators import control
 
 
 def window_counts(rows: DataFrame, time: str, late: str, length: str, key: str, value: str) -> DataFrame:
@@ -25,25 +30,63 @@ def dedupe(rows: DataFrame, time: str, late: str, ids: list[str]) -> DataFrame:
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(ids)
 
 
+class _Fold(StatefulProcessor):
+    """One pickled state per key; a batch's rows are taken in order."""
+
+    def __init__(self, order: list[str], init: Callable[[], Any], step: Callable[..., tuple], names: list[str], new: list[str]) -> None:
+        self.order, self.start, self.step, self.names, self.new = order, init, step, names, new
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("fold", "data binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = self.state.get()
+        state = pickle.loads(held[0]) if held else self.start()
+        batch = pd.concat(list(rows)).sort_values(self.order)[self.names]
+        columns = {c: [None if v is None or v is pd.NaT or v != v else v for v in batch[c].tolist()] for c in self.names}
+        made = [self.step(state, dict(zip(self.names, values, strict=True))) for values in zip(*columns.values(), strict=True)]
+        self.state.update((pickle.dumps(state),))
+        out = pd.DataFrame(columns)
+        for name, values in zip(self.new, zip(*made, strict=True), strict=True):
+            out[name] = pd.Series(list(values), dtype=object)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def fold(rows: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[..., tuple], out_ddl: str) -> DataFrame:
+    """The streaming form of an ordered fold: ``rows`` with the columns of ``out_ddl``, the state kept per key over batches.
+
+    Rows of a batch are taken in order; one that comes in a later batch than its successors is taken when it
+    comes. A key's rows of one batch are held at once, which the source's limit per batch bounds. Needs the
+    RocksDB state store.
+    """
+    new = StructType.fromDDL(out_ddl)
+    schema = StructType(rows.schema.fields + new.fields)
+    processor = _Fold(order, init, step, rows.columns, new.names)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "none")
+
+
 def smooth(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.12) -> DataFrame:
-    """(key, order, smooth): an exponential average kept per key over batches; rows of a batch are taken in order.
+    """(key, order, smooth): an exponential average kept per key over batches."""
+    return control.ema(rows.select(key, order, value), [key], [order], value, alpha).select(key, order, "smooth")
 
-    A row that comes in a later batch than its successors moves the average when it comes.
+
+def keep_table(feed: DataFrame, path: str, key: str, kind: str, version: str, checkpoint: str) -> Any:
+    """Start a query that keeps a table below ``path`` by a stream of INSERT and DELETE changes; each batch writes its next version.
+
+    A batch that is run again after a failure reads the version before it and writes the same one once more.
     """
+    columns = [c for c in feed.columns if c not in (kind, version)]
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = batch.select(columns).schema
+        old = spark.read.schema(schema).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], schema)
+        changes(old, batch, key, kind, version).write.mode("overwrite").parquet(f"{path}/{number}")
 
-    def update(names: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = state.get[0] if state.exists else None
-        batch = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for x in batch[value]:
-            s = float(x) if s is None else s + alpha * (float(x) - s)
-            out.append(s)
-        state.update((s,))
-        yield pd.DataFrame({key: names[0], order: batch[order].to_numpy(), "smooth": out})
-
-    kinds = dict(rows.dtypes)
-    ddl = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, smooth double"
-    return rows.groupBy(key).applyInPandasWithState(update, ddl, "s double", "append", GroupStateTimeout.NoTimeout)
+    return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def changes(old: DataFrame, batch: DataFrame, key: str, kind: str, version: str) -> DataFrame:
