@@ -129,39 +129,6 @@ def kalman_2d(spark, sf_dir):
     return control.kalman(e, KEY, ORDER, ["value", "y"], seen="seen").select("event_id", *[F.round(n, 6).alias(n) for n in names], "missed")
 
 
-def _targets(spark, sf_dir):
-    e = _e(spark, sf_dir)
-    return e.withColumn("ball", F.when(F.col("event_type") == "click", F.col("value"))).withColumn("crowd", F.when(F.col("event_type").isin("view", "error"), F.col("value")))
-
-
-_BALL, _CROWD = "CASE WHEN event_type = 'click' THEN value END", "CASE WHEN event_type IN ('view', 'error') THEN value END"
-_RB, _RC = _BALL.replace("event_type", "r.event_type").replace("value", "r.value"), _CROWD.replace("event_type", "r.event_type").replace("value", "r.value")
-
-
-def _classic_sql() -> str:
-    pick = "CASE WHEN b = 0 THEN ball WHEN b < 2 THEN ball WHEN c < 4 THEN crowd ELSE prev + 0.02 * (100.0 - prev) END"
-    mode = "CASE WHEN b = 0 THEN 'ball' WHEN b < 2 THEN 'last_ball' WHEN c < 4 THEN 'players' ELSE 'home' END"
-    first = f"SELECT user_id, rn, event_id, {_BALL} AS ball, {_CROWD} AS crowd, CASE WHEN event_type = 'click' THEN 0 ELSE 1000000 END AS b, CASE WHEN event_type IN ('view', 'error') THEN 0 ELSE 1000000 END AS c, 100.0::DOUBLE AS prev FROM r WHERE rn = 1"
-    later = f"SELECT r.user_id, r.rn, r.event_id, coalesce({_RB}, ball) AS ball, coalesce({_RC}, crowd) AS crowd, CASE WHEN r.event_type = 'click' THEN 0 ELSE b + 1 END AS b, CASE WHEN r.event_type IN ('view', 'error') THEN 0 ELSE c + 1 END AS c, pos AS prev FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1"
-    return f"WITH RECURSIVE {_R}, f AS (SELECT *, {pick} AS pos, {mode} AS mode FROM ({first}) x UNION ALL SELECT *, {pick}, {mode} FROM ({later}) y) SELECT event_id, round(pos, 6) AS target, mode FROM f"
-
-
-@query(_classic_sql())
-def target_choice_classic(spark, sf_dir):
-    out = control.choose_classic(_targets(spark, sf_dir), KEY, ORDER, "ball", "crowd", 100.0, ball_rows=2, crowd_rows=4)
-    return out.select("event_id", F.round("target", 6).alias("target"), "mode")
-
-
-@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {_BALL} AS ball, {_CROWD} AS crowd FROM events),
-s AS (SELECT *, max(CASE WHEN ball IS NOT NULL THEN rn END) OVER w AS last_rn, last_value(ball IGNORE NULLS) OVER w AS last_ball, last_value(ball IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT *, CASE WHEN ball IS NOT NULL THEN 3 + least(3.0, coalesce(abs(ball - before), 0.0) / 5) ELSE 0 END AS wb, CASE WHEN ball IS NULL AND rn - last_rn < 7 THEN 2.5 * (1 - (rn - last_rn) / 7) ELSE 0 END AS wl, CASE WHEN crowd IS NOT NULL THEN 0.7 ELSE 0 END AS wc FROM s)
-SELECT event_id, round((0.2 * 100 + wb * coalesce(ball, 0) + wl * coalesce(last_ball, 0) + wc * coalesce(crowd, 0)) / (0.2 + wb + wl + wc), 6) AS target,
-CASE WHEN wb > 0 THEN 'ball' WHEN wl > wc AND wl > 0.2 THEN 'last_ball' WHEN wc > 0 THEN 'players' ELSE 'centre' END AS mode FROM p""")
-def target_choice_blend(spark, sf_dir):
-    out = control.choose_blend(_targets(spark, sf_dir), KEY, ORDER, "ball", "crowd", 100.0, fade=7)
-    return out.select("event_id", F.round("target", 6).alias("target"), "mode")
-
-
 #: What a frame shows: a ball on clicks, up to four players, and a cluster of them now and then.
 _SCENE = {
     "ball_x": "CASE WHEN event_type = 'click' THEN value * 4 END",
@@ -175,6 +142,49 @@ _SCENE = {
 }
 
 
+_SCENE_SQL = ", ".join(f"{v} AS {k}" for k, v in _SCENE.items())
+
+
+def _scene(spark, sf_dir):
+    return _e(spark, sf_dir).selectExpr("*", *[f"{v} AS {k}" for k, v in _SCENE.items()])
+
+
+@query(f"""SELECT event_id, CASE mode WHEN 'players' THEN gx WHEN 'home' THEN 640.0 ELSE lx END AS target_x, CASE mode WHEN 'players' THEN gy WHEN 'home' THEN 360.0 ELSE ly END AS target_y, mode FROM (
+SELECT *, CASE WHEN rn = seen THEN 'ball' WHEN rn - seen < 3 THEN 'last_ball' WHEN rn - seen < 6 AND n > 0 THEN 'players' ELSE 'home' END AS mode FROM (
+SELECT *, max(CASE WHEN ball_x IS NOT NULL THEN rn END) OVER w AS seen, last_value(ball_x IGNORE NULLS) OVER w AS lx, last_value(ball_y IGNORE NULLS) OVER w AS ly FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {_SCENE_SQL} FROM events) a WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)) b) c""")
+def target_choice_classic(spark, sf_dir):
+    e = _scene(spark, sf_dir).withColumn("px", F.when(F.col("n") > 0, F.col("gx")))
+    return control.choose_classic(e, KEY, ORDER, ("ball_x", "ball_y"), ("px", "gy"), short=3, long=6).select("event_id", "target_x", "target_y", "mode")
+
+
+_FAST, _FADE = "(sqrt(vx * vx + vy * vy) > 2 AND gone < 15)", "greatest(0.0, 1 - gone / 7.0)"
+
+
+def _blend_sql() -> str:
+    weight = f"coalesce(CASE WHEN ok AND ball_x IS NOT NULL THEN 3 + least(3.0, sqrt(vx * vx + vy * vy) / 5) WHEN lx IS NOT NULL AND {_FAST} THEN 2.5 * {_FADE} WHEN lx IS NOT NULL THEN 1.5 * {_FADE} END, 0.0)"
+    at = lambda ball, last, v, most, home: f"coalesce(CASE WHEN ok AND {ball} IS NOT NULL THEN {ball} WHEN lx IS NOT NULL THEN CASE WHEN {_FAST} THEN least(greatest({last} + {v} * gone * 0.5, 0.0), {most}) ELSE {last} END END, {home})"
+    mean = lambda at, crowd, home: f"round((wb * {at} + wc * CASE WHEN n > 0 THEN {crowd} ELSE {home} END + 0.2 * {home}) / (wb + wc + 0.2), 6)"
+    return f"""SELECT event_id, {mean(at('ball_x', 'lx', 'vx', '1280.0', '640.0'), 'gx', '640.0')} AS target_x, {mean(at('ball_y', 'ly', 'vy', '720.0', '302.4'), 'gy', '302.4')} AS target_y,
+CASE WHEN wb > 2 THEN 'ball' WHEN wb > 0.5 THEN 'last_ball' WHEN wc > 0 THEN 'players' ELSE 'centre' END AS mode FROM (SELECT *, {weight} AS wb, CASE WHEN n > 0 THEN 0.7 ELSE 0.0 END AS wc FROM (
+SELECT *, rn - max(CASE WHEN ball_x IS NOT NULL THEN rn END) OVER w AS gone, last_value(ball_x IGNORE NULLS) OVER w AS lx, last_value(ball_y IGNORE NULLS) OVER w AS ly FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, event_id % 10 >= 3 AS ok, event_id % 9 - 4.0::DOUBLE AS vx, event_id % 5 - 2.0::DOUBLE AS vy, {_SCENE_SQL} FROM events) a WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)) b) c"""
+
+
+@query(_blend_sql())
+def target_choice_blend(spark, sf_dir):
+    from pyspark.sql import Window
+
+    k = F.col("event_id")
+    so_far = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = _scene(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    e = e.withColumns({"ok": k % 10 >= 3, "vx": (k % 9 - 4).cast("double"), "vy": (k % 5 - 2).cast("double"), "px": F.when(F.col("n") > 0, F.col("gx"))})
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    e = e.withColumns({"gone": F.col("rn") - last(F.when(F.col("ball_x").isNotNull(), F.col("rn"))), "lx": last("ball_x"), "ly": last("ball_y")})
+    out = control.choose_blend(e, "ok", ("ball_x", "ball_y"), ("lx", "ly"), "gone", ("vx", "vy"), ("px", "gy"), short=7)
+    return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
+
+
 def _cascade_sql(fresh: int = 2, old: int = 5) -> str:
     """The track as a recursive query, one stage for what happens to it and one for whether it leaves the picture; then the rules."""
     pa, pb, pc = "(a + 2 * b + c + 12.5)", "(b + c + 25)", "(c + 50)"
@@ -195,16 +205,14 @@ WHEN n >= 2 AND cx IS NOT NULL THEN CASE WHEN abs(cx - 640) / 640 >= 0.8 THEN 'p
 WHEN n >= 2 THEN CASE WHEN abs(gx - 640) / 640 >= 0.8 THEN 'few_players' ELSE 'hold' END WHEN n = 1 THEN 'single_player' ELSE 'centre' END"""
     w = f"greatest(0.85, 0.9 * (1 - missed / {old}))"
     at = lambda ball, p, c, g, half: f"CASE mode WHEN 'ball_highconf' THEN {ball} WHEN 'ball' THEN {p} WHEN 'kalman' THEN {p} WHEN 'kalman_blend' THEN {w} * {p} + (1 - {w}) * coalesce({c}, {g}) WHEN 'players' THEN {c} WHEN 'few_players' THEN 0.2 * {g} + 0.8 * {half} WHEN 'single_player' THEN 0.05 * {g} + 0.95 * {half} ELSE {half} END"
-    scene = ", ".join(f"{v} AS {k}" for k, v in _SCENE.items())
-    return f"""WITH RECURSIVE s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {scene} FROM events), {walk}
+    return f"""WITH RECURSIVE s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {_SCENE_SQL} FROM events), {walk}
 SELECT event_id, round({at('ball_x', 'x', 'cx', 'gx', '640.0')}, 6) AS target_x, round({at('ball_y', 'y', 'cy', 'gy', '360.0')}, 6) AS target_y, mode
 FROM (SELECT s.*, f.known, f.live, f.x, f.y, f.missed, {rules} AS mode FROM s JOIN f USING (user_id, rn)) q"""
 
 
 @query(_cascade_sql())
 def target_choice_kalman(spark, sf_dir):
-    e = _e(spark, sf_dir).selectExpr("*", *[f"{v} AS {k}" for k, v in _SCENE.items()])
-    out = control.choose_kalman(e, KEY, ORDER, ("ball_x", "ball_y"), "conf", "n", ("cx", "cy"), ("gx", "gy"), fresh=2, old=5)
+    out = control.choose_kalman(_scene(spark, sf_dir), KEY, ORDER, ("ball_x", "ball_y"), "conf", "n", ("cx", "cy"), ("gx", "gy"), fresh=2, old=5)
     return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
 
 
