@@ -27,3 +27,16 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, SF).schema == docs.schema
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names: every stage keeps the columns and its rule."""
+    docs, kept = odd, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.schema == odd.schema, name
+        kept.append(sorted((r.doc_id for r in docs.select("doc_id").collect()), key=repr))
+    good = [r for r in odd.collect() if not plain.quality_row(r.doc_id, r.text)[-1] and not plain.other_rules(r.text)]
+    assert kept[0] == sorted((r.doc_id for r in good), key=repr)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == set(kept[-1])
