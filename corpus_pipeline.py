@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; what a stage
 decides takes effect in its result. ``run`` writes every stage to the shared folder as Parquet and reads
 it again for the next.
+
+All stages but the last return the columns of ``docs``, whatever else they are named; other columns are only
+carried along. Null and empty texts have no words and go with the first stage. Very long texts are judged,
+compared and packed whole. Rows that repeat an id are judged each by their text; of equal texts with one id
+each stays or goes together. A row without id is in no group of near-duplicates and stays. Empty tables pass
+as empty tables.
 """
 
 from __future__ import annotations
