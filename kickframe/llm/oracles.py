@@ -73,4 +73,19 @@ s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
-ORACLE_SQL = {"op1_secret_scan": OP1, "op3_minhash_dedup": OP3, "op6_warc": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8}
+#: crc32 byte by byte over its table of 256 values; near words by joining cut words, all pairs made.
+OP11 = rf"""WITH RECURSIVE bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format('text')}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) x WHERE length(run) >= 7 GROUP BY ALL),
+sums AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(s) + 1), lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::BIGINT)),
+ lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM (SELECT run, n, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs) x, crc),
+words AS (SELECT w, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS w, n FROM sums) x GROUP BY w HAVING length(w) >= 7 AND sum(n) >= 2),
+cut AS (SELECT w, n, i, left(w, i - 1) AS a, substr(w, i + 1) AS b FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words) x),
+near AS (SELECT p.w, q.w AS v, q.n AS vn FROM cut p JOIN cut q ON p.a = q.a AND p.b = q.b AND p.i = q.i AND p.w <> q.w
+ UNION SELECT p.w, q.w, q.n FROM cut p JOIN words q ON q.w = p.a || p.b UNION SELECT q.w, p.w, p.n FROM cut p JOIN words q ON q.w = p.a || p.b),
+best AS (SELECT w, count(*) AS n_near, arg_min(v, (-vn, v)) AS v, max(vn) AS vn FROM near GROUP BY w),
+forms AS (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= 10 * n THEN v END AS form, CASE WHEN vn >= 10 * n THEN vn END AS form_n FROM words LEFT JOIN best USING (w)),
+walk AS (SELECT w, w AS here, 0 AS k FROM forms UNION ALL SELECT walk.w, form, k + 1 FROM walk JOIN forms ON forms.w = walk.here WHERE form IS NOT NULL)
+SELECT forms.w AS word, form, root, n, n_near, form_n FROM forms JOIN (SELECT w, arg_max(here, k) AS root FROM walk GROUP BY w) r USING (w)"""
+
+ORACLE_SQL = {"op1_secret_scan": OP1, "op3_minhash_dedup": OP3, "op6_warc": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op11_spelling_variants": OP11}
