@@ -78,3 +78,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete what is at ``path``, which nothing may read any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

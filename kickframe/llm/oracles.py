@@ -88,4 +88,24 @@ forms AS (SELECT words.w, n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= 10 *
 walk AS (SELECT w, w AS here, 0 AS k FROM forms UNION ALL SELECT walk.w, form, k + 1 FROM walk JOIN forms ON forms.w = walk.here WHERE form IS NOT NULL)
 SELECT forms.w AS word, form, root, n, n_near, form_n FROM forms JOIN (SELECT w, arg_max(here, k) AS root FROM walk GROUP BY w) r USING (w)"""
 
-ORACLE_SQL = {"op1_secret_scan": OP1, "op3_minhash_dedup": OP3, "op6_warc": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op11_spelling_variants": OP11}
+
+def _assigned(k: int) -> str:
+    return f"""a{k} AS (SELECT r, p, min(d * 256 + e) % 256 AS e, min(d * 256 + e) // 256 AS d FROM (
+SELECT r, x.p, e, sum((v - c) * (v - c))::BIGINT AS d FROM x JOIN b{k} b ON x.p = b.p AND x.i = b.i GROUP BY r, x.p, e) t GROUP BY r, p)"""
+
+
+def _moved(k: int) -> str:
+    return f"""b{k + 1} AS (SELECT b.p, b.e, b.i, coalesce(m, c) AS c FROM b{k} b LEFT JOIN (
+SELECT x.p, e, i, floor(sum(v) / count(*))::BIGINT AS m FROM x JOIN a{k} a ON a.r = x.r AND a.p = x.p GROUP BY ALL) n ON n.p = b.p AND n.e = b.e AND n.i = b.i)"""
+
+
+#: Every assignment is a full scan.
+OP12 = f"""WITH ids AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+x AS (SELECT r, (k - 1) // (n // 4) AS p, (k - 1) % (n // 4) AS i, floor(1024 * embedding[k]::DOUBLE)::BIGINT AS v FROM (SELECT r, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS k FROM ids) t),
+b0 AS (SELECT p, r - 1 AS e, i, v AS c FROM x WHERE r <= 256),
+{", ".join(f"{_assigned(k)}, {_moved(k)}" for k in range(4))}, {_assigned(4)}
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM
+(SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 JOIN ids USING (r) GROUP BY r, vec_id, label) q,
+(SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS sha FROM b4) s"""
+
+ORACLE_SQL = {"op1_secret_scan": OP1, "op3_minhash_dedup": OP3, "op6_warc": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op11_spelling_variants": OP11, "op12_vector_codes": OP12}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import decontaminate, minhash_dedup, packing, passage_dedup, quality_rules, secret_scan, spelling, substring_exact, token_counts, token_files, warc
+from kickframe.llm import decontaminate, minhash_dedup, packing, passage_dedup, quality_rules, secret_scan, spelling, substring_exact, token_counts, token_files, vector_codes, warc
 from kickframe.llm._common import read_table, shared_path
 from kickframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -89,4 +89,8 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op4_passage_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files, op11_spelling_variants)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op4_passage_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files, op11_spelling_variants, op12_vector_codes)}
