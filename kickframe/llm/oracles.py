@@ -108,4 +108,34 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a4 JOIN ids USING (r) GROUP BY r, vec_id, label) q,
 (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) AS sha FROM b4) s"""
 
-ORACLE_SQL = {"op1_secret_scan": OP1, "op3_minhash_dedup": OP3, "op6_warc": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op11_spelling_variants": OP11, "op12_vector_codes": OP12}
+def _level(t: int) -> str:
+    """The level of the template tree that begins with t{t} and ends with t{t + 1}."""
+    return f"""act{t} AS (SELECT *, segs[{t + 1}] AS seg FROM t{t} WHERE len(segs) > {t}),
+nod{t} AS (SELECT host, node, sum(n) AS n, sum(k) AS k, sum(b) AS b, max(rate) AS rate FROM act{t} GROUP BY ALL),
+lit{t} AS (SELECT c.* FROM (SELECT host, node, seg, sum(n) AS n, sum(k) AS k, sum(b) AS b FROM act{t} GROUP BY ALL) c JOIN nod{t} p USING (host, node) WHERE c.n >= 2 AND c.n * 20 >= p.n),
+sib{t} AS (SELECT lit{t}.*, rate FROM lit{t} JOIN nod{t} USING (host, node)
+ UNION ALL SELECT host, node, '*', p.n - coalesce(l.n, 0), p.k - coalesce(l.k, 0), p.b - coalesce(l.b, 0), rate FROM nod{t} p LEFT JOIN (SELECT host, node, sum(n) AS n, sum(k) AS k, sum(b) AS b FROM lit{t} GROUP BY ALL) l USING (host, node)),
+lag{t} AS (SELECT *, k >= 5 AS judged, lag(b::DOUBLE) OVER w AS b1, lag(k::DOUBLE) OVER w AS k1 FROM sib{t} WINDOW w AS (PARTITION BY host, node, k >= 5 ORDER BY b / greatest(k, 1), seg)),
+cut{t} AS (SELECT *, CASE WHEN NOT judged OR b1 IS NULL OR (b1 * k - b * k1) * (b1 * k - b * k1) * (k1 + k) > 3.84::DOUBLE * k1 * k * (b1 + b) * (k1 + k - b1 - b) THEN 1 ELSE 0 END AS differs FROM lag{t}),
+grp{t} AS (SELECT *, sum(differs) OVER (PARTITION BY host, node, judged ORDER BY b / greatest(k, 1), seg) AS g FROM cut{t}),
+lab{t} AS (SELECT host, node, judged, g, CASE WHEN count(*) = 1 THEN min(seg) ELSE '(' || string_agg(seg, '|' ORDER BY seg) || ')' END AS label, (sum(b) + 10::DOUBLE * min(rate)) / (sum(k) + 10::DOUBLE) AS rate FROM grp{t} GROUP BY ALL),
+mem{t} AS (SELECT host, node, seg AS member, label, lab{t}.rate FROM grp{t} JOIN lab{t} USING (host, node, judged, g)),
+t{t + 1} AS (SELECT a.host, path, n, k, b, segs, a.node || '/' || coalesce(l.label, w.label) AS node, coalesce(l.rate, w.rate) AS rate FROM act{t} a
+ LEFT JOIN mem{t} l ON l.host = a.host AND l.node = a.node AND l.member = a.seg AND l.member <> '*' JOIN mem{t} w ON w.host = a.host AND w.node = a.node AND w.member = '*')"""
+
+
+_ADDRESS = f"""{_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path"""
+OP13 = f"""WITH u AS (SELECT page_id, {_ADDRESS} FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages) x),
+lb AS (SELECT doc_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1))) AS b FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
+seen AS (SELECT host, path, b FROM (SELECT *, try_cast(regexp_extract(path, '/([0-9]+)(\\.html)?/?$', 1) AS BIGINT) AS doc_id FROM u) x JOIN lb USING (doc_id)),
+p AS (SELECT host, path, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k, sum(b)::BIGINT AS b FROM (SELECT host, path, 1 AS n, 0 AS k, 0 AS b FROM u UNION ALL SELECT host, path, 0, 1, b FROM seen) x GROUP BY ALL),
+prior AS (SELECT CASE WHEN sum(k) > 0 THEN sum(b) / sum(k) ELSE 0::DOUBLE END AS rate FROM p),
+h AS (SELECT host, (sum(b) + 10::DOUBLE * min(prior.rate)) / (sum(k) + 10::DOUBLE) AS rate FROM p, prior GROUP BY host),
+t0 AS (SELECT p.*, list_filter(string_split(replace(replace(replace(replace(path, '*', '%2A'), '|', '%7C'), '(', '%28'), ')', '%29'), '/'), lambda s: s <> '') AS segs, '' AS node, rate FROM p JOIN h USING (host)),
+{", ".join(map(_level, range(4)))},
+f AS ({" UNION ALL ".join(f"SELECT host, path, node AS template, rate FROM t{t} WHERE len(segs) = {t}" for t in range(5))} UNION ALL SELECT host, path, node || '/**', rate FROM t4 WHERE len(segs) > 4)
+SELECT page_id, u.host, u.path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') OR rule IS NULL AND rate >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, template FROM (SELECT *, CASE
+WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM u) u JOIN f USING (host, path)"""
+
+ORACLE_SQL = {"op1_secret_scan": OP1, "op3_minhash_dedup": OP3, "op6_warc": OP6, "op7_quality_rules": OP7, "op8_decontaminate": OP8, "op11_spelling_variants": OP11, "op12_vector_codes": OP12, "op13_url_filters": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.llm import decontaminate, minhash_dedup, packing, passage_dedup, quality_rules, secret_scan, spelling, substring_exact, token_counts, token_files, vector_codes, warc
+from kickframe.llm import decontaminate, minhash_dedup, packing, passage_dedup, quality_rules, secret_scan, spelling, substring_exact, token_counts, token_files, url_filters, vector_codes, warc
 from kickframe.llm._common import read_table, shared_path
 from kickframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -93,4 +93,19 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op4_passage_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files, op11_spelling_variants, op12_vector_codes)}
+#: The rules of op13.
+RULES = (url_filters.Rule("block", "net/"), url_filters.Rule("allow", "example.net/en/"), url_filters.Rule("block", "example.com/de/"), url_filters.Rule("allow", "org/fr/"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number ends its path: bad if toxic or of quality 0."""
+    pages, labels = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels")
+    path = url_filters.address(F.col("url"))[1]
+    numbered = pages.select("url", F.regexp_extract(path, r"/([0-9]+)(\.html)?/?$", 1).try_cast("bigint").alias("doc_id"))
+    bad = F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1))) > 0
+    known = labels.where("toxic IS NOT NULL OR quality IS NOT NULL").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    judged = url_filters.judge(pages, numbered.join(known, "doc_id").select("url", "bad"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_minhash_dedup, op4_passage_dedup, op5_token_counts, op6_warc, op7_quality_rules, op8_decontaminate, op9_substring_exact, op10_token_files, op11_spelling_variants, op12_vector_codes, op13_url_filters)}
