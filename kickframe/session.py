@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,4 +49,6 @@ def ship_package(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent))
     sc.addPyFile(str(target))
+    # the workers that the JVM starts on the driver for stateful streams do not get added files
+    sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(target), sc.environment.get("PYTHONPATH")]))
     _shipped.add(sc.applicationId)
