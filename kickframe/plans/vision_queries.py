@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kickframe.operators import homography, hulls
+from kickframe.operators import homography, hulls, masks, pictures
 from kickframe.plans.registry import query, table
 
 _H = ("1 + s / 1000", "0.02", "5 + s", "0.01", "1.1", "-3.0", "0.00001 * (s % 7)", "0.00002")
@@ -50,3 +50,64 @@ def outline_points(spark, sf_dir):
     corner = lambda i: F.struct(((k * 37 + i * 450) % 2880).cast("double").alias("x"), (700 + (k * i) % 300).cast("double").alias("y"))
     points = table(spark, sf_dir, "customer").select("c_custkey", F.explode(hulls.densify(F.array(*[corner(F.lit(i)) for i in range(4)]), 2880.0, 10)).alias("p"))
     return points.groupBy("c_custkey").agg(F.count("*").alias("n"), F.round(F.sum("p.x"), 4).alias("sum_x"), F.round(F.sum("p.y"), 4).alias("sum_y"))
+
+
+_CORNERS = "(SELECT n_nationkey AS n, k, CAST((n_nationkey * 13 + k * 31 + 3) % 110 - 6 AS INTEGER) AS x, CAST((n_nationkey * 7 + k * k * 11) % 54 AS INTEGER) AS y FROM nation, range(5) t(k) WHERE n_nationkey % 6 <> 5)"
+_EDGES = f"(SELECT a.n, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM {_CORNERS} a JOIN {_CORNERS} b ON a.n = b.n AND b.k = (a.k + 1) % 5)"
+#: Whether (px, py) is inside by the even-odd rule, or on an edge, counted over the edges e of its polygon.
+_SET = """count(*) FILTER ((y0 <= py) <> (y1 <= py) AND px < x0 + (py - y0) * (x1 - x0) / CAST(CASE WHEN y1 = y0 THEN 1 ELSE y1 - y0 END AS DOUBLE)) % 2 = 1
+OR count(*) FILTER ((x1 - x0) * (py - y0) = (y1 - y0) * (px - x0) AND px BETWEEN least(x0, x1) AND greatest(x0, x1) AND py BETWEEN least(y0, y1) AND greatest(y0, y1)) > 0"""
+
+
+def _masks(spark, sf_dir):
+    n = F.col("n_nationkey")
+    corner = lambda k: F.struct(((n * 13 + k * 31 + 3) % 110 - 6).alias("x"), ((n * 7 + k * k * 11) % 54).alias("y"))
+    polygons = table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 5").select(n.alias("n"), F.array(*[corner(k) for k in range(5)]).alias("poly"))
+    return masks.mask_runs(polygons, ["n"], "poly", 96, 54)
+
+
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey % 25 AS n, l_partkey % 120 - 12 + l_discount AS x, l_orderkey % 60 - 3 + l_tax AS y FROM lineitem),
+q AS (SELECT *, CAST(least(greatest(round_even(x, 0), 0), 95) AS INTEGER) AS px, CAST(least(greatest(round_even(y, 0), 0), 53) AS INTEGER) AS py FROM p),
+s AS (SELECT n, px, py, {_SET} AS is_set FROM (SELECT DISTINCT n, px, py FROM q) d JOIN {_EDGES} e USING (n) GROUP BY n, px, py)
+SELECT l_orderkey, l_linenumber FROM q LEFT JOIN s USING (n, px, py) WHERE coalesce(is_set, true)""")
+def mask_membership(spark, sf_dir):
+    """Points whose pixel is set in their polygon's mask; every sixth polygon is missing, and its points stay."""
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 25).alias("n"), (F.col("l_partkey") % 120 - 12 + F.col("l_discount")).alias("x"), (F.col("l_orderkey") % 60 - 3 + F.col("l_tax")).alias("y"))
+    return masks.keep_in_mask(points, _masks(spark, sf_dir), ["n"], "x", "y", 96, 54).select("l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH g AS (SELECT n, px, py, {_SET} AS is_set FROM {_EDGES} e, range(96) a(px), range(54) b(py) GROUP BY n, px, py),
+m AS (SELECT n, count(*) AS c, 0.5::DOUBLE * (abs(avg(px) - 48) / 48 + abs(avg(py) - 27) / 27) AS o FROM g WHERE is_set GROUP BY n)
+SELECT n, round(c / 5184.0::DOUBLE, 8) AS coverage, round(CASE WHEN c >= 50 THEN o ELSE 1 END, 8) AS off_centre, round(CASE WHEN c >= 50 THEN 0.45 * c / 5184.0::DOUBLE + 0.55 * greatest(0, 1 - o) ELSE 0 END, 8) AS score FROM m""")
+def mask_coverage(spark, sf_dir):
+    found = masks.mask_view(_masks(spark, sf_dir), ["n"], 96, 54)
+    return found.select("n", F.round("coverage", 8).alias("coverage"), F.round("offset", 8).alias("off_centre"), F.round("score", 8).alias("score"))
+
+
+_STRIPS = "(SELECT l_suppkey, l_partkey % 256 AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS c FROM lineitem)"
+
+
+@query(f"""SELECT l_suppkey, CAST(i // 16 AS INTEGER) AS y, CAST(count(*) AS INTEGER) AS n, round(avg(v), 6) AS mean, round(var_pop(v), 6) AS variance, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75
+FROM {_STRIPS} s WHERE i < c // 16 * 16 AND i % 16 BETWEEN 2 AND 12 GROUP BY l_suppkey, i // 16""")
+def strip_statistics(spark, sf_dir):
+    """Statistics of the rows of a strip of each supplier's picture, whose pixels are its line items."""
+    order = F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey")))
+    hexed = F.array_join(F.transform(order, lambda s: F.lpad(F.hex(s["l_partkey"] % 256), 2, "0")), "")
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.unhex(hexed).alias("pixels")).withColumn("width", F.lit(16))
+    found = pictures.row_statistics(packed, ["l_suppkey"], "pixels", "width", 2, 13)
+    return found.select("l_suppkey", "y", "n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "median", "p75")])
+
+
+_RGB = "(SELECT l_orderkey, l_linenumber, CAST(l_partkey % 256 AS INTEGER) AS r, CAST(l_suppkey * 11 % 256 AS INTEGER) AS g, CAST(l_orderkey * 5 % 256 AS INTEGER) AS b FROM lineitem)"
+
+
+@query(f"""WITH m AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS d FROM {_RGB} c),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0.0::DOUBLE WHEN hi = r THEN 60.0::DOUBLE * (g - b) / d WHEN hi = g THEN 120 + 60.0::DOUBLE * (b - r) / d ELSE 240 + 60.0::DOUBLE * (r - g) / d END AS t FROM m),
+o AS (SELECT *, CAST(CAST(floor(CASE WHEN t < 0 THEN t + 360 ELSE t END / 2 + 0.5) AS BIGINT) % 180 AS INTEGER) AS hue, CAST(CASE WHEN hi = 0 THEN 0 ELSE floor(255.0::DOUBLE * d / hi + 0.5) END AS INTEGER) AS saturation FROM h)
+SELECT l_orderkey, l_linenumber, hue, saturation, hi AS value, g - r > 20 AND g - b > 20 AS green, hue BETWEEN 35 AND 95 AND saturation >= 40 AND hi >= 15 AS grass FROM o""")
+def colour_tests(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).cast("int").alias("r"), (F.col("l_suppkey") * 11 % 256).cast("int").alias("g"), (F.col("l_orderkey") * 5 % 256).cast("int").alias("b"))
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    h, s, v = pictures.hue_saturation_value(r, g, b)
+    seen = rows.select("l_orderkey", "l_linenumber", h.alias("hue"), s.alias("saturation"), v.alias("value"), pictures.is_green(r, g, b).alias("green"))
+    return seen.withColumn("grass", pictures.within(F.col("hue"), F.col("saturation"), F.col("value"), (35, 40, 15), (95, 255, 255)))
