@@ -12,7 +12,7 @@ from kickframe.operators import control
 from kickframe.plans import state_queries  # noqa: F401 (registers the SQL of kalman_2d)
 from kickframe.plans.registry import ORACLE_SQL, query, table
 from kickframe.session import ROCKSDB
-from kickframe.streaming import live
+from kickframe.streaming import live, timers
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,3 +90,13 @@ def stream_changes(spark, sf_dir):
     run.awaitTermination()
     last = run.lastProgress["batchId"]
     return spark.read.parquet(f"{folder}/table/{last}")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_id % 4 * 600 AS delay FROM events), n AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(delay AS VARCHAR)) AS next FROM e)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since, strftime(ts + to_seconds(delay), '%Y-%m-%d %H:%M:%S') AS due FROM n
+WHERE delay > 0 AND CASE WHEN next IS NULL THEN ts + to_seconds(delay) <= (SELECT max(ts) FROM events) ELSE next >= ts + to_seconds(delay) END""")
+def stream_pauses(spark, sf_dir):
+    """Pauses of up to half an hour that end by themselves; those that would end after the newest row have not yet."""
+    rows = _stream(spark, sf_dir).select("user_id", "ts", (F.col("event_id") % 4 * 600).alias("delay"))
+    found = _drained(timers.resume_after(rows, ["user_id"], "ts", "delay", late="0 seconds"), "append")
+    return found.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("since", "due")])
