@@ -98,3 +98,27 @@ def lloyd(df: DataFrame, feature: str, centres: list[list[float]], rounds: int =
         if moved < tolerance:
             break
     return centres
+
+
+def seed_centres(df: DataFrame, id_col: str, feature: str, k: int, seed: int = 0) -> list[list[float]]:
+    """``k`` rows as first centres, each drawn with a probability proportional to its squared distance from those before.
+
+    A draw is a race: a row's time is exponential with its weight as rate, made of the seed, the round and its id, and the
+    first row wins (equal times: the smaller id). So each draw is one aggregation, the same however rows lie in tasks;
+    only the winners come to the driver. Null features are not drawn; with fewer distinct rows than ``k`` there are fewer.
+    """
+    rows = df.where(F.col(feature).isNotNull())
+    centres: list[list[float]] = []
+    for turn in range(k):
+        if centres:
+            table = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+            weight = F.array_min(F.transform(table, lambda c: squared_distance(F.col(feature), c)))
+        else:
+            weight = F.lit(1.0)
+        uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(turn), F.col(id_col)), 11) + 0.5) / float(1 << 53)
+        race = rows.select(F.col(id_col).alias("id"), F.col(feature).alias("f"), weight.alias("w"), (-F.log(uniform)).alias("e")).where("w > 0")
+        won = race.agg(F.min_by("f", F.struct(F.col("e") / F.col("w"), "id")).alias("f")).first()["f"]
+        if won is None:
+            break
+        centres.append([float(v) for v in won])
+    return centres

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kickframe.operators import homography, hulls, masks, pictures
+from kickframe.operators import cluster, homography, hulls, masks, pictures, sliced
 from kickframe.plans.registry import query, table
 
 _H = ("1 + s / 1000", "0.02", "5 + s", "0.01", "1.1", "-3.0", "0.00001 * (s % 7)", "0.00002")
@@ -111,3 +111,59 @@ def colour_tests(spark, sf_dir):
     h, s, v = pictures.hue_saturation_value(r, g, b)
     seen = rows.select("l_orderkey", "l_linenumber", h.alias("hue"), s.alias("saturation"), v.alias("value"), pictures.is_green(r, g, b).alias("green"))
     return seen.withColumn("grass", pictures.within(F.col("hue"), F.col("saturation"), F.col("value"), (35, 40, 15), (95, 255, 255)))
+
+
+def _bright_boxes():
+    """A stand-in for a model: the box of each grey value of a tile, but of what its inner edges may cut."""
+    import numpy as np
+    import pandas as pd
+
+    def find(batch):
+        out = []
+        for tile, data, w, h in zip(batch["tile"], batch["pixels"], batch["width"], batch["height"], strict=True):
+            picture = np.frombuffer(data, np.uint8).reshape(h, w)
+            x0, y0 = tile["x1"], tile["y1"]
+            for value in np.unique(picture[picture > 0]).tolist():
+                ys, xs = np.nonzero(picture == value)
+                a, b, c, d = int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1
+                cut = (a == 0 and x0 > 0) or (b == 0 and y0 > 0) or (c == w and x0 + w < 96) or (d == h and y0 + h < 54)
+                if not cut:
+                    out.append((tile, float(a), float(b), float(c), float(d), value / 255))
+        return pd.DataFrame(out, columns=["tile", "x1", "y1", "x2", "y2", "conf"])
+
+    return find
+
+
+@query("SELECT s_suppkey, k, CAST((k - 1) * 32 + s_suppkey * 7 % 27 AS INTEGER) AS x1, CAST((s_suppkey * 5 + k * 11) % 51 AS INTEGER) AS y1, CAST((k - 1) * 32 + s_suppkey * 7 % 27 + 5 AS INTEGER) AS x2, CAST((s_suppkey * 5 + k * 11) % 51 + 3 AS INTEGER) AS y2 FROM supplier, range(1, 4) t(k)")
+def sliced_boxes(spark, sf_dir):
+    """What a stand-in model finds in tiles of pictures with three things each is what is there."""
+    s, place = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(96 * 54 - 1))
+
+    def value(i):
+        x, y = i % 96, F.floor(i / 96)
+        k = F.floor(x / 32) + 1
+        left, top = (k - 1) * 32 + s * 7 % 27, (s * 5 + k * 11) % 51
+        return F.when((x >= left) & (x < left + 5) & (y >= top) & (y < top + 3), k * 60).otherwise(F.lit(0))
+
+    hexed = F.array_join(F.transform(place, lambda i: F.lpad(F.hex(value(i)), 2, "0")), "")
+    frames = table(spark, sf_dir, "supplier").select("s_suppkey", F.unhex(hexed).alias("pixels"), F.lit(96).alias("w"), F.lit(54).alias("h"))
+    found = sliced.sliced(frames, ["s_suppkey"], "pixels", "w", "h", _bright_boxes, (40, 40), channels=1, least_tile=16)
+    return found.select("s_suppkey", F.round(F.col("conf") * 255 / 60).cast("bigint").alias("k"), *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("""WITH v AS (SELECT width, tile, greatest(64, least(tile, width)) AS t FROM (SELECT CAST(p_size * 41 AS INTEGER) AS width, CAST(50 + p_partkey % 1000 AS INTEGER) AS tile FROM part) a),
+s AS (SELECT *, greatest(32, t - CAST(floor(t * 0.2) AS INTEGER)) AS step FROM v),
+g AS (SELECT *, unnest(range(0, CAST(greatest(0, ceil((width - t) / step)) AS BIGINT) + 1)) * step AS x FROM s)
+SELECT DISTINCT width, tile, CAST(greatest(0, least(width, x + t) - t) AS INTEGER) AS x1, CAST(least(width, x + t) AS INTEGER) AS x2 FROM g""")
+def tile_spans(spark, sf_dir):
+    views = table(spark, sf_dir, "part").select((F.col("p_size") * 41).cast("int").alias("width"), (50 + F.col("p_partkey") % 1000).cast("int").alias("tile"))
+    # the tile's size is a parameter in the operator; a column does as well
+    return views.select("width", "tile", F.explode(sliced._spans(F.col("width"), F.col("tile"), sliced.OVERLAP, sliced.LEAST_TILE)).alias("s")).select("width", "tile", F.col("s.a").cast("int").alias("x1"), F.col("s.b").cast("int").alias("x2")).distinct()
+
+
+@query()
+def kmeans_seeded(spark, sf_dir):
+    """Lloyd's rounds from drawn centres; the first numbers of each centre."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("feature"))
+    centres = cluster.lloyd(rows, "feature", cluster.seed_centres(rows, "vec_id", "feature", 3, seed=1))
+    return spark.createDataFrame([(k, *[round(v, 5) for v in c[:4]]) for k, c in enumerate(centres)], "label int, c0 double, c1 double, c2 double, c3 double")
