@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,47 @@ def point_in_polygon(x: Column, y: Column, poly: Column) -> Column:
     return F.size(F.filter(crossed, lambda c: c)) % 2 == 1
 
 
+def in_or_on_polygon(x: Column, y: Column, poly: Column) -> Column:
+    """Whether a point is inside a polygon or on its outline."""
+    turned = F.concat(F.slice(poly, 2, F.size(poly) - 1), F.slice(poly, 1, 1))
+
+    def on(a: Column, b: Column) -> Column:
+        level = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+        return level & (x >= F.least(a["x"], b["x"])) & (x <= F.greatest(a["x"], b["x"])) & (y >= F.least(a["y"], b["y"])) & (y <= F.greatest(a["y"], b["y"]))
+
+    return F.exists(F.zip_with(poly, turned, on), lambda hit: hit) | point_in_polygon(x, y, poly)
+
+
+def studio_to_view(pan: Column, tilt: Column, fov: Column, tilt_scale: float = 1.20, fov_scale: float = 1.85) -> tuple[Column, Column, Column]:
+    """Pan, tilt and field of view of a flat view for those of a studio project, whose pan runs the other way."""
+    return -pan, tilt * tilt_scale, fov * fov_scale
+
+
+def half_ellipses(far: Column, left: Column, right: Column, near: Column, width: int, height: int, n_far: int = 7, n_near: int = 11, droop: float = 0.068, scale: float = 1.0) -> Column:
+    """The pitch as array of struct(x, y) in whole pixels, within the picture: a far line that droops at its ends and a near one
+    that bends, both half ellipses over the same axis. ``n_far`` points from left to right, then the near ones from right to
+    left without its ends."""
+    middle, a = F.floor((left + right) / 2), (right - left) / 2 * scale
+    low, high = a * droop, (near - far) * scale
+    angle = lambda k, n: k.cast("double") * math.pi / (n - 1)
+    within = lambda v, n: F.least(F.greatest(v.cast("int"), F.lit(0)), F.lit(n - 1))
+    point = lambda x, y: F.struct(within(x, width).alias("x"), within(y, height).alias("y"))
+    top = F.transform(F.sequence(F.lit(0), F.lit(n_far - 1)), lambda k: point(middle - a * F.cos(angle(k, n_far)), far + low * F.cos(angle(k, n_far)) * F.cos(angle(k, n_far))))
+    bottom = F.transform(F.sequence(F.lit(1), F.lit(n_near - 2)), lambda k: point(middle + a * F.cos(angle(k, n_near)), far + high * F.sin(angle(k, n_near))))
+    return F.concat(top, bottom)
+
+
+def in_circle(px: Column, py: Column, cx: Column, cy: Column, radius: float) -> Column:
+    return (px - cx) * (px - cx) + (py - cy) * (py - cy) <= radius * radius
+
+
+def near_bezier(px: Column, py: Column, p0: Column, c: Column, p1: Column, reach: float, steps: int = 20) -> Column:
+    """Whether one of ``steps`` + 1 points along a quadratic curve, given by structs (x, y), is within ``reach``."""
+    at = lambda k: k.cast("double") / steps
+    off = lambda k: (F.pow(bezier(p0["x"], c["x"], p1["x"], at(k)) - px, 2) + F.pow(bezier(p0["y"], c["y"], p1["y"], at(k)) - py, 2))
+    return F.exists(F.sequence(F.lit(0), F.lit(steps)), lambda k: off(k) <= reach * reach)
+
+
 def homography(x: Column, y: Column, h: list[float]) -> tuple[Column, Column]:
     """A point through a row-major 3x3 matrix; null on the horizon."""
     w = h[6] * x + h[7] * y + h[8]

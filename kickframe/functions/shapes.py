@@ -76,3 +76,8 @@ def nearest_in_reach(clicks: DataFrame, shapes: DataFrame, key: list[str], click
     met = c.join(s, key).withColumn("distance", F.round(F.hypot(F.col("__sx") - F.col("__cx"), F.col("__sy") - F.col("__cy")), 9)).where("distance <= __reach")
     best = F.min(F.struct("distance", shape_id)).alias("b")
     return met.groupBy(*key, click_id).agg(best).select(*key, click_id, F.col(f"b.{shape_id}").alias(shape_id), F.col("b.distance").alias("distance"))
+
+
+def topmost(hits: Column) -> Column:
+    """The id of the last of an array of struct(id, hit) that is hit, which is drawn above the others; null if none is."""
+    return F.try_element_at(F.filter(hits, lambda h: h["hit"]), F.lit(-1))["id"]

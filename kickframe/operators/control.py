@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kickframe.operators.folds import ordered_fold
@@ -268,6 +268,80 @@ def choose_kalman(
     return ordered_fold(df, key, order, lambda: Kalman(**constants), step, "target_x double, target_y double, mode string")
 
 
+def choose_kalman_older(
+    df: DataFrame, key: Names, order: Names, ball: tuple[str, str], conf: str, players: str, crowd: tuple[str, str],
+    width: float = 1280.0, height: float = 720.0, high: float = 0.5, fresh: int = 10, old: int = 45, weights: tuple[float, float] = (0.9, 0.3), **constants: float,
+) -> DataFrame:
+    """target_x, target_y and mode by the cascade's older rules: no gate, no edge, no cluster, and a track that is never forgotten.
+
+    A ball of confidence ``high`` as it was seen; the track while fresh; then, of four players or more, a mean of the
+    track and their weighted centre, the track's weight going from the first to the second of ``weights`` as it ages,
+    or else the track alone; ``players``, ``few_players`` (a fifth of the way from the middle), ``single_player`` (a
+    twentieth) and ``centre`` without one.
+    """
+    middle = width / 2, height / 2
+
+    def step(k: Kalman, row: dict) -> tuple:
+        n, centre = row[players] or 0, (row[crowd[0]], row[crowd[1]])
+        mixed = lambda w, a, b: (w * a[0] + (1 - w) * b[0], w * a[1] + (1 - w) * b[1])
+        if row[ball[0]] is not None:
+            at = (row[ball[0]], row[ball[1]])
+            k.see(list(at))
+            if row[conf] >= high:
+                return *at, "ball_highconf"
+        else:
+            k.miss()
+        if k.x and k.missed < old:
+            here = tuple(k.x)
+            if k.missed < fresh:
+                return *here, "ball"
+            age = k.missed / old
+            return (*mixed(weights[0] * (1 - age) + weights[1] * age, here, centre), "kalman_blend") if n >= 4 else (*here, "kalman")
+        if n >= 4:
+            return *centre, "players"
+        if n >= 2:
+            return *mixed(0.2, centre, middle), "few_players"
+        return (*mixed(0.05, centre, middle), "single_player") if n == 1 else (*middle, "centre")
+
+    return ordered_fold(df, key, order, lambda: Kalman(**constants), step, "target_x double, target_y double, mode string")
+
+
+def choose_before_kalman(
+    df: DataFrame, key: Names, order: Names, ball: tuple[str, str], conf: str, players: str, mean: tuple[str, str], crowd: tuple[str, str],
+    width: float = 1280.0, height: float = 720.0, high: float = 0.5, confirm: int = 3, short: int = 10, long: int = 90,
+) -> DataFrame:
+    """target_x, target_y and mode by the rules before there was a track, all of it windows and expressions:
+
+    - ``ball_highconf``: a ball of confidence ``high`` or more;
+    - ``ball``: its last place for fewer than ``short`` rows, once it has been trusted: seen with that confidence, or in
+      ``confirm`` rows in a row;
+    - ``blend``, ``last_ball``: for fewer than ``long`` rows, from its last place to the players' plain ``mean`` as it ages,
+      or its last place without players;
+    - ``players``, of four or more their weighted centre ``crowd``; ``few_players``, ``single_player`` a fifth and a twentieth of
+      the way from the middle; ``centre``.
+    """
+    w = Window.partitionBy(*key).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    seen, n = F.col(ball[0]).isNotNull(), F.coalesce(F.col(players), F.lit(0))
+    rows = df.withColumn("__row", F.row_number().over(w))
+    rows = rows.withColumn("__last", F.last(F.when(seen, F.struct(F.col("__row").alias("row"), F.col(ball[0]).alias("x"), F.col(ball[1]).alias("y"))), ignorenulls=True).over(so_far))
+    # rows in a row with a ball: those since the last one without
+    rows = rows.withColumn("__hits", F.col("__row") - F.coalesce(F.max(F.when(~seen, F.col("__row"))).over(so_far), F.lit(0)))
+    rows = rows.withColumn("__trusted", F.max(seen & ((F.col(conf) >= high) | (F.col("__hits") >= confirm))).over(so_far))
+    since = F.col("__row") - F.col("__last.row")
+    near = F.when(seen & (F.col(conf) >= high), "ball_highconf").when(F.col("__trusted") & (since < short), "ball").when((since < long) & (n > 0), "blend").when(since < long, "last_ball")
+    far = F.when(n >= 4, "players").when(n >= 2, "few_players").when(n == 1, "single_player").otherwise("centre")
+    rows = rows.withColumns({"mode": F.coalesce(near, far), "__age": since / long})
+    mode = F.col("mode")
+
+    def at(part: str, k: int, middle: float) -> Column:
+        last, group = F.col("__last")[part], F.col(crowd[k])
+        alone = F.when(mode.isin("ball_highconf", "ball", "last_ball"), last).when(mode == "blend", (1 - F.col("__age")) * last + F.col("__age") * F.col(mean[k]))
+        return alone.when(mode == "players", group).when(mode == "few_players", 0.2 * group + 0.8 * middle).when(mode == "single_player", 0.05 * group + 0.95 * middle).otherwise(F.lit(middle))
+
+    return rows.withColumns({"target_x": at("x", 0, width / 2), "target_y": at("y", 1, height / 2)}).drop("__row", "__last", "__hits", "__trusted", "__age")
+
+
 def reanchor(
     df: DataFrame, key: Names, order: Names, time: str, players: str, far: str, target: str, detected: str | None = None, backstop: float = 60.0, cooldown: float = 10.0,
     single: int = 60, nobody: int = 30, confirms: int = 2, every: int = 1, gain: float = 0.15, most: float = 3.0, limit: float = 180.0,

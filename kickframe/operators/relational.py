@@ -27,11 +27,20 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(last, key, "left_anti").unionByName(last.select(old.columns))
 
 
-def patch(old: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``old`` with the columns that a change of its key sets; a null in the change leaves the column."""
-    renamed = changes.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in columns])
+def patch(old: DataFrame, changes: DataFrame, key: str, columns: list[str], sets: str | None = None) -> DataFrame:
+    """``old`` with the columns that a change of its key sets. A null in the change leaves the column, unless ``sets`` names
+    an array column of the change with the columns it sets: these become what the change has, null included."""
+    named = F.col(sets) if sets else F.lit(None).cast("array<string>")
+    renamed = changes.select(F.col(key).alias("__key"), named.alias("__sets"), *[F.col(c).alias(f"__{c}") for c in columns])
     joined = old.join(renamed, old[key] == F.col("__key"), "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
+    new = lambda c: F.when(F.array_contains("__sets", c), F.col(f"__{c}")).otherwise(F.col(c) if sets else F.coalesce(f"__{c}", c))
+    return joined.select(*[new(c).alias(c) if c in columns else F.col(c) for c in old.columns])
+
+
+def insert_sorted(items: Column, item: Column, by: str) -> Column:
+    """An array of structs, sorted by a field, with one more in its place: after those of an equal field; a null one is not put in."""
+    placed = F.concat(F.filter(items, lambda x: x[by] <= item[by]), F.array(item), F.filter(items, lambda x: x[by] > item[by]))
+    return F.when(item.isNull() | item[by].isNull(), items).otherwise(F.coalesce(placed, F.array(item)))
 
 
 def delete(old: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -102,12 +102,13 @@ def asof_backward(left: DataFrame, right: DataFrame, key: list[str], time: str,
 def nearest_within(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str, tolerance: float) -> DataFrame:
     """The rows of ``left`` with a row of ``right`` closer in time than ``tolerance``: an equi join on buckets of that width."""
     bucket = lambda c: F.floor(F.col(c) / tolerance)
-    near = left.withColumn("__b", F.explode(F.array(bucket(left_time) - 1, bucket(left_time), bucket(left_time) + 1)))
-    marks = right.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(right_time).alias("__t"), bucket(right_time).alias("__rb"))
+    near = left.withColumn("__b", bucket(left_time))
+    # the right side stands in three buckets, so a left row has one and stays as often as it is there
+    marks = right.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(right_time).alias("__t"), F.explode(F.array(bucket(right_time) - 1, bucket(right_time), bucket(right_time) + 1)).alias("__rb"))
     same = (F.col("__b") == F.col("__rb")) & (F.abs(F.col(left_time) - F.col("__t")) < tolerance)
     for k in key:
         same = same & (F.col(k) == F.col(f"__{k}"))
-    return near.join(marks, same, "left_semi").drop("__b").distinct()
+    return near.join(marks, same, "left_semi").drop("__b")
 
 
 def interval_join(points: DataFrame, spans: DataFrame, key: list[str], time: str, start: str, end: str, width: float, closed: bool = False, how: str = "inner") -> DataFrame:
@@ -146,6 +147,20 @@ def crossings(positions: DataFrame, marks: DataFrame, key: list[str], order: lis
     return cut.join(right, same).drop("__b", "__rb", *[f"__{k}" for k in key])
 
 
+def first_crossings(positions: DataFrame, marks: DataFrame, key: list[str], order: list[str], time: str, mark: str, id_col: str, most: float, width: float) -> DataFrame:
+    """(key, mark id, mark, order, time): each mark once, where it is passed first, however often a position goes back and passes it again."""
+    steps = positions.withColumn("prev", F.lag(time).over(_w(key, order))).where((F.col(time) - F.col("prev") > 0) & (F.col(time) - F.col("prev") < most))
+    bucket = lambda c: F.floor(F.col(c) / width)
+    cut = steps.select(*key, *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)], F.col(time).alias("__time"), "prev", F.explode(F.sequence(bucket("prev"), bucket(time))).alias("__b"))
+    right = marks.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(id_col), F.col(mark).alias("__mark"), bucket(mark).alias("__rb"))
+    same = (F.col("__b") == F.col("__rb")) & (F.col("__mark") > F.col("prev")) & (F.col("__mark") <= F.col("__time"))
+    for k in key:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    firsts = F.min(F.struct(*[f"__o{i}" for i in range(len(order))], "__time")).alias("f")
+    found = cut.join(right, same).groupBy(*key, id_col, "__mark").agg(firsts)
+    return found.select(*key, id_col, F.col("__mark").alias(mark), *[F.col("f")[f"__o{i}"].alias(f"passed_{o}") for i, o in enumerate(order)], F.col("f")["__time"].alias("passed_at"))
+
+
 def pchip_slopes(knots: DataFrame, key: list[str], t: str, y: str) -> DataFrame:
     """Monotone cubic pieces between neighbouring knots: (key, t0, t1, y0, y1, d0, d1, last).
 

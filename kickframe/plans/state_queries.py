@@ -185,7 +185,7 @@ def target_choice_blend(spark, sf_dir):
     return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
 
 
-def _cascade_sql(fresh: int = 2, old: int = 5) -> str:
+def _cascade_sql(fresh: int = 2, old: int = 5, older: bool = False) -> str:
     """The track as a recursive query, one stage for what happens to it and one for whether it leaves the picture; then the rules."""
     pa, pb, pc = "(a + 2 * b + c + 12.5)", "(b + c + 25)", "(c + 50)"
     k0, k1 = f"({pa} / ({pa} + 225))", f"({pb} / ({pa} + 225))"
@@ -197,6 +197,8 @@ def _cascade_sql(fresh: int = 2, old: int = 5) -> str:
 {by_case('0.0', pb, f'(1 - {k0}) * {pb}', 'b')} AS b, {by_case('500.0', pc, f'{pc} - {k1} * {pb}', 'c')} AS c, CASE WHEN st IN ('start', 'see') THEN 0 WHEN st = 'ignore' THEN missed ELSE missed + 1 END AS missed
 FROM (SELECT s.user_id, s.rn, s.ball_x AS zx, s.ball_y AS zy, {what} AS st, live, x, vx, y, vy, a, b, c, missed FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) u"""
     lost = f"(known AND missed >= {fresh} AND missed < {old} AND (x < 0 OR x > 1280 OR y < 0 OR y > 720))"
+    if older:
+        lost = "false"
     walk = f"""f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, false AS known, false AS live, 0.0::DOUBLE AS x, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS y, 0.0::DOUBLE AS vy, 500.0::DOUBLE AS a, 0.0::DOUBLE AS b, 500.0::DOUBLE AS c, 999 AS missed FROM s
 UNION ALL SELECT user_id, rn, known, known AND NOT {lost}, x, vx, y, vy, a, b, c, CASE WHEN {lost} THEN 999 ELSE missed END FROM ({moved}) m)"""
     rules = f"""CASE WHEN ball_x IS NOT NULL AND conf >= 0.5 AND sqrt((ball_x - x) * (ball_x - x) + (ball_y - y) * (ball_y - y)) <= 200 THEN 'ball_highconf' WHEN known AND missed < {fresh} THEN 'ball'
@@ -204,9 +206,14 @@ WHEN live AND missed < {old} THEN CASE WHEN n >= 2 AND cx IS NOT NULL OR n >= 4
 WHEN n >= 2 AND cx IS NOT NULL THEN CASE WHEN abs(cx - 640) / 640 >= 0.8 THEN 'players' ELSE 'hold' END
 WHEN n >= 2 THEN CASE WHEN abs(gx - 640) / 640 >= 0.8 THEN 'few_players' ELSE 'hold' END WHEN n = 1 THEN 'single_player' ELSE 'centre' END"""
     w = f"greatest(0.85, 0.9 * (1 - missed / {old}))"
+    if older:
+        rules = f"""CASE WHEN ball_x IS NOT NULL AND conf >= 0.5 THEN 'ball_highconf' WHEN known AND missed < {fresh} THEN 'ball' WHEN known AND missed < {old} THEN CASE WHEN n >= 4 THEN 'kalman_blend' ELSE 'kalman' END
+WHEN n >= 4 THEN 'players' WHEN n >= 2 THEN 'few_players' WHEN n = 1 THEN 'single_player' ELSE 'centre' END"""
+        w = f"(0.9 * (1 - missed / {old}) + 0.3 * (missed / {old}))"
     at = lambda ball, p, c, g, half: f"CASE mode WHEN 'ball_highconf' THEN {ball} WHEN 'ball' THEN {p} WHEN 'kalman' THEN {p} WHEN 'kalman_blend' THEN {w} * {p} + (1 - {w}) * coalesce({c}, {g}) WHEN 'players' THEN {c} WHEN 'few_players' THEN 0.2 * {g} + 0.8 * {half} WHEN 'single_player' THEN 0.05 * {g} + 0.95 * {half} ELSE {half} END"
+    group = (lambda c, g: g) if older else (lambda c, g: c)
     return f"""WITH RECURSIVE s AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {_SCENE_SQL} FROM events), {walk}
-SELECT event_id, round({at('ball_x', 'x', 'cx', 'gx', '640.0')}, 6) AS target_x, round({at('ball_y', 'y', 'cy', 'gy', '360.0')}, 6) AS target_y, mode
+SELECT event_id, round({at('ball_x', 'x', group('cx', 'gx'), 'gx', '640.0')}, 6) AS target_x, round({at('ball_y', 'y', group('cy', 'gy'), 'gy', '360.0')}, 6) AS target_y, mode
 FROM (SELECT s.*, f.known, f.live, f.x, f.y, f.missed, {rules} AS mode FROM s JOIN f USING (user_id, rn)) q"""
 
 
@@ -216,6 +223,27 @@ def target_choice_kalman(spark, sf_dir):
     return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
 
 
+@query(_cascade_sql(older=True))
+def target_choice_kalman_older(spark, sf_dir):
+    out = control.choose_kalman_older(_scene(spark, sf_dir), KEY, ORDER, ("ball_x", "ball_y"), "conf", "n", ("gx", "gy"), fresh=2, old=5)
+    return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
+
+
+_BEFORE = """CASE WHEN ball_x IS NOT NULL AND conf >= 0.5 THEN 'ball_highconf' WHEN trusted AND gone < 2 THEN 'ball' WHEN gone < 5 AND n > 0 THEN 'blend' WHEN gone < 5 THEN 'last_ball'
+WHEN n >= 4 THEN 'players' WHEN n >= 2 THEN 'few_players' WHEN n = 1 THEN 'single_player' ELSE 'centre' END"""
+_BEFORE_AT = "CASE WHEN mode IN ('ball_highconf', 'ball', 'last_ball') THEN {l} WHEN mode = 'blend' THEN (1 - gone / 5.0) * {l} + gone / 5.0 * ({g} + 10) WHEN mode = 'players' THEN {g} WHEN mode = 'few_players' THEN 0.2 * {g} + 0.8 * {m} WHEN mode = 'single_player' THEN 0.05 * {g} + 0.95 * {m} ELSE {m} END"
+
+
+@query(f"""SELECT event_id, round({_BEFORE_AT.format(l="lx", g="gx", m="640.0")}, 6) AS target_x, round({_BEFORE_AT.format(l="ly", g="gy", m="360.0")}, 6) AS target_y, mode FROM (SELECT *, {_BEFORE} AS mode FROM (
+SELECT *, max(CASE WHEN ball_x IS NOT NULL AND (conf >= 0.5 OR rn - coalesce(none, 0) >= 3) THEN 1 ELSE 0 END) OVER w = 1 AS trusted FROM (
+SELECT *, rn - max(CASE WHEN ball_x IS NOT NULL THEN rn END) OVER w AS gone, max(CASE WHEN ball_x IS NULL THEN rn END) OVER w AS none, last_value(ball_x IGNORE NULLS) OVER w AS lx, last_value(ball_y IGNORE NULLS) OVER w AS ly FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, {_SCENE_SQL} FROM events) a WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)) b WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING)) c) d""")
+def target_choice_before_kalman(spark, sf_dir):
+    e = _scene(spark, sf_dir).withColumns({"mx": F.col("gx") + 10, "my": F.col("gy") + 10})
+    out = control.choose_before_kalman(e, KEY, ORDER, ("ball_x", "ball_y"), "conf", "n", ("mx", "my"), ("gx", "gy"), short=2, long=5)
+    return out.select("event_id", F.round("target_x", 6).alias("target_x"), F.round("target_y", 6).alias("target_y"), "mode")
+
+
 _PLAYERS, _FAR_BALL = "CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'click' THEN 1 ELSE 5 END", "event_id % 3 > 0"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -145,6 +146,50 @@ def random_starts(spark: SparkSession, duration: float, length: float, n: int, s
     return spark.range(n).select((F.rand(seed) * (high - 10) + 10).alias("t0")).orderBy("t0")
 
 
+def interval_times(spark: SparkSession, start: float, end: float, interval: float, seed: int) -> DataFrame:
+    """(i, t): one time after each ``interval``, up to four fifths of it late, a second before the end at most."""
+    n = max(0, int((end - start) / interval))
+    return spark.range(n).select(F.col("id").alias("i"), F.least(F.lit(start) + F.col("id") * interval + F.rand(seed) * 0.8 * interval, F.lit(end - 1)).alias("t"))
+
+
+def listed_starts(spark: SparkSession, starts: list[float]) -> DataFrame:
+    """(t0): given starts of segments, in order."""
+    return spark.createDataFrame([(float(t),) for t in starts], "t0 double").orderBy("t0")
+
+
+def volumes(spark: SparkSession, root: str) -> DataFrame:
+    """(volume, path, mount) of each folder below ``root`` that has footage somewhere inside: the first such folder in order.
+    Hidden volumes are passed over, and so is what cannot be read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{insv,INSV}").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root).select("path")
+    base = root.rstrip("/").removeprefix("file:")
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^.*?{re.escape(base)}/", "")
+    parts = found.select("path", below.alias("below")).select("path", F.split_part("below", F.lit("/"), F.lit(1)).alias("volume"), "below").where(F.col("below").contains("/") & ~F.col("volume").startswith("."))
+    first = parts.groupBy("volume").agg(F.min("path").alias("path"))
+    return first.select("volume", F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.concat(F.lit(base + "/"), "volume").alias("mount"))
+
+
+def image_sets(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "valid", "test")) -> DataFrame:
+    """(split, name, image, label): the footage pictures of each split in order, with where the label file of each belongs.
+    The pictures are listed, not read; a split that is not there has none."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "VID_*.jpg").option("recursiveFileLookup", True).load(root).select("path")
+    part = lambda k: F.regexp_extract("path", "([^/]+)/images/([^/]+)$", k)
+    named = found.select(part(1).alias("split"), part(2).alias("name"), F.col("path").alias("image")).where(F.col("split").isin(*splits))
+    label = F.regexp_replace(F.regexp_replace("image", "/images/([^/]+)$", "/labels/$1"), r"\.jpg$", ".txt")
+    return named.withColumn("label", label).orderBy("split", "name")
+
+
+def resume(items: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
+    """The items that are not done yet; with nothing done all of them."""
+    return items.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def some(rows: DataFrame, what: str) -> DataFrame:
+    """``rows``, or an error if there are none."""
+    if rows.isEmpty():
+        raise ValueError(f"no {what} found")
+    return rows
+
+
 def number_list(text: Column) -> Column:
     """``"100,250"`` as an array of doubles."""
     return F.transform(F.split(text, ","), lambda s: F.trim(s).cast("double"))
