@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kickframe.operators import control
+from kickframe.operators import control, inserts
 from kickframe.plans import state_queries  # noqa: F401 (registers the SQL of kalman_2d)
 from kickframe.plans.registry import ORACLE_SQL, query, table
 from kickframe.session import ROCKSDB
-from kickframe.streaming import live, timers
+from kickframe.streaming import live, timers, work_queue
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,3 +100,37 @@ def stream_pauses(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("user_id", "ts", (F.col("event_id") % 4 * 600).alias("delay"))
     found = _drained(timers.resume_after(rows, ["user_id"], "ts", "delay", late="0 seconds"), "append")
     return found.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("since", "due")])
+
+
+def _extract(item):
+    if item["event_id"] % 7 == 0:
+        raise OSError("no frame")
+    return {"frame": f"{item['event_id']}.jpg"}
+
+
+def _calibrate(item):
+    if item["event_id"] % 5 == 0 and item["tries"] < 1:
+        raise OSError("try again")
+    return {"confidence": item["event_id"] % 100 / 100}
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id || '.jpg' END AS frame, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 100 / 100.0::DOUBLE END AS confidence,
+CASE WHEN event_id % 7 = 0 THEN 'error' ELSE 'review' END AS status, CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END AS tries, CASE WHEN event_id % 7 = 0 THEN 'OSError: no frame' END AS error FROM events""")
+def stream_queue(spark, sf_dir):
+    """Every event is an item of a queue of two stages; one in seven cannot be worked on, one in five only at the second try."""
+    none = lambda kind: F.lit(None).cast(kind)
+    feed = _stream(spark, sf_dir).select("event_id", none("string").alias("frame"), none("double").alias("confidence"))
+    folder = _folder(spark)
+    run = work_queue.run_queue(feed, f"{folder}/queue", f"{folder}/state", "event_id", [("extracting", _extract), ("calibrating", _calibrate)], tries=2, rounds=4)
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/queue/{run.lastProgress['batchId']}").select("event_id", "frame", "confidence", "status", "tries", "error")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, sum(c_custkey) AS keys, (SELECT count(*) FROM customer) AS given, (SELECT count(*) - 1 FROM customer) AS last FROM customer GROUP BY c_mktsegment")
+def insert_returning(spark, sf_dir):
+    """Customers appended in two inserts; keys are as many as rows, from 0 on without a gap."""
+    path, rows = f"{_folder(spark)}/table", table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    written = [inserts.insert_returning(rows.where(f"c_custkey % 3 {sign} 0"), path) for sign in ("=", "<>")]
+    both = written[0].unionByName(written[1])
+    keys = both.agg(F.countDistinct("id").alias("given"), F.max("id").alias("last"))
+    return both.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys")).crossJoin(F.broadcast(keys))  # one row

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kickframe.operators import cluster, homography, hulls, masks, pictures, sliced
+from kickframe.functions import geometry, shapes
+from kickframe.operators import cluster, homography, hulls, masks, pictures, relational, series, sliced
 from kickframe.plans.registry import query, table
 
 _H = ("1 + s / 1000", "0.02", "5 + s", "0.01", "1.1", "-3.0", "0.00001 * (s % 7)", "0.00002")
@@ -167,3 +168,76 @@ def kmeans_seeded(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("feature"))
     centres = cluster.lloyd(rows, "feature", cluster.seed_centres(rows, "vec_id", "feature", 3, seed=1))
     return spark.createDataFrame([(k, *[round(v, 5) for v in c[:4]]) for k, c in enumerate(centres)], "label int, c0 double, c1 double, c2 double, c3 double")
+
+
+@query("""SELECT l_orderkey, l_partkey, round(-(l_orderkey % 90 - 45.0::DOUBLE), 6) + 0.0 AS pan, round((l_suppkey % 40 - 20.0::DOUBLE) * 1.2, 6) + 0.0 AS tilt, round(CAST(l_quantity AS DOUBLE) * 1.85, 6) AS fov FROM lineitem""")
+def studio_view(spark, sf_dir):
+    pan, tilt, fov = geometry.studio_to_view((F.col("l_orderkey") % 90).cast("double") - 45, (F.col("l_suppkey") % 40).cast("double") - 20, F.col("l_quantity").cast("double"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.round(pan, 6) + F.lit(0.0)).alias("pan"), (F.round(tilt, 6) + F.lit(0.0)).alias("tilt"), F.round(fov, 6).alias("fov"))
+
+
+_ANCHORS = "(SELECT c_custkey, c_custkey % 200 + 400 AS far, c_custkey * 3 % 500 AS l, 1500 + c_custkey * 7 % 1600 AS r, c_custkey % 300 + 800 AS near FROM customer)"
+
+
+@query(f"""WITH a AS (SELECT *, (l + r) // 2 AS m, (r - l) / 2.0::DOUBLE AS s FROM {_ANCHORS} x),
+p AS (SELECT c_custkey, k AS idx, trunc(m - s * cos(k * pi() / 6)) AS x, trunc(far + s * 0.068 * cos(k * pi() / 6) * cos(k * pi() / 6)) AS y FROM a, range(7) t(k)
+UNION ALL SELECT c_custkey, 6 + k, trunc(m + s * cos(k * pi() / 10)), trunc(far + (near - far) * 1.0::DOUBLE * sin(k * pi() / 10)) FROM a, range(1, 10) t(k))
+SELECT c_custkey, idx, CAST(least(greatest(x, 0), 2879) AS INTEGER) AS x, CAST(least(greatest(y, 0), 1439) AS INTEGER) AS y FROM p""")
+def pitch_polygon(spark, sf_dir):
+    k = F.col("c_custkey")
+    poly = geometry.half_ellipses(k % 200 + 400, k * 3 % 500, 1500 + k * 7 % 1600, k % 300 + 800, 2880, 1440)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(poly).alias("at", "p")).select("c_custkey", F.col("at").cast("bigint").alias("idx"), "p.x", "p.y")
+
+
+_OUTLINE = [(100, 50), (800, 50), (900, 400), (450, 300), (100, 500)]
+_ON = " OR ".join(f"(({bx} - {ax}) * (py - {ay}) = ({by} - {ay}) * (px - {ax}) AND px BETWEEN {min(ax, bx)} AND {max(ax, bx)} AND py BETWEEN {min(ay, by)} AND {max(ay, by)})" for (ax, ay), (bx, by) in zip(_OUTLINE, _OUTLINE[1:] + _OUTLINE[:1], strict=True))
+_IN = " + ".join(f"CASE WHEN ({ay} > py) <> ({by} > py) AND px < ({bx} - {ax}) * (py - {ay}) / ({by} - {ay}.0::DOUBLE) + {ax} THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in zip(_OUTLINE, _OUTLINE[1:] + _OUTLINE[:1], strict=True) if ay != by)
+
+
+@query(f"SELECT l_orderkey, l_partkey, {_ON} OR ({_IN}) % 2 = 1 AS inside FROM (SELECT l_orderkey, l_partkey, l_partkey * 50 % 1000 AS px, l_suppkey * 50 % 550 AS py FROM lineitem) p")
+def point_in_or_on_polygon(spark, sf_dir):
+    """Points of a coarse grid, many of them on the outline."""
+    x, y = (F.col("l_partkey") * 50 % 1000).cast("double"), (F.col("l_suppkey") * 50 % 550).cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", geometry.in_or_on_polygon(x, y, geometry.polygon(_OUTLINE)).alias("inside"))
+
+
+_CURVE = " OR ".join(f"pow({(1 - t / 20) ** 2!r}::DOUBLE * 100 + {2 * (1 - t / 20) * (t / 20)!r}::DOUBLE * 480 + {(t / 20) ** 2!r}::DOUBLE * 860 - px, 2) + pow({(1 - t / 20) ** 2!r}::DOUBLE * 400 + {2 * (1 - t / 20) * (t / 20)!r}::DOUBLE * 20 + {(t / 20) ** 2!r}::DOUBLE * 400 - py, 2) <= 625" for t in range(21))
+
+
+@query(f"SELECT l_orderkey, l_partkey, CASE WHEN (px - 300) * (px - 300) + (py - 250) * (py - 250) <= 14400 THEN 'circle' WHEN {_CURVE} THEN 'curve' WHEN pow((px - 480) / 400.0::DOUBLE, 2) + pow((py - 270) / 200.0::DOUBLE, 2) <= 1 THEN 'ellipse' END AS shape FROM (SELECT l_orderkey, l_partkey, CAST(l_partkey % 960 AS DOUBLE) AS px, CAST(l_suppkey * 7 % 540 AS DOUBLE) AS py FROM lineitem) p")
+def topmost_shape(spark, sf_dir):
+    """Of an ellipse, a curve above it and a circle above both, what a point hits."""
+    x, y = (F.col("l_partkey") % 960).cast("double"), (F.col("l_suppkey") * 7 % 540).cast("double")
+    at = lambda px, py: F.struct(F.lit(px).alias("x"), F.lit(py).alias("y"))
+    hits = [("ellipse", geometry.in_ellipse(x, y, F.lit(480.0), F.lit(270.0), 400.0, 200.0)), ("curve", geometry.near_bezier(x, y, at(100.0, 400.0), at(480.0, 20.0), at(860.0, 400.0), 25.0)), ("circle", geometry.in_circle(x, y, F.lit(300.0), F.lit(250.0), 120.0))]
+    listed = F.array(*[F.struct(F.lit(n).alias("id"), h.alias("hit")) for n, h in hits])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", shapes.topmost(listed).alias("shape"))
+
+
+@query("SELECT c_custkey, list_sort([c_custkey % 5, c_custkey % 7 + 2, c_custkey % 11, c_custkey % 9 + 1]) AS times FROM customer")
+def sorted_insert(spark, sf_dir):
+    k = F.col("c_custkey")
+    one = lambda v: F.struct(v.alias("t"))
+    items = F.array_sort(F.array(one(k % 5), one(k % 7 + 2), one(k % 11)))
+    added = relational.insert_sorted(items, one(k % 9 + 1), "t")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.transform(added, lambda x: x["t"]).alias("times"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def patch_to_null(spark, sf_dir):
+    """A change sets the columns it names, to null as well."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    sets = F.when(F.col("o_orderkey") % 14 == 0, F.array(F.lit("o_orderstatus"), F.lit("o_orderpriority"))).otherwise(F.array(F.lit("o_orderstatus")))
+    changes = o.where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("P").alias("o_orderstatus"), F.lit(None).cast("string").alias("o_orderpriority"), sets.alias("sets"))
+    return relational.patch(o, changes, "o_orderkey", ["o_orderstatus", "o_orderpriority"], "sets")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN epoch(ts) - 9000 ELSE epoch(ts) END AS t FROM events),
+s AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM p), m AS (SELECT event_id AS mark_id, user_id, epoch(ts) - 100 AS mark FROM events WHERE event_type = 'click')
+SELECT user_id, mark_id, min(event_id) AS passed_event_id FROM s JOIN m USING (user_id) WHERE mark > prev AND mark <= t AND t - prev > 0 AND t - prev < 40000 GROUP BY user_id, mark_id""")
+def first_crossing(spark, sf_dir):
+    """Marks passed by positions that often go back; each counts where it is passed first."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
+    positions = e.select("event_id", "user_id", (F.col("us") / 1e6 - F.when(F.col("event_id") % 3 == 0, 9000).otherwise(F.lit(0))).alias("t"))
+    marks = e.where("event_type = 'click'").select(F.col("event_id").alias("mark_id"), "user_id", (F.col("us") / 1e6 - 100).alias("mark"))
+    return series.first_crossings(positions, marks, ["user_id"], ["event_id"], "t", "mark", "mark_id", 40000.0, 40000.0).select("user_id", "mark_id", "passed_event_id")

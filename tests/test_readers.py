@@ -111,3 +111,46 @@ def test_calibration_document(spark):
     row = spark.range(1).select(writers.calibration(pts).alias("c"), writers.normalised(pts, 10, 20).alias("n"), writers.normalised(F.slice(pts, 1, 2), 10, 20).alias("few")).first()
     assert json.loads(row.c) == {"pitch_polygon": [[1, 2], [3, 5], [5, 6]]}
     assert tuple(row.n[0]) == (0.14, 0.1) and row.few is None
+
+
+def test_volumes_and_image_sets(spark, tmp_path):
+    from kickframe.sources import readers
+
+    for name in ("CARD/DCIM/b/x.insv", "CARD/DCIM/a/y.insv", "OTHER/z.INSV", ".hidden/w.insv", "EMPTY/readme.txt", "top.insv"):
+        path = tmp_path / "volumes" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+    root = str(tmp_path / "volumes")
+    got = sorted((r["volume"], r["path"].rsplit("/volumes", 1)[1], r["mount"]) for r in readers.volumes(spark, root).collect())
+    assert got == [("CARD", "/CARD/DCIM/a", f"{root}/CARD"), ("OTHER", "/OTHER", f"{root}/OTHER")]
+    for name in ("train/images/VID_2.jpg", "train/images/VID_1.jpg", "train/images/other.jpg", "valid/images/VID_3.jpg", "spare/images/VID_4.jpg", "train/labels/VID_1.txt"):
+        path = tmp_path / "set" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x")
+    got = [(r["split"], r["name"], r["label"].rsplit("/set/", 1)[1]) for r in readers.image_sets(spark, str(tmp_path / "set")).collect()]
+    assert got == [("train", "VID_1.jpg", "train/labels/VID_1.txt"), ("train", "VID_2.jpg", "train/labels/VID_2.txt"), ("valid", "VID_3.jpg", "valid/labels/VID_3.txt")]
+
+
+def test_times_resume_and_errors(spark):
+    import pytest
+
+    from kickframe.operators import relational, series
+    from kickframe.sources import readers
+
+    times = [r["t"] for r in readers.interval_times(spark, 10.0, 41.0, 5.0, 3).collect()]
+    assert len(times) == 6 and all(10 + 5 * i <= t <= 14 + 5 * i for i, t in enumerate(times))
+    assert [r["t0"] for r in readers.listed_starts(spark, [30, 10.5]).collect()] == [10.5, 30.0]
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "i int, s string")
+    assert sorted(map(tuple, readers.resume(items, items.where("i = 1"), ["i"]).collect())) == [(2, "b"), (2, "b")]
+    assert readers.resume(items, items.limit(0), ["i"]).count() == 3
+    with pytest.raises(ValueError, match="no keyframes"):
+        readers.some(items.limit(0), "keyframes")
+    assert readers.some(items, "keyframes").count() == 3
+    # an empty left side falls back to the right one
+    right = spark.createDataFrame([("u", "coach"), ("v", None)], "k string, role string")
+    assert sorted(map(tuple, relational.left_or_only(right.select("k").limit(0), right, "k", "role").collect())) == [("u", "coach"), ("v", None)]
+    assert sorted(map(tuple, relational.left_or_only(spark.createDataFrame([("u",), ("w",)], "k string"), right, "k", "role").collect())) == [("u", "coach"), ("w", None)]
+    # repeated rows stay repeated
+    left = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 9.0)], "k string, t double")
+    near = series.nearest_within(left, spark.createDataFrame([("a", 1.4), ("a", 0.8)], "k string, t double"), ["k"], "t", "t", 0.5)
+    assert sorted(map(tuple, near.collect())) == [("a", 1.0), ("a", 1.0)]
