@@ -6,8 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -34,22 +33,22 @@ class _Fold(StatefulProcessor):
     """One pickled state per key; a batch's rows are taken in order."""
 
     def __init__(self, order: list[str], init: Callable[[], Any], step: Callable[..., tuple], names: list[str], new: list[str]) -> None:
-        self.order, self.start, self.step, self.names, self.new = order, init, step, names, new
+        self.order, self.start, self.step, self.names, self.row = order, init, step, names, Row(*names, *new)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", "data binary")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         held = self.state.get()
         state = pickle.loads(held[0]) if held else self.start()
-        batch = pd.concat(list(rows)).sort_values(self.order)[self.names]
-        columns = {c: [None if v is None or v is pd.NaT or v != v else v for v in batch[c].tolist()] for c in self.names}
-        made = [self.step(state, dict(zip(self.names, values, strict=True))) for values in zip(*columns.values(), strict=True)]
+        # nulls first, as Spark sorts them
+        batch = sorted(rows, key=lambda r: [(r[c] is not None, r[c]) if r[c] is not None else (False, 0) for c in self.order])
+        made = []
+        for row in batch:
+            values = {c: row[c] for c in self.names}
+            made.append(self.row(*values.values(), *self.step(state, values)))
         self.state.update((pickle.dumps(state),))
-        out = pd.DataFrame(columns)
-        for name, values in zip(self.new, zip(*made, strict=True), strict=True):
-            out[name] = pd.Series(list(values), dtype=object)
-        yield out
+        yield from made
 
     def close(self) -> None:
         pass
@@ -65,7 +64,7 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], init: Callable[[],
     new = StructType.fromDDL(out_ddl)
     schema = StructType(rows.schema.fields + new.fields)
     processor = _Fold(order, init, step, rows.columns, new.names)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "none")
+    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "none")
 
 
 def smooth(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.12) -> DataFrame:

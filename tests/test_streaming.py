@@ -64,3 +64,22 @@ def test_a_table_is_kept_by_changes(spark, feed, tmp_path):
     run = live.keep_table(stream, str(tmp_path / "table"), "id", "kind", "version", str(tmp_path / "state"))
     run.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table" / "1")).collect())) == [(1, "a"), (3, "c"), (4, "d")]
+
+
+def test_a_fold_is_the_same_on_a_stream_and_a_table(spark, feed, tmp_path):
+    """Nulls stay nulls, NaN stays NaN, and integers beside nulls stay integers."""
+    from kickframe.operators.folds import ordered_fold
+
+    def make():
+        def step(state, row):
+            state.append(repr((row["x"], row["n"])))
+            return (" ".join(state),)
+
+        return step
+
+    rows = [("a", 1, 1.5, 3), ("a", 2, float("nan"), None), ("a", 3, None, 2**60 + 1), ("b", 1, None, None), ("a", 4, 2.0, 4)]
+    schema = "k string, t int, x double, n bigint"
+    fold = lambda df: ordered_fold(df, ["k"], ["t"], list, make(), "seen string").select("k", "t", "seen")
+    want = sorted(map(tuple, fold(spark.createDataFrame(rows, schema)).collect()))
+    assert want[3][2].endswith(f"(nan, None) (None, {2**60 + 1}) (2.0, 4)")
+    assert sorted(map(tuple, drained(fold(feed(schema, rows[:2], rows[2:])), tmp_path).collect())) == want
