@@ -51,12 +51,13 @@ def best(df: DataFrame, key: list[str], x: str, size: str, order: str, score: st
     return joined.select(*key, F.coalesce("__c", "__mx").alias("centre"), F.coalesce("__k", F.lit(1)).cast("bigint").alias("size"), F.coalesce("__h", "__mh").alias("mean_size"), "n_clusters")
 
 
-def sweep(df: DataFrame, key: list[str], x: str, size: str, order: str, eps: list[float], score: str, least: int) -> DataFrame:
-    """``best`` for every eps, one row per key with a centre and a size for each."""
+def sweep(df: DataFrame, key: list[str], x: str, size: str, order: str, eps: list[float], score: str, least: int, full: bool = False) -> DataFrame:
+    """``best`` for every eps, one row per key with a centre and a size for each; with ``full`` also the mean size of its members and the number of clusters."""
     tried = df.withColumn("eps", F.explode(F.array(*[F.lit(float(e)) for e in eps])))
     found = best(dbscan_pairs(tried, [*key, "eps"], x, [order], F.col("eps")), [*key, "eps"], x, size, order, score, least)
-    wide = found.groupBy(*key).pivot("eps", [float(e) for e in eps]).agg(F.first("centre").alias("c"), F.first("size").alias("s"))
-    cols = [F.col(f"`{float(e)}_{p}`").alias(f"{n}_eps{e:g}") for e in eps for p, n in (("c", "centre"), ("s", "size"))]
+    wide = found.groupBy(*key).pivot("eps", [float(e) for e in eps]).agg(F.first("centre").alias("c"), F.first("size").alias("s"), F.first("mean_size").alias("m"), F.first("n_clusters").alias("n"))
+    parts = (("c", "centre"), ("s", "size"), ("m", "mean_size"), ("n", "n_clusters"))
+    cols = [F.col(f"`{float(e)}_{p}`").alias(f"{n}_eps{e:g}") for e in eps for p, n in parts[: 4 if full else 2]]
     return wide.select(*key, *cols)
 
 

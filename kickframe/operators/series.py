@@ -194,11 +194,22 @@ def hermite(x: Column) -> Column:
     return (2 * u3 - 3 * u2 + 1) * F.col("y0") + (u3 - 2 * u2 + u) * h * F.col("d0") + (3 * u2 - 2 * u3) * F.col("y1") + (u3 - u2) * h * F.col("d1")
 
 
-def pchip_at(samples: DataFrame, knots: DataFrame, key: list[str], x: str, t: str, y: str, name: str = "truth") -> DataFrame:
-    """``samples`` within their key's knots with the interpolated value; the others are dropped.
+def pchip_at(samples: DataFrame, knots: DataFrame, key: list[str], x: str, t: str, y: str, name: str = "truth", outside: str = "drop") -> DataFrame:
+    """``samples`` with the value interpolated between their key's knots.
 
-    The piece of a sample is the last that starts at or before it: an as-of join, so no pairing of ranges.
+    Samples outside of the knots are dropped, or kept: with ``outside`` as "clamp" they get the value of the nearest knot, with
+    "null" none. A sample whose key has fewer than two knots has no value. The piece of a sample is the last that starts
+    at or before it: an as-of join, so no pairing of ranges.
     """
+    if outside != "drop":
+        if outside not in ("clamp", "null"):
+            raise ValueError("outside is drop, clamp or null")
+        bounds = knots.groupBy(*key).agg(F.min(t).alias("__low"), F.max(t).alias("__high"))
+        placed = samples.join(bounds, key, "left").withColumn("__x", F.least(F.greatest(F.col(x), "__low"), "__high"))
+        pieces = pchip_slopes(knots, key, t, y).select(*key, F.col("t0").alias("__x"), F.struct("t0", "t1", "y0", "y1", "d0", "d1").alias("__piece"))
+        met = asof_backward(placed, pieces, key, "__x", "__piece", "__p").select(*samples.columns, "__x", "__p.*")
+        value = hermite(F.col("__x")) if outside == "clamp" else F.when(F.col("__x") == F.col(x), hermite(F.col("__x")))
+        return met.withColumn(name, value).select(*samples.columns, name)
     pieces = pchip_slopes(knots, key, t, y).select(*key, F.col("t0").alias(x), F.struct("t0", "t1", "y0", "y1", "d0", "d1").alias("__piece"))
     met = asof_backward(samples, pieces, key, x, "__piece", "__p")
     inside = met.where(F.col(x) <= F.col("__p.t1")).select(*samples.columns, "__p.*")
@@ -215,3 +226,14 @@ def ordered_points(context: Column, at: Column, shown: Column, end: Column) -> l
     """The four times pushed into order: context <= at <= shown <= end."""
     shown2 = F.greatest(shown, at)
     return [F.least(context, at), at, shown2, F.greatest(end, shown2)]
+
+
+def moved_handle(handle: str, to: Column, context: Column, at: Column, shown: Column, end: Column) -> list[Column]:
+    """(context, at, shown, end) after one handle (``context``, ``at``, ``shown`` or ``end``) is dragged ``to`` a time: the pin ``at`` pushes its
+    neighbours along, the others stop at it or at each other, and what comes later never ends up earlier."""
+    if handle not in ("context", "at", "shown", "end"):
+        raise ValueError("handle is context, at, shown or end")
+    at2 = to if handle == "at" else at
+    context2 = {"context": F.least(to, at), "at": F.least(context, to)}.get(handle, context)
+    shown2 = F.greatest(to if handle == "shown" else shown, at2)
+    return [context2, at2, shown2, F.greatest(to if handle == "end" else end, shown2)]
