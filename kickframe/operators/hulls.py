@@ -18,11 +18,10 @@ from kickframe.functions.geometry import project, unit_vector
 SPREAD = 32
 
 
-def hull_of(points: np.ndarray) -> np.ndarray:
-    """The corners of the convex hull of (x, y) rows, counter-clockwise in axes with y up, from the least x, y on; no point between two others on a line."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
+def _corners(rows: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The hull of distinct points in order."""
+    if len(rows) < 3:
+        return rows
 
     def chain(rows: list[tuple[float, float]]) -> list[tuple[float, float]]:
         out: list[tuple[float, float]] = []
@@ -32,8 +31,12 @@ def hull_of(points: np.ndarray) -> np.ndarray:
             out.append(p)
         return out
 
-    rows = list(map(tuple, points.tolist()))
-    return np.array(chain(rows)[:-1] + chain(rows[::-1])[:-1])
+    return chain(rows)[:-1] + chain(rows[::-1])[:-1]
+
+
+def hull_of(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of (x, y) rows, counter-clockwise in axes with y up, from the least x, y on; no point between two others on a line."""
+    return np.array(_corners(list(map(tuple, np.unique(points, axis=0).tolist()))))
 
 
 def _partial(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,17 +51,19 @@ def _partial(rows: DataFrame, keys: list[str]) -> DataFrame:
             for k in range(len(keys)):
                 column = pc.dictionary_encode(batch.column(k), null_encoding="encode")
                 codes = np.unique(codes * (len(column.dictionary) + 1) + column.indices.to_numpy(), return_inverse=True)[1]
-            points = np.stack([batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
-            order = np.argsort(codes, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) > 0])
-            which, kept = [], []
-            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
-                hull = hull_of(points[order[a:b]])
+            x, y = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.lexsort((y, x, codes))
+            codes, x, y = codes[order], x[order], y[order]
+            fresh = np.r_[True, (codes[1:] != codes[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            order, codes, points = order[fresh], codes[fresh], list(zip(x[fresh].tolist(), y[fresh].tolist(), strict=True))
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist()
+            which, found = [], []
+            for a, b in zip(starts, [*starts[1:], len(points)], strict=True):
+                hull = _corners(points[a:b])
                 which += [order[a]] * len(hull)
-                kept.append(hull)
-            found = np.concatenate(kept)
+                found += hull
             owners = pa.array(which, pa.int64())
-            columns = [c.take(owners) for c in batch.columns[: len(keys)]] + [pa.array(found[:, 0]), pa.array(found[:, 1])]
+            columns = [c.take(owners) for c in batch.columns[: len(keys)]] + [pa.array(v, pa.float64()) for v in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return rows.mapInArrow(reduce, rows.schema)
@@ -81,8 +86,13 @@ def convex_hull(points: DataFrame, keys: list[str], x: str = "x", y: str = "y",
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hulls = [[{"x": px, "y": py} for px, py in hull_of(np.array([(p["x"], p["y"]) for p in h])).tolist()] for h in batch.column(len(keys)).to_pylist()]
-            columns = [*batch.columns[: len(keys)], pa.array(hulls, arrow.field("hull").type)]
+            lists = batch.column(len(keys))
+            x, y = (c.to_pylist() for c in lists.flatten().flatten())
+            ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+            hulls = [_corners(sorted(set(zip(x[a:b], y[a:b], strict=True)))) for a, b in zip([0, *ends], ends, strict=False)]
+            corners = pa.StructArray.from_arrays([pa.array([p[i] for h in hulls for p in h], pa.float64()) for i in (0, 1)], ["x", "y"])
+            offsets = pa.array(np.cumsum([0, *map(len, hulls)]), pa.int32())
+            columns = [*batch.columns[: len(keys)], pa.ListArray.from_arrays(offsets, corners)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return met.mapInArrow(close, schema)
