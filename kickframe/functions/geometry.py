@@ -13,6 +13,11 @@ def clamp(x: Column, low: float | Column, high: float | Column) -> Column:
     return F.least(F.greatest(x, as_col(low)), as_col(high))
 
 
+def clamp_around(x: Column, centre: Column, most: float) -> Column:
+    """``x`` kept within ``most`` of a centre."""
+    return clamp(x, centre - most, centre + most)
+
+
 def soft_step(now: Column, target: Column, most: float) -> Column:
     """Move towards the target by at most ``most``."""
     return now + clamp(target - now, -most, most)
@@ -122,6 +127,17 @@ def homography(x: Column, y: Column, h: list[float]) -> tuple[Column, Column]:
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 
+def iou_floored(a: Column, b: Column, least_area: float, more: float = 0.0) -> Column:
+    """Intersection over union of boxes whose areas count as ``least_area`` at least, with ``more`` added to the union; 0 without an intersection.
+
+    Trackers take boxes of one pixel at least (1.0), suppression adds 1e-9 to the union, votes do both with 1e-9.
+    """
+    both = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])) * F.greatest(F.lit(0.0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    area = lambda c: F.greatest(F.lit(float(least_area)), (c["x2"] - c["x1"]) * (c["y2"] - c["y1"]))
+    union = area(a) + area(b) - both + more
+    return F.when((both > 0) & (union > 0), both / union).otherwise(F.lit(0.0))
+
+
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of boxes (x1, y1, x2, y2), 0 when both are empty."""
     w = F.greatest(F.lit(0.0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]))

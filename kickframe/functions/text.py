@@ -45,6 +45,17 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(s / 60).cast("bigint"), (s % 60).cast("bigint"))
 
 
+def clock_rounded(seconds: Column) -> Column:
+    """m:ss to the nearest second, halves up, never below 0:00."""
+    s = F.greatest(F.lit(0), F.floor(seconds + 0.5))
+    return F.format_string("%d:%02d", F.floor(s / 60).cast("bigint"), (s % 60).cast("bigint"))
+
+
+def game_title(home: Column, away: Column) -> Column:
+    """``home vs. away``; null unless both have a name."""
+    return F.concat(blank_to_null(home), F.lit(" vs. "), blank_to_null(away))
+
+
 def size_to_duration(megabytes: Column, per_minute: float = 170.0) -> Column:
     """How long footage of a size lasts: ~Ns below a minute, else ~Nmin."""
     minutes = megabytes / per_minute

@@ -89,3 +89,41 @@ def best_of_grid(df: DataFrame, grid: DataFrame, key: list[str], score: Column,
     scored = df.crossJoin(F.broadcast(grid)).withColumn("score", score)
     w = Window.partitionBy(*key).orderBy(F.desc("score"), *tie)
     return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def warm_start(scans: DataFrame, key: list[str], yaw: str, ball: tuple[str, str], players: str, cluster_x: str, fov_deg: float, width: float, sure: float = 0.60, near: float = 0.4, least: int = 4) -> DataFrame:
+    """(key, start): where to look first, by scans of several directions.
+
+    The first direction (by ``yaw``) with a ball of confidence ``sure`` nearer to the middle than ``near`` of half the width
+    gives the angle of that ball; else, of the directions with ``least`` players and a cluster, the one with the
+    most players times the cluster's nearness to the middle gives the cluster's (ties: the greater angle); else 0.
+    ``ball`` are the columns of its place and confidence; nulls are not seen.
+    """
+    half = width / 2
+    angle = lambda x: F.col(yaw) + F.degrees(F.atan((x - half) / half * F.tan(F.radians(F.lit(fov_deg / 2)))))
+    x, conf, cluster = F.col(ball[0]), F.col(ball[1]), F.col(cluster_x)
+    seen = (conf >= sure) & (F.abs(x - half) / half < near)
+    score = F.col(players) * (1 - F.abs(cluster - half) / half)
+    crowd = (F.col(players) >= least) & cluster.isNotNull()
+    found = scans.groupBy(*key).agg(
+        F.min_by(F.when(seen, angle(x)), F.when(seen, F.col(yaw))).alias("__ball"),
+        F.max(F.when(crowd, F.struct(score.alias("score"), angle(cluster).alias("at")))).alias("__crowd"),
+    )
+    return found.select(*key, F.coalesce("__ball", "__crowd.at", F.lit(0.0)).alias("start"))
+
+
+def improved(tried: DataFrame, key: list[str], now: str, score: str, coverage: str, offset: str, choice: list[str], order: list[str], least_coverage: float = 0.18, most_offset: float = 0.22) -> DataFrame:
+    """(key, choice): the view of each key, moved only where it is called for.
+
+    ``tried`` has a row for the present view (``now`` true) and one for each other that was looked at. Where the present
+    one covers less than ``least_coverage`` or is off by more than ``most_offset``, the best other view is taken if its
+    score is greater, the first in ``order`` of equals; else the present one stays.
+    """
+    is_now, picked = F.col(now), F.struct(*choice)
+    first = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    best = tried.where(~is_now).groupBy(*key).agg(F.max(score).alias("__top"))
+    among = tried.where(~is_now).join(best, key).where(F.col(score) == F.col("__top")).groupBy(*key).agg(F.max("__top").alias("__top"), F.min_by(picked, first).alias("__other"))
+    present = tried.where(is_now).select(*key, picked.alias("__own"), F.col(score).alias("__score"), ((F.col(coverage) < least_coverage) | (F.col(offset) > most_offset)).alias("__poor"))
+    joined = present.join(among, key, "left")
+    chosen = F.when(F.col("__poor") & (F.col("__top") > F.col("__score")), F.col("__other")).otherwise(F.col("__own"))
+    return joined.select(*key, chosen.alias("__c")).select(*key, "__c.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kickframe.functions import geometry, shapes
+from kickframe.functions import geometry, shapes, text
 from kickframe.operators import cluster, homography, hulls, masks, pictures, relational, series, sliced
 from kickframe.plans.registry import query, table
 
@@ -241,3 +241,61 @@ def first_crossing(spark, sf_dir):
     positions = e.select("event_id", "user_id", (F.col("us") / 1e6 - F.when(F.col("event_id") % 3 == 0, 9000).otherwise(F.lit(0))).alias("t"))
     marks = e.where("event_type = 'click'").select(F.col("event_id").alias("mark_id"), "user_id", (F.col("us") / 1e6 - 100).alias("mark"))
     return series.first_crossings(positions, marks, ["user_id"], ["event_id"], "t", "mark", "mark_id", 40000.0, 40000.0).select("user_id", "mark_id", "passed_event_id")
+
+
+_SCANS = """(SELECT c_custkey, (k - 4) * 10 AS yaw, CASE WHEN (c_custkey + k) % 3 > 0 THEN c_custkey * 17 % 1280 + k * 0.5::DOUBLE END AS bx, (c_custkey * 7 + k * 13) % 64 / 64.0::DOUBLE AS conf, (c_custkey + k * 3) % 9 AS n, CASE WHEN (c_custkey + k) % 4 > 0 THEN (c_custkey * 31 + k * 97) % 1280 + 0.5::DOUBLE END AS cx FROM customer, range(9) t(k))"""
+_ANGLE = "yaw + degrees(atan(({x} - 640) / 640 * tan(radians(50.0))))"
+
+
+@query(f"""SELECT c_custkey, round(coalesce(arg_min({_ANGLE.format(x="bx")}, yaw) FILTER (conf >= 0.6 AND abs(bx - 640) / 640 < 0.4), arg_max({_ANGLE.format(x="cx")}, (n * (1 - abs(cx - 640) / 640), {_ANGLE.format(x="cx")})) FILTER (n >= 4 AND cx IS NOT NULL), 0), 6) + 0.0 AS start FROM {_SCANS} s GROUP BY c_custkey""")
+def warm_start_scan(spark, sf_dir):
+    """Nine directions a customer: a sure ball near the middle, else the best cluster, else straight ahead."""
+    c = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    k = F.col("k")
+    scans = rows.select(
+        "c_custkey",
+        ((k - 4) * 10).alias("yaw"),
+        F.when((c + k) % 3 > 0, c * 17 % 1280 + k * 0.5).alias("bx"),
+        ((c * 7 + k * 13) % 64 / 64.0).alias("conf"),
+        ((c + k * 3) % 9).alias("n"),
+        F.when((c + k) % 4 > 0, (c * 31 + k * 97) % 1280 + 0.5).alias("cx"),
+    )
+    found = relational.warm_start(scans, ["c_custkey"], "yaw", ("bx", "conf"), "n", "cx", 100.0, 1280.0)
+    return found.select("c_custkey", (F.round("start", 6) + F.lit(0.0)).alias("start"))
+
+
+@query("""WITH t AS (SELECT c_custkey, k, k % 7 - 3 AS dyaw, k // 7 - 2 AS dpitch, k = 17 AS now, (c_custkey * 13 + k * 29) % 128 / 128.0::DOUBLE AS cov, (c_custkey * 5 + k * 11) % 64 / 128.0::DOUBLE AS o FROM customer, range(35) t(k)),
+s AS (SELECT *, 0.45::DOUBLE * cov + 0.55::DOUBLE * (1 - o) AS score FROM t),
+b AS (SELECT c_custkey, score AS top, dyaw AS y, dpitch AS p FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, dyaw, dpitch) AS r FROM s WHERE NOT now) x WHERE r = 1)
+SELECT c_custkey, CASE WHEN (cov < 0.18 OR o > 0.22) AND top > score THEN y ELSE dyaw END AS dyaw, CASE WHEN (cov < 0.18 OR o > 0.22) AND top > score THEN p ELSE dpitch END AS dpitch FROM s JOIN b USING (c_custkey) WHERE now""")
+def guarded_grid_search(spark, sf_dir):
+    """The best of 35 views, but only where the present one shows too little or is off the middle."""
+    c, k = F.col("c_custkey"), F.col("k")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(34).cast("bigint"))).alias("k"))
+    cov, off = (c * 13 + k * 29) % 128 / 128.0, (c * 5 + k * 11) % 64 / 128.0
+    tried = rows.select("c_custkey", (k % 7 - 3).alias("dyaw"), (F.floor(k / 7) - 2).alias("dpitch"), (k == 17).alias("now"), cov.alias("cov"), off.alias("o"), (0.45 * cov + 0.55 * (1 - off)).alias("score"))
+    return relational.improved(tried, ["c_custkey"], "now", "score", "cov", "o", ["dyaw", "dpitch"], ["dyaw", "dpitch"])
+
+
+_BOX_SQL = "(SELECT l_orderkey, l_linenumber, CAST(l_partkey % 90 AS DOUBLE) AS ax, CAST(l_suppkey % 50 AS DOUBLE) AS ay, CAST(l_partkey % 90 + l_partkey % 7 * 0.25 AS DOUBLE) AS bx, CAST(l_suppkey % 50 + l_suppkey % 5 * 0.5 AS DOUBLE) AS b_y, l_partkey % 4 * 0.5::DOUBLE AS w, l_suppkey % 3 + 0.25::DOUBLE AS h FROM lineitem)"
+_FLOORED = "round(CASE WHEN i > 0 THEN i / (2 * greatest({least}, w * h) - i + {more}) ELSE 0 END, 8) + 0.0"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, {_FLOORED.format(least="1.0::DOUBLE", more="0")} AS one, {_FLOORED.format(least="0.0::DOUBLE", more="1e-9::DOUBLE")} AS none, {_FLOORED.format(least="1e-9::DOUBLE", more="1e-9::DOUBLE")} AS slight
+FROM (SELECT *, greatest(0, least(ax + w, bx + w) - greatest(ax, bx)) * greatest(0, least(ay + h, b_y + h) - greatest(ay, b_y)) AS i FROM {_BOX_SQL} b) c""")
+def iou_floors(spark, sf_dir):
+    """The overlap of small boxes by the three ways to count their areas."""
+    p, q = F.col("l_partkey"), F.col("l_suppkey")
+    w, h = p % 4 * 0.5, q % 3 + 0.25
+    box = lambda x, y: F.struct(x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + w).cast("double").alias("x2"), (y + h).cast("double").alias("y2"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", box(p % 90, q % 50).alias("a"), box(p % 90 + p % 7 * 0.25, q % 50 + q % 5 * 0.5).alias("b"))
+    ways = {"one": (1.0, 0.0), "none": (0.0, 1e-9), "slight": (1e-9, 1e-9)}
+    return rows.select("l_orderkey", "l_linenumber", *[(F.round(geometry.iou_floored(F.col("a"), F.col("b"), *v), 8) + F.lit(0.0)).alias(n) for n, v in ways.items()])
+
+
+@query("""SELECT l_orderkey, l_linenumber, least(greatest(l_partkey % 100, l_suppkey % 40 - 15), l_suppkey % 40 + 15)::DOUBLE AS held, (s // 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock FROM (
+SELECT *, CAST(greatest(0, floor(CAST(l_quantity AS DOUBLE) * 7.25 - 20 + 0.5)) AS BIGINT) AS s FROM lineitem) l""")
+def held_and_clock(spark, sf_dir):
+    held = geometry.clamp_around((F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 40).cast("double"), 15.0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", held.alias("held"), text.clock_rounded(F.col("l_quantity").cast("double") * 7.25 - 20).alias("clock"))

@@ -39,3 +39,9 @@ def normalised(polygon: Column, width: float, height: float) -> Column:
     """Points as shares of the frame with four decimals; null for fewer than three."""
     shares = F.transform(polygon, lambda p: F.struct(F.round(p["x"] / width, 4).alias("x"), F.round(p["y"] / height, 4).alias("y")))
     return F.when(F.size(polygon) >= 3, shares)
+
+
+def in_pixels(polygon: Column, width: float, height: float) -> Column:
+    """Shares of the frame as whole pixels; null for fewer than three points."""
+    points = F.transform(polygon, lambda p: F.struct(F.round(p["x"] * width).cast("int").alias("x"), F.round(p["y"] * height).cast("int").alias("y")))
+    return F.when(F.size(polygon) >= 3, points)
