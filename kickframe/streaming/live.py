@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -72,10 +72,19 @@ def smooth(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.1
     return control.ema(rows.select(key, order, value), [key], [order], value, alpha).select(key, order, "smooth")
 
 
+def remove_version(spark: SparkSession, path: str, number: int) -> None:
+    """Delete a version of a table that batches write, if it is there."""
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number}")
+    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if number >= 0 and store.exists(old):
+        store.delete(old, True)
+
+
 def keep_table(feed: DataFrame, path: str, key: str, kind: str, version: str, checkpoint: str) -> Any:
     """Start a query that keeps a table below ``path`` by a stream of INSERT and DELETE changes; each batch writes its next version.
 
-    A batch that is run again after a failure reads the version before it and writes the same one once more.
+    A batch that is run again after a failure reads the version before it and writes the same one once more; versions
+    before the last two are removed.
     """
     columns = [c for c in feed.columns if c not in (kind, version)]
 
@@ -84,6 +93,7 @@ def keep_table(feed: DataFrame, path: str, key: str, kind: str, version: str, ch
         schema = batch.select(columns).schema
         old = spark.read.schema(schema).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], schema)
         changes(old, batch, key, kind, version).write.mode("overwrite").parquet(f"{path}/{number}")
+        remove_version(spark, path, number - 2)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from kickframe.streaming.live import remove_version
+
 QUEUED, DEAD = "queued", "error"
 _FIELDS = "status string, tries int, error string, since bigint"
 
@@ -68,9 +70,6 @@ def run_queue(feed: DataFrame, path: str, checkpoint: str, key: str, stages: lis
         for k in range(rounds):
             now = step(now, batch if k == 0 else batch.limit(0), key, stages, final, tries, number)
         now.write.mode("overwrite").parquet(f"{path}/{number}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
-        store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if number > 1 and store.exists(old):
-            store.delete(old, True)
+        remove_version(spark, path, number - 2)
 
     return feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -60,10 +60,12 @@ def test_late_rows_are_dropped(feed, tmp_path):
 
 
 def test_a_table_is_kept_by_changes(spark, feed, tmp_path):
-    stream = feed("id int, name string, kind string, version int", [(1, "a", "INSERT", 1), (2, "b", "INSERT", 1), (3, "c", "INSERT", 1)], [(2, "b", "DELETE", 2), (4, "d", "INSERT", 2), (1, "other", "INSERT", 2)])
+    stream = feed("id int, name string, kind string, version int", [(1, "a", "INSERT", 1), (2, "b", "INSERT", 1), (3, "c", "INSERT", 1)], [(2, "b", "DELETE", 2), (4, "d", "INSERT", 2), (1, "other", "INSERT", 2)], [(5, "e", "INSERT", 3)])
     run = live.keep_table(stream, str(tmp_path / "table"), "id", "kind", "version", str(tmp_path / "state"))
     run.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table" / "1")).collect())) == [(1, "a"), (3, "c"), (4, "d")]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "table" / "2")).collect())) == [(1, "a"), (3, "c"), (4, "d"), (5, "e")]
+    assert not (tmp_path / "table" / "0").exists()
 
 
 def test_a_fold_is_the_same_on_a_stream_and_a_table(spark, feed, tmp_path):
