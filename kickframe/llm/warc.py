@@ -28,8 +28,8 @@ from kickframe.llm._common import arrow_schema, text_of
 LEAST_REVISIT = 100
 #: Records to an archive at most, and bytes after which it is closed, so that one fits in a task.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 2000, 16_000_000
-#: Bytes that are unpacked at once, and bytes of a record's headers at most.
-BLOCK, HEADERS = 1 << 16, 1 << 20
+#: Bytes that are unpacked at once.
+BLOCK = 1 << 16
 #: Parts into which the pages of one payload are dealt to learn what they refer to.
 SALTS = 32
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -129,7 +129,7 @@ def _plain(data: bytes, at: int) -> tuple[Record, int]:
     """The record at ``at`` and where the next begins."""
     if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + HEADERS)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("headers do not end")
     headers = {}
@@ -202,7 +202,8 @@ def salvage(data: bytes) -> Iterator[Record]:
     """All whole records of an archive in order, and the gaps between them.
 
     Records of a damaged gzip member are kept if their length, their end and, where one is stated, their
-    digest are right. Time is linear in the data but for members that are damaged again and again.
+    digest are right. Headers may be of any length.
+    Time is linear in the data but for members that are damaged again and again and version lines after which no headers end.
     """
     at, n = 0, len(data)
     while at < n:

@@ -128,3 +128,12 @@ def test_archives_are_closed_by_bytes(spark, tmp_path):
     warc.write(df, str(tmp_path / "b"), gzipped=False, archive_bytes=500_000)
     sizes = [f.stat().st_size for f in (tmp_path / "b").glob("part-*")]
     assert len(sizes) > 5 and max(sizes) < 700_000 and warc.read(spark, str(tmp_path / "b")).where("gap is null").count() == 40
+
+
+@pytest.mark.parametrize("gzipped", [True, False])
+def test_a_very_long_url_is_kept(spark, tmp_path, gzipped):
+    url = "http://a.example/" + "q" * 1_200_000
+    df = spark.createDataFrame([(1, url, "x" * 200), (2, "http://b.example/", "y" * 200)], "page_id bigint, url string, html string")
+    warc.write(df, str(tmp_path / "w"), gzipped=gzipped)
+    got = warc.read(spark, str(tmp_path / "w"))
+    assert {(r.gap, r.target_uri, bytes(r.payload)) for r in got.collect()} == {(None, url, b"x" * 200), (None, "http://b.example/", b"y" * 200)}
