@@ -120,10 +120,15 @@ def improved(tried: DataFrame, key: list[str], now: str, score: str, coverage: s
     score is greater, the first in ``order`` of equals; else the present one stays.
     """
     is_now, picked = F.col(now), F.struct(*choice)
-    first = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
-    best = tried.where(~is_now).groupBy(*key).agg(F.max(score).alias("__top"))
-    among = tried.where(~is_now).join(best, key).where(F.col(score) == F.col("__top")).groupBy(*key).agg(F.max("__top").alias("__top"), F.min_by(picked, first).alias("__other"))
-    present = tried.where(is_now).select(*key, picked.alias("__own"), F.col(score).alias("__score"), ((F.col(coverage) < least_coverage) | (F.col(offset) > most_offset)).alias("__poor"))
-    joined = present.join(among, key, "left")
-    chosen = F.when(F.col("__poor") & (F.col("__top") > F.col("__score")), F.col("__other")).otherwise(F.col("__own"))
-    return joined.select(*key, chosen.alias("__c")).select(*key, "__c.*")
+    # greatest score first, NaN above all as Spark and SQL have it, then the order
+    rank = F.struct(~F.isnan(score), -F.col(score), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    other = ~is_now & F.col(score).isNotNull()
+    poor = (F.col(coverage) < least_coverage) | (F.col(offset) > most_offset)
+    # one grouping without a join: a side's size, often made by explode, can't be told and would be broadcast
+    seen = tried.repartition(*key).groupBy(*key).agg(
+        F.max(F.when(is_now, F.struct(picked.alias("own"), F.col(score).alias("score"), poor.alias("poor")))).alias("__now"),
+        F.max(F.when(other, F.col(score))).alias("__top"),
+        F.min_by(F.when(other, picked), F.when(other, rank)).alias("__other"),
+    )
+    chosen = F.when(F.col("__now.poor") & (F.col("__top") > F.col("__now.score")), F.col("__other")).otherwise(F.col("__now.own"))
+    return seen.where("__now IS NOT NULL").select(*key, chosen.alias("__c")).select(*key, "__c.*")

@@ -272,7 +272,9 @@ SELECT c_custkey, CASE WHEN (cov < 0.18 OR o > 0.22) AND top > score THEN y ELSE
 def guarded_grid_search(spark, sf_dir):
     """The best of 35 views, but only where the present one shows too little or is off the middle."""
     c, k = F.col("c_custkey"), F.col("k")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(34).cast("bigint"))).alias("k"))
+    # a small file makes many rows, which one task would have to make
+    spread = table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    rows = spread.select("c_custkey", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(34).cast("bigint"))).alias("k"))
     cov, off = (c * 13 + k * 29) % 128 / 128.0, (c * 5 + k * 11) % 64 / 128.0
     tried = rows.select("c_custkey", (k % 7 - 3).alias("dyaw"), (F.floor(k / 7) - 2).alias("dpitch"), (k == 17).alias("now"), cov.alias("cov"), off.alias("o"), (0.45 * cov + 0.55 * (1 - off)).alias("score"))
     return relational.improved(tried, ["c_custkey"], "now", "score", "cov", "o", ["dyaw", "dpitch"], ["dyaw", "dpitch"])
