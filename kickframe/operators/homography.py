@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Points of a group from which samples are drawn, and samples.
-POOL, TRIALS = 48, 64
+#: Points of a group from which samples are drawn, samples drawn at once, and those tried on the whole group.
+POOL, TRIALS, FINALISTS = 48, 64, 16
+#: Samples are drawn until all were wrong with so small a probability (its logarithm), but no more than so many.
+LOG_MISSED, MOST = -30.0, 1 << 14
 _MATRIX = "h array<double>"
 #: Sums over the points that make the normal equations: products of (x, y, 1) with each of 1, u, v and u^2 + v^2.
 _PRODUCTS = [(i, j) for i in range(3) for j in range(i, 3)]
@@ -56,16 +60,49 @@ def solve_samples(source: np.ndarray, target: np.ndarray) -> np.ndarray:
     return h / h[:, 8:]
 
 
-def _samples(n: int, trials: int, seed: int) -> np.ndarray:
-    """Which four of ``n`` points each sample takes: all sets where there are no more of them than trials."""
-    if n * (n - 1) * (n - 2) * (n - 3) // 24 <= trials:
-        return np.array(list(combinations(range(n), 4)))
-    rng = np.random.default_rng(seed)
-    return np.stack([rng.choice(n, 4, replace=False) for _ in range(trials)])
+@lru_cache(maxsize=4096)
+def _samples(n: int, trials: int, seed: int, turn: int) -> np.ndarray:
+    """Which four of ``n`` points each sample of a turn takes."""
+    return np.random.default_rng((seed, turn)).random((trials, n)).argpartition(3, axis=1)[:, :4]
 
 
-def _hypotheses(pools: DataFrame, keys: list[str], trials: int, seed: int) -> DataFrame:
-    """(keys, hs): the matrices of each group's samples."""
+def _agreeing(h: np.ndarray, points: np.ndarray, pixels: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many points each matrix takes to within ``pixels`` of their targets, and the summed error of these."""
+    x, y, u, v = points.T
+    part = lambda i: h[:, i, None] * x + h[:, i + 1, None] * y + h[:, i + 2, None]
+    with np.errstate(all="ignore"):
+        w = part(6)
+        error = (part(0) / w - u) ** 2 + (part(3) / w - v) ** 2
+        near = (np.abs(w) >= 1e-12) & (error <= pixels * pixels)
+    return near.sum(axis=1), np.where(near, error, 0.0).sum(axis=1)
+
+
+def _promising(points: np.ndarray, trials: int, pixels: float, seed: int) -> np.ndarray:
+    """The matrices of samples on which most points of a pool agree, best first.
+
+    Samples are drawn in turns of ``trials`` until one without a wrong point is all but certain, going by the share of
+    the pool that agrees with the best so far: a pool with many wrong points gets more. Of few points all sets are taken.
+    """
+    n = len(points)
+    sets = n * (n - 1) * (n - 2) * (n - 3) // 24
+    best, drawn, turn = (np.zeros((0, 9)), np.zeros(0), np.zeros(0)), 0, 0
+    while drawn < min(sets, MOST):
+        picked = np.array(list(combinations(range(n), 4))) if sets <= trials else _samples(n, trials, seed, turn)
+        h = solve_samples(points[picked][..., :2], points[picked][..., 2:])
+        h = h[np.isfinite(h).all(axis=1)]
+        drawn, turn = drawn + len(picked), turn + 1
+        if len(h):
+            both = [np.concatenate(c) for c in zip(best, (h, *_agreeing(h, points, pixels)), strict=True)]
+            order = np.lexsort((both[2], -both[1]))[:FINALISTS]
+            best = tuple(c[order] for c in both)
+            right = min(1.0, (max(best[1][0], 4) / n) ** 4)
+            if right == 1.0 or drawn * log1p(-right) <= LOG_MISSED:
+                break
+    return best[0]
+
+
+def _hypotheses(pools: DataFrame, keys: list[str], trials: int, pixels: float, seed: int) -> DataFrame:
+    """(keys, hs): the most promising matrices of each group's samples."""
     schema = StructType([*[pools.schema[k] for k in keys], *StructType.fromDDL("hs array<array<double>>").fields])
     arrow = to_arrow_schema(schema)
 
@@ -74,8 +111,7 @@ def _hypotheses(pools: DataFrame, keys: list[str], trials: int, seed: int) -> Da
             made = []
             for pool in batch.column(len(keys)).to_pylist():
                 points = np.array([(p["x"], p["y"], p["u"], p["v"]) for p in pool])
-                drawn = points[_samples(len(points), trials, seed)] if len(points) > 3 else np.zeros((0, 4, 4))
-                made.append(solve_samples(drawn[..., :2], drawn[..., 2:]).tolist() if len(drawn) else [])
+                made.append(_promising(points, trials, pixels, seed).tolist() if len(points) > 3 else [])
             columns = [c.cast(f.type) for c, f in zip(batch.columns[: len(keys)], arrow, strict=False)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(made, arrow.field("hs").type)], schema=arrow)
 
@@ -120,9 +156,10 @@ def _refit(sums: DataFrame, keys: list[str]) -> DataFrame:
 def fit(points: DataFrame, keys: list[str], id_col: str, source: tuple[str, str] = ("x", "y"), target: tuple[str, str] = ("u", "v"), pixels: float = 5.0, trials: int = TRIALS, pool: int = POOL, seed: int = 7) -> DataFrame:
     """(keys, n, inliers, h): per group the homography from ``source`` to ``target`` on which most points agree.
 
-    Samples of four are drawn from the ``pool`` points of least seeded hash; the matrix of each is tried on
-    *all* points of the group, and the one that takes most of them to within ``pixels`` wins (ties: the least
-    summed error, then the first sample). ``h`` is the least-squares fit to these points, nine numbers in rows
+    Samples of four are drawn from the ``pool`` points of least seeded hash, ``trials`` at a time, until one without
+    a wrong point is all but certain (or MOST were drawn); the FINALISTS matrices that most of the pool agrees with are
+    tried on *all* points of the group, and the one that takes most of them to within ``pixels`` wins (ties: the least
+    summed error, then the better in the pool). ``h`` is the least-squares fit to these points, nine numbers in rows
     with the last 1. Trying and fitting are sums that Spark adds up before its shuffles, so a group may be of
     any size. Points with a null coordinate do not count; fewer than four points, or points on a line, give a
     null ``h`` and no inliers. Rows whose key is null belong to no group.
@@ -136,7 +173,7 @@ def fit(points: DataFrame, keys: list[str], id_col: str, source: tuple[str, str]
     drawn = F.xxhash64(F.lit(seed), "__id")
     ranked = whole.withColumn("__h", drawn).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__h", "x", "y", "u", "v"))).where(F.col("__r") <= pool)
     pools = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__r", "x", "y", "u", "v"))).alias("pool"))
-    hypotheses = _hypotheses(pools, keys, trials, seed)
+    hypotheses = _hypotheses(pools, keys, trials, pixels, seed)
     tried = whole.join(hypotheses, keys).select(*keys, "x", "y", "u", "v", F.posexplode("hs").alias("trial", "h"))
     error = off_by(F.col("h"), *[F.col(c) for c in "xyuv"])
     near = error <= pixels * pixels
