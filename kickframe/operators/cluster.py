@@ -18,15 +18,21 @@ def dbscan_pairs(df: DataFrame, key: list[str], x: str, order: list[str], eps: f
 def dbscan_line(df: DataFrame, key: list[str], x: str, order: list[str], eps: float, least: int) -> DataFrame:
     """Density clusters on a line: points with ``least`` within ``eps``, themselves included, are cores; cores without
     a gap above ``eps`` are a cluster, other points join the cluster of the nearest core within ``eps``, the lower of equals."""
-    w = Window.partitionBy(*key).orderBy(x, *order)
-    near = f"count(*) OVER (PARTITION BY {', '.join(f'`{k}`' for k in key)} ORDER BY `{x}` RANGE BETWEEN {float(eps)}D PRECEDING AND {float(eps)}D FOLLOWING)"
-    cored = df.withColumn("__core", F.expr(near) >= least)
+    group = Window.partitionBy(*key)
+    w, back = group.orderBy(x, *order), group.orderBy(F.desc(x), *[F.desc(o) for o in order])
+    # a core has ``least`` neighbours in order that hold it and lie within eps; frames by range or to the end cost the square of a group
+    held = [(F.lag(x, i).over(w) if i else F.col(x), F.lead(x, least - 1 - i).over(w) if i < least - 1 else F.col(x)) for i in range(least)]
+    core = F.lit(least < 1)
+    for low, high in held:
+        core = core | ((low >= F.col(x) - eps) & (high <= F.col(x) + eps))
+    cored = df.withColumn("__core", F.coalesce(core, F.lit(False)) & F.col(x).isNotNull())
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     cored = cored.withColumn("__before", F.last(F.when(F.col("__core"), F.col(x)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     start = F.col("__core") & (F.col("__before").isNull() | (F.col(x) - F.col("__before") > eps))
     cored = cored.withColumn("__c", F.sum(start.cast("bigint")).over(so_far))
-    lower = F.last(F.when(F.col("__core"), F.struct(F.col(x).alias("x"), F.col("__c").alias("c"))), ignorenulls=True).over(so_far)
-    upper = F.first(F.when(F.col("__core"), F.struct(F.col(x).alias("x"), F.col("__c").alias("c"))), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    own = F.when(F.col("__core"), F.struct(F.col(x).alias("x"), F.col("__c").alias("c")))
+    lower = F.last(own, ignorenulls=True).over(so_far)
+    upper = F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     placed = cored.withColumns({"__lo": lower, "__hi": upper})
     dl, dh = F.col(x) - F.col("__lo.x"), F.col("__hi.x") - F.col(x)
     far = F.lit(float("inf"))

@@ -1,6 +1,10 @@
 """Queries whose work has to grow no faster than their tables."""
 
-from kickframe.operators import relational
+import random
+
+import pytest
+
+from kickframe.operators import cluster, relational
 
 
 def plan_of(df):
@@ -20,3 +24,30 @@ def test_improved_needs_no_join_and_keeps_the_first_of_equals(spark):
     found = relational.improved(tried, ["k"], "now", "score", "cov", "off", ["view"], ["view"])
     assert {r["k"]: r["view"] for r in found.collect()} == {"equal": 1, "fine": 0, "alone": 7, "blind": 0, "nan": 2}
     assert "Join" not in plan_of(found)
+
+
+def plain_line(points, eps, least):
+    """Clusters of (x, id) by the definition."""
+    points = sorted(points)
+    cores = [p for p in points if sum(abs(p[0] - q[0]) <= eps for q in points) >= least]
+    number, last = {}, None
+    for x, i in cores:
+        number[x, i] = (number[last] + (x - last[0] > eps)) if last else 0
+        last = (x, i)
+    near = {i: min(((abs(x - c[0]), c[0], number[c]) for c in cores), default=(eps + 1, 0, -1)) for x, i in points}
+    return {i: n if d <= eps else -1 for i, (d, _, n) in near.items()}
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_line_clusters_by_frames_that_only_grow(spark, least):
+    rnd = random.Random(least)
+    rows = [(k, 100 * k + i, float(rnd.randrange(60 * (k + 1)))) for k in range(6) for i in range(40)]
+    nulls = [(k, 10000 + 10 * k + i, None) for k in range(6) for i in range(5)]
+    placed = cluster.dbscan_line(spark.createDataFrame(rows + nulls, "k int, id int, x double"), ["k"], "x", ["id"], 3.0, least)
+    want = {n[1]: -1 for n in nulls}
+    for k in range(6):
+        want |= plain_line([(x, i) for g, i, x in rows if g == k], 3.0, least)
+    assert {r["id"]: r["cluster"] for r in placed.collect()} == want
+    # frames by range, and those to the end of a group, are gone through again for each row
+    plan = plan_of(placed).lower()
+    assert "rangeframe" not in plan.replace(" ", "") and "unboundedfollowing" not in plan
