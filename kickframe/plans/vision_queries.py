@@ -138,16 +138,18 @@ def _bright_boxes():
 @query("SELECT s_suppkey, k, CAST((k - 1) * 32 + s_suppkey * 7 % 27 AS INTEGER) AS x1, CAST((s_suppkey * 5 + k * 11) % 51 AS INTEGER) AS y1, CAST((k - 1) * 32 + s_suppkey * 7 % 27 + 5 AS INTEGER) AS x2, CAST((s_suppkey * 5 + k * 11) % 51 + 3 AS INTEGER) AS y2 FROM supplier, range(1, 4) t(k)")
 def sliced_boxes(spark, sf_dir):
     """What a stand-in model finds in tiles of pictures with three things each is what is there."""
-    s, place = F.col("s_suppkey"), F.sequence(F.lit(0), F.lit(96 * 54 - 1))
-
-    def value(i):
-        x, y = i % 96, F.floor(i / 96)
-        k = F.floor(x / 32) + 1
-        left, top = (k - 1) * 32 + s * 7 % 27, (s * 5 + k * 11) % 51
-        return F.when((x >= left) & (x < left + 5) & (y >= top) & (y < top + 3), k * 60).otherwise(F.lit(0))
-
-    hexed = F.array_join(F.transform(place, lambda i: F.lpad(F.hex(value(i)), 2, "0")), "")
-    frames = table(spark, sf_dir, "supplier").select("s_suppkey", F.unhex(hexed).alias("pixels"), F.lit(96).alias("w"), F.lit(54).alias("h"))
+    s = F.col("s_suppkey")
+
+    def part(k, y):
+        """A line's pixels from 32 * (k - 1) on, two hex digits each."""
+        left, top = (s * 7 % 27).cast("int"), (s * 5 + k * 11) % 51
+        row = F.concat(F.repeat(F.lit("00"), left), F.lit(f"{k * 60:02X}" * 5), F.repeat(F.lit("00"), F.lit(27) - left))
+        return F.when((y >= top) & (y < top + 3), row).otherwise(F.lit("00" * 32))
+
+    hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(53)), lambda y: F.concat(*[part(k, y) for k in (1, 2, 3)])), "")
+    # a small file makes large pictures, which one task would have to make and to cut
+    spread = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism)
+    frames = spread.select("s_suppkey", F.unhex(hexed).alias("pixels"), F.lit(96).alias("w"), F.lit(54).alias("h"))
     found = sliced.sliced(frames, ["s_suppkey"], "pixels", "w", "h", _bright_boxes, (40, 40), channels=1, least_tile=16)
     return found.select("s_suppkey", F.round(F.col("conf") * 255 / 60).cast("bigint").alias("k"), *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
 

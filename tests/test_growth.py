@@ -5,6 +5,9 @@ import random
 import pytest
 
 from kickframe.operators import cluster, relational
+from kickframe.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan_of(df):
@@ -51,3 +54,8 @@ def test_line_clusters_by_frames_that_only_grow(spark, least):
     # frames by range, and those to the end of a group, are gone through again for each row
     plan = plan_of(placed).lower()
     assert "rangeframe" not in plan.replace(" ", "") and "unboundedfollowing" not in plan
+
+
+def test_pictures_of_a_small_file_are_made_by_all_tasks_a_line_at_a_time(spark):
+    plan = plan_of(catalog.QUERIES["sliced_boxes"](spark, SF))
+    assert "Repartition" in plan and "5183" not in plan
