@@ -105,7 +105,8 @@ def warm_start(scans: DataFrame, key: list[str], yaw: str, ball: tuple[str, str]
     seen = (conf >= sure) & (F.abs(x - half) / half < near)
     score = F.col(players) * (1 - F.abs(cluster - half) / half)
     crowd = (F.col(players) >= least) & cluster.isNotNull()
-    found = scans.groupBy(*key).agg(
+    # structs are grouped by sorting: in shuffle partitions of bounded size, not where a small file was exploded
+    found = scans.repartition(*key).groupBy(*key).agg(
         F.min_by(F.when(seen, angle(x)), F.when(seen, F.col(yaw))).alias("__ball"),
         F.max(F.when(crowd, F.struct(score.alias("score"), angle(cluster).alias("at")))).alias("__crowd"),
     )

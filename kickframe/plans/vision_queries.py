@@ -253,7 +253,8 @@ _ANGLE = "yaw + degrees(atan(({x} - 640) / 640 * tan(radians(50.0))))"
 def warm_start_scan(spark, sf_dir):
     """Nine directions a customer: a sure ball near the middle, else the best cluster, else straight ahead."""
     c = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
+    spread = table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism)
+    rows = spread.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
     k = F.col("k")
     scans = rows.select(
         "c_custkey",

@@ -1,5 +1,6 @@
 """Queries whose work has to grow no faster than their tables."""
 
+import math
 import random
 
 import pytest
@@ -59,3 +60,11 @@ def test_line_clusters_by_frames_that_only_grow(spark, least):
 def test_pictures_of_a_small_file_are_made_by_all_tasks_a_line_at_a_time(spark):
     plan = plan_of(catalog.QUERIES["sliced_boxes"](spark, SF))
     assert "Repartition" in plan and "5183" not in plan
+
+
+def test_scans_are_dealt_by_key_before_they_are_sorted_for_grouping(spark):
+    scans = spark.createDataFrame([(1, 0, 700.0, 0.9, 4, 640.0), (1, 10, 640.0, 0.9, 5, None), (2, 20, None, 0.9, 4, 640.0)], "k int, yaw int, bx double, conf double, n int, cx double")
+    found = relational.warm_start(scans, ["k"], "yaw", ("bx", "conf"), "n", "cx", 100.0, 1280.0)
+    got = {r["k"]: round(r["start"], 3) for r in found.collect()}
+    assert got == {1: round(math.degrees(math.atan(60 / 640 * math.tan(math.radians(50)))), 3), 2: 20.0}
+    assert "RepartitionByExpression" in plan_of(found)
