@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,34 @@ def foot_at_bottom(area: Column, cy: Column, width: float, height: float) -> Col
 
 
 def pairs_iou(df: DataFrame, frame: str, box: str, id_col: str) -> DataFrame:
-    """(frame, a, b, iou) of the pairs of a frame that overlap, a < b; frames are small, the join is by frame."""
-    left = df.select(frame, F.col(id_col).alias("a"), F.col(box).alias("ba"))
-    right = df.select(frame, F.col(id_col).alias("b"), F.col(box).alias("bb"))
-    joined = left.join(right, frame).where("a < b").withColumn("iou", iou(F.col("ba"), F.col("bb")))
-    return joined.where("iou > 0").select(frame, "a", "b", "iou")
+    """(frame, a, b, iou) of the pairs of a frame that overlap, a < b.
+
+    A frame's boxes are gathered once and each meets those after it; memory goes by the boxes of a frame, not by its pairs.
+    """
+    listed = F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(box).alias("b"))))
+    whole = [F.col(box)[c].isNotNull() for c in ("x1", "y1", "x2", "y2")]
+    by = df.where(reduce(Column.__and__, whole, F.col(frame).isNotNull() & F.col(id_col).isNotNull())).groupBy(frame).agg(listed.alias("__all"))
+    first = by.select(frame, "__all", F.posexplode("__all").alias("__at", "__a"))
+    both = first.select(frame, "__a", F.explode(F.slice("__all", F.col("__at") + 2, F.size("__all"))).alias("__b"))
+    p, q = F.col("__a.b"), F.col("__b.b")
+    pairs = both.where(_meet(p, q) & (F.col("__a.id") < F.col("__b.id")))
+    return pairs.select(frame, F.col("__a.id").alias("a"), F.col("__b.id").alias("b"), _iou_met(p, q).alias("iou"))
+
+
+def _shared(a: Column, b: Column, axis: str) -> Column:
+    return F.least(a[f"{axis}2"], b[f"{axis}2"]) - F.greatest(a[f"{axis}1"], b[f"{axis}1"])
+
+
+def _meet(a: Column, b: Column) -> Column:
+    w, h = _shared(a, b, "x"), _shared(a, b, "y")
+    return (w > 0) & (h > 0) & (w * h > 0)
+
+
+def _iou_met(a: Column, b: Column) -> Column:
+    """``iou`` of boxes that meet: a few operations, where the general one is too long a method to be compiled."""
+    area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
+    both = _shared(a, b, "x") * _shared(a, b, "y")
+    return both / (area(a) + area(b) - both)
 
 
 def _close(a: Column, b: Column, share: float) -> Column:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from kickframe.operators import cluster, relational
+from kickframe.operators import boxes, cluster, relational
 from kickframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,12 @@ def test_scans_are_dealt_by_key_before_they_are_sorted_for_grouping(spark):
     got = {r["k"]: round(r["start"], 3) for r in found.collect()}
     assert got == {1: round(math.degrees(math.atan(60 / 640 * math.tan(math.radians(50)))), 3), 2: 20.0}
     assert "RepartitionByExpression" in plan_of(found)
+
+
+def test_pairs_of_a_frame_need_no_join(spark):
+    box = "struct<x1:double,y1:double,x2:double,y2:double,conf:double,id:bigint>"
+    places = [(1, 0, 0, 2, 2), (1, 1, 0, 3, 2), (1, 5, 5, 6, 6), (1, 2, 0, 2, 9), (None, 0, 0, 2, 2), (None, 0, 0, 2, 2), (1, 2, 0, 4, 2)]
+    rows = [(f, i, (float(a), float(b), float(c), float(d), 0.5, i)) for i, (f, a, b, c, d) in enumerate(places)]
+    found = boxes.pairs_iou(spark.createDataFrame(rows, f"f int, id long, box {box}"), "f", "box", "id")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 1, 2 / 6), (1, 1, 6, 2 / 6)]
+    assert "Join" not in plan_of(found)
