@@ -18,7 +18,10 @@ class _Lists(dict):
         self.batch = batch
 
     def __missing__(self, name: str) -> list:
-        self[name] = made = self.batch.column(self.batch.schema.get_field_index(name)).to_pylist()
+        column = self.batch.column(self.batch.schema.get_field_index(name))
+        plain = not column.null_count and (pa.types.is_integer(column.type) or pa.types.is_float64(column.type))
+        # the same numbers, without an object of Arrow for each
+        self[name] = made = column.to_numpy().tolist() if plain else column.to_pylist()
         return made
 
 
@@ -34,13 +37,28 @@ class _Row:
         return self.lists[name][self.at]
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[..., tuple], out_ddl: str) -> DataFrame:
+def _runs(lists: _Lists, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, end) of the places of a batch with one key."""
+    start, last = 0, None
+    for at, own in enumerate(zip(*(lists[k] for k in keys), strict=True)):
+        if at and own != last:
+            yield last, start, at
+            start = at
+        last = own
+    yield last, start, at + 1
+
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[], Any], step: Callable[..., tuple], out_ddl: str, steps: Callable[..., list[tuple]] | None = None) -> DataFrame:
     """``df`` with the columns of ``out_ddl``, made row by row in ``order`` within ``keys``.
 
     ``step(state, row)`` gets the mutable state that ``init`` made for the key and the row, whose columns it
     reads by name, and returns the new columns' values; a row is valid for that step only. Rows are hashed by key, sorted in their partition by Spark (spilling
     as needed) and streamed: only one state is held, however many rows a key has. Of a stream the states are
     kept from batch to batch.
+
+    ``steps(state, lists, start, end)``, if given, takes the rows of a key that a batch holds at once: it gets the columns'
+    lists and the range of places in them, and returns what ``step`` would for each place. Where a batch ends must not
+    matter; a stream goes by ``step``.
     """
     if df.isStreaming:
         from kickframe.streaming.live import fold
@@ -58,10 +76,16 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callabl
                 continue
             lists = _Lists(batch)
             row, made = _Row(lists), []
-            for row.at, own in enumerate(zip(*(lists[k] for k in keys), strict=True)):
-                if not started or own != key:
-                    key, state, started = own, init(), True
-                made.append(step(state, row))
+            if steps is not None:
+                for own, start, end in _runs(lists, keys):
+                    if not started or own != key:
+                        key, state, started = own, init(), True
+                    made += steps(state, lists, start, end)
+            else:
+                for row.at, own in enumerate(zip(*(lists[k] for k in keys), strict=True)):
+                    if not started or own != key:
+                        key, state, started = own, init(), True
+                    made.append(step(state, row))
             added = [pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), list(arrow)[len(names) :], strict=True)]
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) if c.type != f.type else c for c, f in zip(batch.columns, arrow, strict=False)], *added], schema=arrow)
 

@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
+from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from kickframe.operators.folds import ordered_fold
 
 
 def _iou(a: tuple, b: tuple) -> float:
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    both = w * h
-    union = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - both
+    a1, b1, a2, b2 = a
+    x1, y1, x2, y2 = b
+    # conditions, for calls of min and max take most of the time
+    w, h = (x2 if x2 < a2 else a2) - (x1 if x1 > a1 else a1), (y2 if y2 < b2 else b2) - (y1 if y1 > b1 else b1)
+    both = (w if w > 0 else 0.0) * (h if h > 0 else 0.0)
+    w, h, v, u = a2 - a1, b2 - b1, x2 - x1, y2 - y1
+    union = (w if w > 0 else 0.0) * (h if h > 0 else 0.0) + (v if v > 0 else 0.0) * (u if u > 0 else 0.0) - both
     return both / union if union > 0 else 0.0
 
 
+#: Boxes of a clip that are held against its tracks, and each other, at once; and the most pairs of such.
+RUN, PAIRS = 256, 1 << 20
+#: Numbers beyond it are not exact as doubles.
+_EXACT = 2.0**52
+
+
+def _may_overlap(a: list[tuple], b: list[tuple], least: float) -> np.ndarray:
+    """For each box of ``a`` those of ``b`` that may overlap it by ``least``; leaves out only what certainly does not, so
+    nulls, NaN and numbers that are no exact doubles are left to the caller."""
+    p, q = (np.array(boxes, float).reshape(-1, 4).T for boxes in (a, b))
+    p, q = (np.where(np.abs(x) > _EXACT, np.nan, x) for x in (p[:, :, None], q))
+    share = (1 - 1e-6) * least
+    area = lambda c: np.maximum(c[2] - c[0], 0.0) * np.maximum(c[3] - c[1], 0.0) * share
+    both = np.minimum(p[2], q[2])
+    both -= np.maximum(p[0], q[0])
+    np.maximum(both, 0.0, out=both)
+    high = np.minimum(p[3], q[3])
+    high -= np.maximum(p[1], q[1])
+    both *= np.maximum(high, 0.0, out=high)
+    both *= 1 + share
+    return ~(both < np.add(area(p), area(q), out=high))
+
+
 class _Tracks:
     def __init__(self) -> None:
         self.frame, self.next, self.tracks = None, 1, {}
@@ -32,15 +61,17 @@ def track(df: DataFrame, clip: list[str], frame: str, order: list[str], box: tup
 
     names = list(box)
 
-    def step(s: _Tracks, row: dict) -> tuple:
-        if row[frame] != s.frame:
-            s.frame = row[frame]
-            s.tracks = {k: t for k, t in s.tracks.items() if s.frame - t["seen"] <= forget + 1}
+    def begin(s: _Tracks, now: Any) -> None:
+        if now != s.frame:
+            s.frame = now
+            s.tracks = {k: t for k, t in s.tracks.items() if now - t["seen"] <= forget + 1}
             for t in s.tracks.values():
                 t["used"] = False
-        b = x1, y1, x2, y2 = tuple(map(row.__getitem__, names))
+
+    def take(s: _Tracks, near: Iterable[tuple[int, dict]], b: tuple, voted: str | None) -> tuple[int, str | None]:
+        x1, y1, x2, y2 = b
         best, score = None, least_iou
-        for k, t in s.tracks.items():
+        for k, t in near:
             # most boxes are apart, which two comparisons show
             o = t["box"]
             if o[0] >= x2 or o[2] <= x1 or o[1] >= y2 or o[3] <= y1 or t["used"]:
@@ -54,13 +85,38 @@ def track(df: DataFrame, clip: list[str], frame: str, order: list[str], box: tup
             s.tracks[best]["used"] = True
         t = s.tracks[best]
         t["box"], t["seen"] = b, s.frame
-        if vote is not None and row[vote] is not None:
-            t["votes"].append(row[vote])
-        label = None
-        if t["votes"]:
-            top = max(dict.fromkeys(t["votes"]), key=t["votes"].count)
+        if voted is not None:
+            t["votes"].append(voted)
+        if voted is not None or "label" not in t:
+            top = max(dict.fromkeys(t["votes"]), key=t["votes"].count, default=None)
             n = t["votes"].count(top)
-            label = top if n >= min_votes and n / len(t["votes"]) >= ratio else None
-        return best, label
+            t["label"] = top if n and n >= min_votes and n / len(t["votes"]) >= ratio else None
+        return best, t["label"]
+
+    def step(s: _Tracks, row: dict) -> tuple:
+        begin(s, row[frame])
+        return take(s, s.tracks.items(), tuple(map(row.__getitem__, names)), None if vote is None else row[vote])
+
+    def steps(s: _Tracks, lists: dict, start: int, end: int) -> list[tuple]:
+        made: list[tuple] = []
+        while start < end:
+            first, start = start, min(end, start + max(1, min(RUN, PAIRS // (len(s.tracks) + RUN))))
+            own = list(zip(*(lists[c][first:start] for c in names), strict=True))
+            # a track's box is that of a row, so all rows are held at once against the tracks there are and the rows before them
+            boxes = [*(t["box"] for t in s.tracks.values()), *own]
+            row, other = np.nonzero(np.tril(_may_overlap(own, boxes, least_iou), len(s.tracks) - 1))
+            ends, other = np.searchsorted(row, np.arange(1, len(own) + 1)).tolist(), other.tolist()
+            # the track whose box each is, and where a track's box stands
+            owner, stands, x = [*s.tracks, *[0] * len(own)], {k: j for j, k in enumerate(s.tracks)}, 0
+            voted = lists[vote][first:start] if vote is not None else [None] * len(own)
+            for i, (now, b, v, y) in enumerate(zip(lists[frame][first:start], own, voted, ends, strict=True), len(stands)):
+                begin(s, now)
+                near = sorted({owner[j] for j in other[x:y]})
+                made.append(take(s, [(k, s.tracks[k]) for k in near if k in s.tracks], b, v))
+                k, x = made[-1][0], y
+                if k in stands:
+                    owner[stands[k]] = 0
+                owner[i], stands[k] = k, i
+        return made
 
-    return ordered_fold(df, clip, [frame, *order], _Tracks, step, "track_id int, label string")
+    return ordered_fold(df, clip, [frame, *order], _Tracks, step, "track_id int, label string", steps)

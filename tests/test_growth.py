@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from kickframe.operators import boxes, cluster, relational
+from kickframe.operators import boxes, cluster, relational, tracking
 from kickframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,30 @@ def test_pairs_of_a_frame_need_no_join(spark):
     found = boxes.pairs_iou(spark.createDataFrame(rows, f"f int, id long, box {box}"), "f", "box", "id")
     assert sorted(map(tuple, found.collect())) == [(1, 0, 1, 2 / 6), (1, 1, 6, 2 / 6)]
     assert "Join" not in plan_of(found)
+
+
+@pytest.mark.parametrize(("forget", "reuse_new"), [(10, True), (1, False)])
+def test_boxes_of_a_clip_meet_the_tracks_at_once(monkeypatch, forget, reuse_new):
+    held, calls, iou = {}, [], tracking._iou
+    monkeypatch.setattr(tracking, "ordered_fold", lambda df, keys, order, init, step, ddl, steps: held.update(init=init, step=step, steps=steps))
+    monkeypatch.setattr(tracking, "_iou", lambda a, b: calls.append(1) or iou(a, b))
+    tracking.track(None, ["k"], "t", ["i"], vote="v", forget=forget, reuse_new=reuse_new, min_votes=2)
+    rnd, odd = random.Random(forget), [float("nan"), float("inf"), -float("inf"), 1e300, 2**60, 2**60 + 30]
+    for strange in (0.0, 0.2):
+        rows = []
+        for i in range(900):
+            x, y = rnd.randrange(300), rnd.randrange(200)
+            box = [float(x), float(y), float(x + rnd.randrange(0, 200)), float(y + rnd.randrange(0, 300))]
+            if rnd.random() < strange:
+                box[rnd.randrange(4)] = rnd.choice(odd)
+            rows.append({"t": i // 60, "v": rnd.choice([None, "a", "b"])} | dict(zip(("x1", "y1", "x2", "y2"), box, strict=True)))
+        state, one = held["init"](), held["init"]()
+        want = [held["step"](one, r) for r in rows]
+        by_row, lists, got, at = len(calls), {c: [r[c] for r in rows] for c in rows[0]}, [], 0
+        calls.clear()
+        while at < len(rows):
+            end = min(len(rows), at + rnd.randrange(1, 500))
+            got, at = got + held["steps"](state, lists, at, end), end
+        assert got == want
+        assert strange or len(calls) * 4 < by_row
+        calls.clear()
