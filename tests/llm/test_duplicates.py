@@ -258,6 +258,20 @@ def test_passages_are_those_of_every_run():
                     assert set((np.flatnonzero(a[i : j + 1] == b[i : j + 1]) + i).tolist()) <= covered
 
 
+def test_stretches_without_a_passage_are_turned_down_by_one_ranking_of_each_side(monkeypatch):
+    """Crowded groups hold mostly such pairs: enough shingles in common, too few of them together."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(0, 1 << 62, 240).astype(np.uint64) for _ in range(2))
+    b[::4] = a[::4]
+    called = []
+    for name in ("unique", "isin"):
+        monkeypatch.setattr(np, name, lambda *x, f=getattr(np, name), **y: called.append(f) or f(*x, **y))
+    assert list(passage_dedup._passages(a, b, 46, 80)) == []
+    assert not called
+
+
 def plain_similar(a, b):
     one, two = set(a.tolist()), set(b.tolist())
     return 100 * len(one & two) >= 80 * len(one | two)
