@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -46,6 +46,32 @@ def _may_overlap(a: list[tuple], b: list[tuple], least: float) -> np.ndarray:
     return ~(both < np.add(area(p), area(q), out=high))
 
 
+def _overlaps(a: list[tuple], b: list[tuple], least: float, before: int) -> tuple[list[int], list[int], list[float]]:
+    """Where the partners of each box of ``a`` end, the partners (places in ``b``, from ``before`` on only of boxes before it), and
+    what both overlap by: leaves out what overlaps by less than ``least``; NaN is left to the caller."""
+    if {*map(type, chain.from_iterable(a))} == {float}:
+        p, q = (np.array(boxes, float).reshape(-1, 4).T for boxes in (a, b))
+        p = p[:, :, None]
+        with np.errstate(all="ignore"):
+            # the operations of _iou in their order, so the same doubles; where NaN would go another way, all is NaN
+            size = [np.maximum(c[2] - c[0], 0.0) * np.maximum(c[3] - c[1], 0.0) for c in (p, q)]
+            both = np.minimum(p[2], q[2])
+            both -= np.maximum(p[0], q[0])
+            np.maximum(both, 0.0, out=both)
+            high = np.minimum(p[3], q[3])
+            high -= np.maximum(p[1], q[1])
+            both *= np.maximum(high, 0.0, out=high)
+            union = np.add(size[1], size[0], out=high)
+            union -= both
+            over = np.divide(both, union, out=np.zeros_like(both), where=~(union <= 0))
+        near = ~(over < least)
+    else:
+        near, over = _may_overlap(a, b, least), None
+    row, other = np.nonzero(np.tril(near, before - 1))
+    ends = np.searchsorted(row, np.arange(1, len(a) + 1)).tolist()
+    return ends, other.tolist(), [np.nan] * len(other) if over is None else over[row, other].tolist()
+
+
 class _Tracks:
     def __init__(self) -> None:
         self.frame, self.next, self.tracks = None, 1, {}
@@ -68,34 +94,41 @@ def track(df: DataFrame, clip: list[str], frame: str, order: list[str], box: tup
             for t in s.tracks.values():
                 t["used"] = False
 
-    def take(s: _Tracks, near: Iterable[tuple[int, dict]], b: tuple, voted: str | None) -> tuple[int, str | None]:
-        x1, y1, x2, y2 = b
-        best, score = None, least_iou
-        for k, t in near:
-            # most boxes are apart, which two comparisons show
-            o = t["box"]
-            if o[0] >= x2 or o[2] <= x1 or o[1] >= y2 or o[3] <= y1 or t["used"]:
-                continue
-            if (over := _iou(o, b)) >= score and (best is None or over > score):
-                best, score = k, over
+    def better(o: tuple, b: tuple, score: float) -> float:
+        """What a track's box overlaps ``b`` by, or -1 if by less than ``score``."""
+        # most boxes are apart, which two comparisons show
+        if o[0] >= b[2] or o[2] <= b[0] or o[1] >= b[3] or o[3] <= b[1]:
+            return -1.0
+        over = _iou(o, b)
+        return over if over >= score else -1.0
+
+    def take(s: _Tracks, best: int | None, b: tuple, voted: str | None) -> tuple[int, str | None]:
         if best is None:
             best, s.next = s.next, s.next + 1
-            s.tracks[best] = {"votes": deque(maxlen=history), "used": not reuse_new}
+            t = s.tracks[best] = {"votes": deque(maxlen=history), "used": not reuse_new, "label": None}
         else:
-            s.tracks[best]["used"] = True
-        t = s.tracks[best]
+            t = s.tracks[best]
+            t["used"] = True
         t["box"], t["seen"] = b, s.frame
         if voted is not None:
-            t["votes"].append(voted)
-        if voted is not None or "label" not in t:
-            top = max(dict.fromkeys(t["votes"]), key=t["votes"].count, default=None)
-            n = t["votes"].count(top)
-            t["label"] = top if n and n >= min_votes and n / len(t["votes"]) >= ratio else None
+            votes = t["votes"]
+            votes.append(voted)
+            t["label"] = None
+            if len(votes) >= min_votes:
+                top = max(dict.fromkeys(votes), key=votes.count)
+                n = votes.count(top)
+                if n >= min_votes and n / len(votes) >= ratio:
+                    t["label"] = top
         return best, t["label"]
 
     def step(s: _Tracks, row: dict) -> tuple:
         begin(s, row[frame])
-        return take(s, s.tracks.items(), tuple(map(row.__getitem__, names)), None if vote is None else row[vote])
+        b = tuple(map(row.__getitem__, names))
+        best, score = None, least_iou
+        for k, t in s.tracks.items():
+            if not t["used"] and (over := better(t["box"], b, score)) >= 0 and (best is None or over > score):
+                best, score = k, over
+        return take(s, best, b, None if vote is None else row[vote])
 
     def steps(s: _Tracks, lists: dict, start: int, end: int) -> list[tuple]:
         made: list[tuple] = []
@@ -103,17 +136,26 @@ def track(df: DataFrame, clip: list[str], frame: str, order: list[str], box: tup
             first, start = start, min(end, start + max(1, min(RUN, PAIRS // (len(s.tracks) + RUN))))
             own = list(zip(*(lists[c][first:start] for c in names), strict=True))
             # a track's box is that of a row, so all rows are held at once against the tracks there are and the rows before them
-            boxes = [*(t["box"] for t in s.tracks.values()), *own]
-            row, other = np.nonzero(np.tril(_may_overlap(own, boxes, least_iou), len(s.tracks) - 1))
-            ends, other = np.searchsorted(row, np.arange(1, len(own) + 1)).tolist(), other.tolist()
+            ends, other, overs = _overlaps(own, [*(t["box"] for t in s.tracks.values()), *own], least_iou, len(s.tracks))
             # the track whose box each is, and where a track's box stands
             owner, stands, x = [*s.tracks, *[0] * len(own)], {k: j for j, k in enumerate(s.tracks)}, 0
             voted = lists[vote][first:start] if vote is not None else [None] * len(own)
             for i, (now, b, v, y) in enumerate(zip(lists[frame][first:start], own, voted, ends, strict=True), len(stands)):
-                begin(s, now)
-                near = sorted({owner[j] for j in other[x:y]})
-                made.append(take(s, [(k, s.tracks[k]) for k in near if k in s.tracks], b, v))
-                k, x = made[-1][0], y
+                if now != s.frame:
+                    begin(s, now)
+                best, score = None, least_iou
+                for j, over in zip(other[x:y], overs[x:y], strict=True):
+                    k = owner[j]
+                    if not k or (t := s.tracks.get(k)) is None or t["used"]:
+                        continue
+                    if over != over:
+                        over = better(t["box"], b, score)
+                    # of equals the first track
+                    if over > score or (over == score and (best is None or k < best)):
+                        best, score = k, over
+                x = y
+                made.append(take(s, best, b, v))
+                k = made[-1][0]
                 if k in stands:
                     owner[stands[k]] = 0
                 owner[i], stands[k] = k, i

@@ -104,3 +104,19 @@ def test_boxes_of_a_clip_meet_the_tracks_at_once(monkeypatch, forget, reuse_new)
         assert got == want
         assert strange or len(calls) * 4 < by_row
         calls.clear()
+
+
+def test_overlaps_of_plain_boxes_are_made_once_with_the_numbers_of_a_step(monkeypatch):
+    held, calls, iou = {}, [], tracking._iou
+    monkeypatch.setattr(tracking, "ordered_fold", lambda df, keys, order, init, step, ddl, steps: held.update(init=init, step=step, steps=steps))
+    monkeypatch.setattr(tracking, "_iou", lambda a, b: calls.append(1) or iou(a, b))
+    tracking.track(None, ["k"], "t", ["i"], vote="v", forget=2, reuse_new=False, min_votes=2, least_iou=1 / 3)
+    rnd = random.Random(5)
+    # few places and sizes, so many overlaps are equal, and equal to the least
+    corners = [(rnd.randrange(6), rnd.randrange(6)) for _ in range(600)]
+    rows = [{"t": i // 30, "v": rnd.choice([None, "a", "b"]), "x1": float(x), "y1": float(y), "x2": x + 2.0, "y2": y + rnd.choice([1.0, 2.0])} for i, (x, y) in enumerate(corners)]
+    one = held["init"]()
+    want = [held["step"](one, r) for r in rows]
+    calls.clear()
+    assert held["steps"](held["init"](), {c: [r[c] for r in rows] for c in rows[0]}, 0, len(rows)) == want
+    assert not calls
