@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kickframe.functions.geometry import box_area, iou
 
-_BOX = "array<struct<x1:double,y1:double,x2:double,y2:double,conf:double,id:bigint>>"
+#: Boxes in order of confidence, flat, for lambdas are interpreted and pay for each level; of a null box ``some`` is false.
+_HELD = "array<struct<c:double,i:bigint,some:boolean,x1:double,y1:double,x2:double,y2:double,area:double>>"
 
 
 def with_derived(df: DataFrame) -> DataFrame:
@@ -72,15 +73,27 @@ def _close(a: Column, b: Column, share: float) -> Column:
     return F.sqrt(dx * dx + dy * dy) <= share * low
 
 
+def _overlap(k: Column, s: Column, least: float) -> Column:
+    """``iou`` of two held boxes of at least ``least``. A test by areas known before spares most pairs the division."""
+    exact = iou(k, s) >= least
+    if least <= 0:
+        return exact
+    w, h = (F.greatest(F.lit(0.0), _shared(k, s, c)) for c in "xy")
+    # both / (sum - both) >= least; a difference, for NaN has to go on to the exact test
+    return (w * h - (k["area"] + s["area"]) * (least / (1 + least) * (1 - 1e-9)) >= 0) & exact
+
+
 def suppress(df: DataFrame, frame: str, box: str, least_iou: float = 0.55, centre_share: float | None = None) -> DataFrame:
     """(frame, kept): a frame's boxes that no kept box of higher confidence overlaps, or is too close to.
 
     Equal confidence goes by id. A fold over the frame's own boxes, all in Catalyst.
     """
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct((-F.col(box)["conf"]).alias("c"), F.col(box)["id"].alias("i"), F.col(box).alias("b")))), lambda s: s["b"])
-    hit = lambda k, b: (iou(k, b) >= least_iou) | (_close(k, b, centre_share) if centre_share is not None else F.lit(False))
-    boxes = df.groupBy(frame).agg(ordered.alias("boxes"))
-    kept = F.aggregate("boxes", F.array().cast(_BOX), lambda acc, b: F.when(F.exists(acc, lambda k: hit(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
+    b, sides = F.col(box), ("x1", "y1", "x2", "y2")
+    held = F.struct((-b["conf"]).alias("c"), b["id"].alias("i"), b.isNotNull().alias("some"), *(b[c] for c in sides), box_area(b).alias("area"))
+    boxes = df.groupBy(frame).agg(F.sort_array(F.collect_list(held)).alias("boxes"))
+    hit = lambda k, s: _overlap(k, s, least_iou) | (_close(k, s, centre_share) if centre_share is not None else F.lit(False))
+    whole = lambda s: F.when(s["some"], F.struct(*(s[c].alias(c) for c in sides), (-s["c"]).alias("conf"), s["i"].alias("id")))
+    kept = F.aggregate("boxes", F.array().cast(_HELD), lambda acc, s: F.when(F.exists(acc, lambda k: hit(k, s)), acc).otherwise(F.concat(acc, F.array(s))), lambda acc: F.transform(acc, whole))
     return boxes.select(frame, kept.alias("kept"))
 
 

@@ -120,3 +120,34 @@ def test_overlaps_of_plain_boxes_are_made_once_with_the_numbers_of_a_step(monkey
     calls.clear()
     assert held["steps"](held["init"](), {c: [r[c] for r in rows] for c in rows[0]}, 0, len(rows)) == want
     assert not calls
+
+
+def test_suppression_knows_areas_beforehand_and_keeps_what_the_definition_keeps(spark):
+    from pyspark.sql import functions as F
+
+    from kickframe.functions.geometry import iou
+
+    rnd, odd = random.Random(9), [float("nan"), float("inf"), -float("inf"), 1e300, -1e300, None]
+    rows = []
+    for frame in range(120):
+        for i in range(rnd.randrange(0, 9)):
+            x, y = rnd.randrange(12), rnd.randrange(12)
+            box = [float(x), float(y), x + float(rnd.randrange(-1, 12)), y + float(rnd.randrange(-1, 12)), rnd.choice([0.2, 0.5, None, float("nan")])]
+            if frame % 2 and rnd.random() < 0.3:
+                box[rnd.randrange(4)] = rnd.choice(odd)
+            rows.append((frame, None if rnd.random() < 0.05 else (*box, i)))
+    df = spark.createDataFrame(rows, "frame int, box struct<x1:double,y1:double,x2:double,y2:double,conf:double,id:bigint>")
+    kind = "array<struct<x1:double,y1:double,x2:double,y2:double,conf:double,id:bigint>>"
+    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("box")["conf"]).alias("c"), F.col("box")["id"].alias("i"), F.col("box").alias("b")))), lambda s: s["b"])
+
+    def plain(least, share):
+        hit = lambda k, b: (iou(k, b) >= least) | (boxes._close(k, b, share) if share else F.lit(False))
+        fold = F.aggregate("boxes", F.array().cast(kind), lambda acc, b: F.when(F.exists(acc, lambda k: hit(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
+        return df.groupBy("frame").agg(order.alias("boxes")).select("frame", fold.alias("kept"))
+
+    for least, share in ((0.55, 0.35), (0.5, None), (0.0, None)):
+        want = plain(least, share)
+        got = boxes.suppress(df, "frame", "box", least, share)
+        assert "area" in plan_of(got)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
