@@ -272,6 +272,55 @@ def test_stretches_without_a_passage_are_turned_down_by_one_ranking_of_each_side
     assert not called
 
 
+def test_windows_of_many_texts_are_those_of_each():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        sizes = rng.integers(1, 30, 6)
+        ends = np.cumsum(sizes + 2) - 3
+        starts = ends - sizes + 1
+        values = rng.integers(0, 40, ends[-1] + 3, np.uint64) << np.uint64(32)
+        want = [w + s for s, e in zip(starts, ends, strict=True) for w in passage_dedup.compact_windows(values[s : e + 1], 7).T]
+        assert passage_dedup.compact_windows(values, 7, (starts, ends)).T.tolist() == np.array(want).reshape(-1, 3).tolist()
+
+
+def test_runs_that_cannot_be_widened_are_turned_down_by_counts(monkeypatch):
+    """A run that is similar, but too short on one side, and no longer similar with what lies around it."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a, b = (rng.integers(0, 1 << 62, 160).astype(np.uint64) for _ in range(2))
+    b[60:80], b[90:111] = a[60:80], a[80:101]
+    called = []
+    similar = passage_dedup._Fits._similar
+    monkeypatch.setattr(passage_dedup._Fits, "_similar", lambda *x: called.append(x) or similar(*x))
+    assert list(passage_dedup._passages(a, b, 46, 80)) == []
+    assert not called
+
+
+def test_texts_that_repeat_few_words_have_no_double_values():
+    """A passage shares 41 distinct shingles; a window with fewer is compared with nothing."""
+    import numpy as np
+
+    none, one = np.zeros(0, np.int64), np.arange(100).astype(np.uint64)
+    few = np.tile(np.arange(40), 30).astype(np.uint64)
+
+    def doubles(sequence):
+        hashed = [passage_dedup._mix(sequence * f + o) for f, o in zip(passage_dedup._FACTORS, passage_dedup._OFFSETS, strict=True)]
+        windows = [passage_dedup.compact_windows(h, 46)[0] for h in hashed]
+        place, f = np.concatenate(windows), np.repeat(np.arange(4), [len(w) for w in windows])
+        values = np.stack([(h & ~np.uint64(7)) | np.uint64(k) for k, h in enumerate(hashed)]).view(np.int64)
+        marks = values[f, place], place, np.ones(len(place), bool), np.zeros(len(place), np.int64), np.zeros(len(place), bool)
+        return passage_dedup._doubles(sequence, marks, place.astype(np.int64) * 8 + f, 46, 41)
+
+    assert doubles(few) is None and doubles(none.astype(np.uint64)) is None
+    key, _, low, high, probe, _, settled = doubles(one)
+    assert len(key) and (high - low >= 45).all() and probe.all() and not settled.any()
+    assert passage_dedup._reach(few, 41).tolist() == [len(few)] * len(few)
+    assert passage_dedup._reach(one, 41).tolist() == [min(i + 40, 100) for i in range(100)]
+
+
 def plain_similar(a, b):
     one, two = set(a.tolist()), set(b.tolist())
     return 100 * len(one & two) >= 80 * len(one | two)
