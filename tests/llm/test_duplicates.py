@@ -324,3 +324,93 @@ def test_texts_that_repeat_few_words_have_no_double_values():
 def plain_similar(a, b):
     one, two = set(a.tolist()), set(b.tolist())
     return 100 * len(one & two) >= 80 * len(one | two)
+
+
+def test_texts_that_repeat_themselves_are_turned_down_by_their_distinct_shingles(monkeypatch):
+    """Runs of such texts have many shared places, but fewer values in common than any stretch of the least width has to."""
+    import numpy as np
+
+    a, b = np.tile(np.arange(50), 20).astype(np.uint64), np.tile(np.arange(25, 63), 25).astype(np.uint64)
+    called = []
+    of = passage_dedup._RunCounts.of
+    monkeypatch.setattr(passage_dedup._RunCounts, "of", lambda *x: called.append(x) or of(*x))
+    assert list(passage_dedup._passages(a, b, 46, 80)) == []
+    assert not called
+    # six words over and over are a passage, also beside others
+    six = np.concatenate([np.arange(100, 160), np.tile(np.arange(6), 10)]).astype(np.uint64)
+    assert any(j - i >= 45 for i, j, _, _ in passage_dedup._passages(six, np.tile(np.arange(6), 12).astype(np.uint64), 46, 80))
+
+
+def test_distinct_values_of_stretches():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        values = rng.integers(0, rng.integers(1, 60), rng.integers(46, 150)).astype(np.uint64)
+        assert passage_dedup._distinct(values, 46).tolist() == [len(set(values[i : i + 46].tolist())) for i in range(len(values) - 45)]
+
+
+def test_double_values_of_many_texts_are_those_of_each():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 90 if k % 3 else 1 << 40, rng.integers(60, 300)).astype(np.uint64) for k in range(8)]
+
+    def marked(sequence, start):
+        hashed = [passage_dedup._mix(sequence * f + o) for f, o in zip(passage_dedup._FACTORS, passage_dedup._OFFSETS, strict=True)]
+        windows = [passage_dedup.compact_windows(h, 46)[0] for h in hashed]
+        place, f = np.concatenate(windows), np.repeat(np.arange(4), [len(w) for w in windows])
+        values = np.stack([(h & ~np.uint64(7)) | np.uint64(k) for k, h in enumerate(hashed)]).view(np.int64)
+        some = place % 2 == 0
+        return (values[f, place], place + start, some, place % 3, ~some), (place.astype(np.int64) + start) * 8 + f
+
+    want, marks, partners, starts = [], [], [], []
+    for k, text in enumerate(texts):
+        starts.append(sum(len(x) + 4 for x in texts[:k]))
+        found = passage_dedup._doubles(text, *marked(text, 0), 46, 41)
+        if found:
+            key, place, low, high, *rest = found
+            want += zip(key, *(x + starts[-1] for x in (place, low, high)), *rest, strict=True)
+        one, two = marked(text, starts[-1])
+        marks.append(one)
+        partners.append(two)
+    starts = np.array(starts)
+    # between two texts lie shingles of both
+    whole = np.concatenate([np.append(x, rng.integers(0, 90, 4).astype(np.uint64)) for x in texts])
+    ends = starts + [len(x) - 1 for x in texts]
+    found = passage_dedup._doubles(whole, tuple(map(np.concatenate, zip(*marks, strict=True))), np.concatenate(partners), 46, 41, (starts, ends))
+    assert len(want) > 50 and sorted(zip(*found, strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_windows_with_a_known_passage_beside_their_place_are_not_compared(monkeypatch, known):
+    """Two texts share a passage, and some words further on that a double value was made of; the passage is looked for unless it is known."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 1 << 62, 130).astype(np.uint64) for _ in range(2))
+    b[:60], b[110:118] = a[:60], a[110:118]
+    called = []
+    verify = passage_dedup._passages
+    monkeypatch.setattr(passage_dedup, "_passages", lambda *x: called.append(x) or verify(*x))
+    bare = np.ones(130, bool)
+    bare[:60] = not known
+    chunk = passage_dedup._Seekers((1, 0), 46, 5, 80, 24)
+    chunk.alone = True
+    chunk.members += [(1, 114, 0, True, None, a, bare.copy()), (2, 114, 0, False, 7, b, bare.copy())]
+    assert chunk.among() == (set() if known else {(1, 0, 64, 2, 0, 64)})
+    assert len(called) == (not known)
+
+
+def test_a_passage_that_holds_the_place_is_found_wherever_its_words_are_known():
+    """The same passage is known on either side, in different components."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(0, 1 << 62, 130).astype(np.uint64) for _ in range(2))
+    b[20:90] = a[20:90]
+    b[50] = 1
+    chunk = passage_dedup._Seekers((1, 0), 46, 5, 80, 24)
+    chunk.alone = True
+    chunk.members += [(1, 60, 0, True, 5, a, np.zeros(130, bool)), (2, 60, 0, False, 7, b, np.zeros(130, bool))]
+    assert chunk.among() == {(1, 20, 94, 2, 20, 94)}
