@@ -414,3 +414,10 @@ def test_a_passage_that_holds_the_place_is_found_wherever_its_words_are_known():
     chunk.alone = True
     chunk.members += [(1, 60, 0, True, 5, a, np.zeros(130, bool)), (2, 60, 0, False, 7, b, np.zeros(130, bool))]
     assert chunk.among() == {(1, 20, 94, 2, 20, 94)}
+
+
+def test_shingles_of_several_slices_are_those_of_each():
+    slices = [" ".join(words(random.Random(k), n, 40)).encode() for k, n in enumerate((5, 50, 6, 120))]
+    got = passage_dedup._sequences(slices, 5)
+    assert [x.tolist() for x in got] == [passage_dedup.shingle_sequence(x.split(), 5).tolist() for x in slices]
+    assert passage_dedup._sequences([], 5) == []
