@@ -421,3 +421,17 @@ def test_shingles_of_several_slices_are_those_of_each():
     got = passage_dedup._sequences(slices, 5)
     assert [x.tolist() for x in got] == [passage_dedup.shingle_sequence(x.split(), 5).tolist() for x in slices]
     assert passage_dedup._sequences([], 5) == []
+
+
+def test_crowded_groups_in_several_chunks_give_the_same_components(spark, monkeypatch):
+    """Windows of one double value that are dealt out find the same partners as those that are all in one chunk."""
+    rng = random.Random(12)
+    shared = [words(rng, 70, 10**6) for _ in range(2)]
+    text = lambda part: " ".join([*words(rng, 30, 10**6), *part, *words(rng, 30, 10**6)])
+    docs = [(i, text(changed(shared[i % 2], *rng.sample(range(70), i % 7)))) for i in range(80)]
+    nodes = spark.createDataFrame([(i, i, t) for i, t in docs], "id bigint, node bigint, text string")
+    found = []
+    for chunk in (1024, 8):
+        monkeypatch.setattr(passage_dedup, "CHUNK", chunk)
+        found.append(sorted(map(tuple, passage_dedup.passage_pairs(nodes)[1].collect())))
+    assert found[0] == found[1] and len({c for _, c in found[0]}) >= 2
